@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from .mixing import op9_mixing
+from .quality import OP7_SQL, op7_quality_rules
 from .substring import op6_substring_dedup
+from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op7_quality_rules": OP7_SQL,
+}
