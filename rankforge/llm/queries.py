@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontam import OP10_SQL, op10_decontamination
+from .minhash import op3_minhash_dedup
 from .mixing import op9_mixing
 from .quality import OP7_SQL, op7_quality_rules
 from .substring import op6_substring_dedup
@@ -9,12 +11,15 @@ from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op7_quality_rules": OP7_SQL,
+    "op10_decontamination": OP10_SQL,
 }
