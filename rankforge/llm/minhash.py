@@ -99,8 +99,11 @@ def document_frequencies(docs: DataFrame, text: str = "text", bits: int = SKETCH
 
 
 def idf_table(sketch: np.ndarray, n: int) -> np.ndarray:
-    """Per cell ln(1 + n / count).  A shingle's weight is the larger of its two cells'."""
-    return np.log1p(n / np.maximum(sketch, 1)).astype(np.float32)
+    """Per cell 1 + ln(1 + n / (count + n / 100)) / (2 ln 101), so from 1 to 1.5.  A shingle takes the larger of its two
+    cells.  Damped and smoothed, so that the shingles of a large group of near copies, frequent because of the group
+    itself, are not outweighed by the few that differ."""
+    n = max(n, 1)
+    return (1 + np.log1p(n / (np.maximum(sketch, 1) + n / 100)) / (2 * np.log(101))).astype(np.float32)
 
 
 def weights_of(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_TIMES = 2
 BLOCK_WORDS = 16
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 250_000
 #: A prime above any shard's number of blocks: multiplying by it permutes block numbers modulo that number (fixed value).
 PRIME = 2654435761
 

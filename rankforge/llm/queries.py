@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP10_SQL, op10_decontamination
+from .line_dedup import op2_line_dedup
 from .minhash import op3_minhash_dedup
 from .mixing import op9_mixing
 from .quality import OP7_SQL, op7_quality_rules
@@ -11,6 +12,7 @@ from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
