@@ -207,3 +207,36 @@ def longs(x: np.ndarray) -> pa.Array:
 
 def ints(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
+
+
+# --- sums of arrays over all tasks -------------------------------------------------------------------------------------
+
+_PIECE = 4096
+ARRAY_PARTS = "part int, raw binary"
+
+
+def array_parts(x: np.ndarray) -> pa.RecordBatch:
+    """Rows of a flat array for summed_array: pieces of fixed size, those of zeros left out."""
+    pieces = [x[i : i + _PIECE] for i in range(0, len(x), _PIECE)]
+    used = [i for i, p in enumerate(pieces) if p.any()]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pieces[i].astype(np.float32 if x.dtype == np.float32 else np.int64).tobytes() for i in used], pa.binary())], names=["part", "raw"])
+
+
+def summed_array(parts: DataFrame, size: int, kind: type = np.int64) -> np.ndarray:
+    """The sum over all tasks' arrays of size numbers.  Pieces are summed where they are shuffled to; the driver gets
+    one array, whatever the number of tasks."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                x = np.frombuffer(raw, kind).astype(np.float64 if kind is np.float32 else np.int64)
+                sums[part] = sums[part] + x if part in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "raw"])
+
+    out = np.zeros(size, np.float64 if kind is np.float32 else np.int64)
+    for part, raw in parts.repartition("part").mapInArrow(total, ARRAY_PARTS).collect():
+        x = np.frombuffer(bytes(raw), out.dtype)
+        out[part * _PIECE : part * _PIECE + len(x)] = x
+    return out

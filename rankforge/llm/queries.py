@@ -6,6 +6,7 @@ from .chat import OP5_SQL, op5_chat_format
 from .decontam import OP10_SQL, op10_decontamination
 from .line_dedup import op2_line_dedup
 from .minhash import op3_minhash_dedup
+from .lm import op8_lm_score
 from .mixing import op9_mixing
 from .pii import op4_pii
 from .quality import OP7_SQL, op7_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_lm_score": op8_lm_score,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
