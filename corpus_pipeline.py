@@ -1,14 +1,62 @@
-"""The corpus pipeline: documents through five of the operators, each stage's rows written before the next reads them."""
+"""The corpus pipeline: documents through five of the operators, each stage's rows written before the next reads them.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.  Each works on
+all that the one before it kept:
+
+quality_rules      documents that the quality rules reject go
+line_dedup         lines that an earlier document holds in the same order go; documents left without a word go
+near_dedup         one document of each class of near duplicates stays
+decontamination    documents that hold a benchmark item go
+mixing             how many words of each document the mix takes; documents of which it takes none go
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankforge.llm.common import WORD, content_key, written
+from rankforge.llm.decontam import uncontaminated
+from rankforge.llm.line_dedup import dedup_lines
+from rankforge.llm.minhash import one_of_each_class
+from rankforge.llm.mixing import mixture
+from rankforge.llm.quality import judge_documents
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return judge_documents(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = dedup_lines(docs).where(F.col("text").rlike(WORD))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each_class(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixture(docs).where("taken > 0").withColumnRenamed("doc_id", "of")
+    a, b = content_key(F.col("text"))
+    # a document is its id and text; the stages before leave no two equal ones
+    mine = F.col("doc_id").eqNullSafe(F.col("of")) & (a == F.col("key_a")) & (b == F.col("key_b"))
+    return docs.join(taken.drop("source"), mine).select(*docs.columns, "size", "target", "shard", "taken")
 
-from rankforge.llm.common import written
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
-#: Alignment, similarity groups and block selection have no form in SQL: tests hold the stages against brute force.
+#: Alignment, similarity classes and block selection have no form in SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
