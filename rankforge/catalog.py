@@ -312,13 +312,13 @@ for _method in ranking.AGGREGATIONS:
 
 def tfidf_sql(least: int = 1) -> str:
     return f"""
-u AS (SELECT doc_id AS unit_ord, unnest({tokens_sql('text')}) AS term FROM documents),
-c AS (SELECT unit_ord, term, count(*)::DOUBLE AS tf FROM u GROUP BY ALL),
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*)::DOUBLE)) + 1 AS idf FROM c GROUP BY term HAVING count(*) >= {least}),
-w AS (SELECT unit_ord, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY unit_ord)) AS w FROM c JOIN idf USING (term)),
+t_u AS (SELECT doc_id AS unit_ord, unnest({tokens_sql('text')}) AS term FROM documents),
+t_c AS (SELECT unit_ord, term, count(*)::DOUBLE AS tf FROM t_u GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*)::DOUBLE)) + 1 AS idf FROM t_c GROUP BY term HAVING count(*) >= {least}),
+t_w AS (SELECT unit_ord, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY unit_ord)) AS w FROM t_c JOIN idf USING (term)),
 qt AS (SELECT qid, term, count(*)::DOUBLE AS tf FROM (SELECT qid, unnest({tokens_sql('question')}) AS term FROM ({ASKED})) GROUP BY ALL),
 qw AS (SELECT qid, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY qid)) AS qw FROM qt JOIN idf USING (term)),
-hits AS (SELECT qid, unit_ord, unit_ord::VARCHAR AS unit_id, unit_ord::VARCHAR AS doc_id, sum(w * qw) AS score FROM qw JOIN w USING (term) GROUP BY ALL)"""
+hits AS (SELECT qid, unit_ord, unit_ord::VARCHAR AS unit_id, unit_ord::VARCHAR AS doc_id, sum(w * qw) AS score FROM qw JOIN t_w USING (term) GROUP BY ALL)"""
 
 
 @query("tfidf_word_top5", f"WITH {tfidf_sql()} {_SHOW} ({top_sql('hits', 5)})")
