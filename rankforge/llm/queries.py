@@ -10,7 +10,7 @@ from .lm import op8_lm_score
 from .mixing import op9_mixing
 from .pii import op4_pii
 from .quality import OP7_SQL, op7_quality_rules
-from .substring import op6_substring_dedup
+from .substring import OP6_SQL, op6_substring_dedup
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op5_chat_format": OP5_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op10_decontamination": OP10_SQL,
 }
