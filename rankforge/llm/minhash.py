@@ -14,8 +14,8 @@ Short texts around a passage that very many hold still fill such buckets without
 bucket's leader is not linked to is put in buckets anew, by RARE samples drawn from the text's rare shingles alone, those
 in less than 0.2 % of documents.  Two similar texts of which less than four fifths of the weight are frequent shingles have
 so many rare ones in common that they agree in one of 24 with probability 0.9997 or more; texts with a larger share of
-frequent shingles are put in buckets by band too.  Pairs that share fewer than three
-bands (0.0005 of pairs at the threshold) are left out, and pairs of one class.
+frequent shingles are put in buckets by band too.  Pairs that agree in fewer than AGREE of
+all 54 samples (0.0005 of pairs at the threshold) are left out, and pairs of one class.
 
 Within a bucket no pairs are listed.  Every text is compared with the bucket's leader, the text that meets most others
 over all its buckets: of a group of near copies that is the text that the others were made from.  Linked texts leave, and
@@ -39,6 +39,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 18, 3
 LEADERS, MORE_LEADERS = 8, 8
 RARE = 24
+AGREE = 34
 FREQUENT, MOSTLY = 0.002, 0.8
 SKETCH_BITS = 20
 _CELLS = 1 << 12
@@ -196,8 +197,9 @@ def _signatures(idf, bands: int, rows: int):
     return sign
 
 
-def _rare_samples(idf):
-    """RARE samples of each text's rare shingles, and whether most of its weight is of frequent ones."""
+def _rare_samples(idf, functions: int):
+    """RARE samples of each text's rare shingles, whether most of its weight is of frequent ones, and 32 bits of each
+    sample of all shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = idf_table(np.full(1, 1000), round(1000 / FREQUENT))[0]
@@ -210,10 +212,13 @@ def _rare_samples(idf):
                 mostly = np.bincount(doc[~rare], weight[~rare], minlength=part.num_rows) >= MOSTLY * total
                 drawn = np.ascontiguousarray(sampled(doc[rare], mixed(h[rare]), weight[rare], RARE).T)
                 there = np.unique(doc[rare])
+                whole = np.zeros((part.num_rows, functions), np.int32)
+                whole[np.unique(doc)] = sampled(doc, h, weight, functions).astype(np.uint32).view(np.int32).T
+                every = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * functions), pa.array(whole.ravel()))
                 keys: list[list[int]] = [[] for _ in range(part.num_rows)]
                 for d, row in zip(there.tolist(), drawn.view(np.int64), strict=True):
                     keys[d] = row.tolist()
-                yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), pa.array(keys, pa.list_(pa.int64())), pa.array(mostly)], names=["key_a", "key_b", "rare", "mostly"])
+                yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), pa.array(keys, pa.list_(pa.int64())), pa.array(mostly), every], names=["key_a", "key_b", "rare", "mostly", "own"])
 
     return sign
 
@@ -275,7 +280,7 @@ def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARI
         made = written(shared(rows, counted=True), "buckets")
         return written(made.drop("n").join(made.groupBy(*KEYS).agg(F.sum("n").alias("met")), KEYS), "active")
 
-    none = [_struct("key_a", "key_b").alias("root"), F.array().cast("array<bigint>").alias("own")]
+    none = [_struct("key_a", "key_b").alias("root"), F.array().cast("array<int>").alias("own")]
     of_text = shared(bucketed).groupBy(*KEYS, "weight").agg(F.sort_array(F.collect_list("bucket")).alias("b"))
     twos = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
     active = gathered(of_text.where(F.size("b") > 1).select(*KEYS, "weight", *none, F.explode(twos).alias("bucket")))
@@ -290,7 +295,8 @@ def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARI
         leaders = written(leaders.select("bucket", F.col("l.key_a").alias("lead_a"), F.col("l.key_b").alias("lead_b"), F.col("l.weight").alias("lead_weight"), F.col("l.root").alias("lead_root"), F.col("l.own").alias("lead_own")), "leaders")
         ahead = (F.col("key_a") != F.col("lead_a")) | (F.col("key_b") != F.col("lead_b"))
         alike = F.least("weight", "lead_weight") >= (similarity - 1e-4) * F.greatest("weight", "lead_weight")
-        apart = (F.col("root") != F.col("lead_root")) & (F.size(F.array_intersect("own", "lead_own")) >= 3) if parts > 1 else F.lit(True)
+        agreed = F.aggregate(F.zip_with("own", "lead_own", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        apart = (F.col("root") != F.col("lead_root")) & (agreed >= AGREE * bands * rows // 54) if parts > 1 else F.lit(True)
         pairs = active.join(leaders, "bucket").where(ahead & alike & apart).select(*ends).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ends, "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -306,10 +312,10 @@ def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARI
         roots = components(links).select(F.col("node.a").alias("key_a"), F.col("node.b").alias("key_b"), "root")
         rooted = left.drop("root").join(roots, KEYS, "left").withColumn("root", F.coalesce("root", _struct("key_a", "key_b")))
         rest = written(several(rooted).select(*KEYS, "root").distinct(), "rest")
-        rare = texts.join(rest.select(*KEYS), KEYS, "left_semi").mapInArrow(_rare_samples(idf), "key_a long, key_b int, rare array<long>, mostly boolean")
+        rare = texts.join(rest.select(*KEYS), KEYS, "left_semi").mapInArrow(_rare_samples(idf, bands * rows), "key_a long, key_b int, rare array<long>, mostly boolean, own array<int>")
         again = written(rest.join(rare, KEYS).join(of_text, KEYS), "again")
         keys = F.concat("rare", F.when(F.col("mostly"), F.col("b")).otherwise(F.array().cast("array<long>")))
-        active, parts = gathered(several(again.select(*KEYS, "weight", "root", F.col("b").alias("own"), F.explode(keys).alias("bucket")))), LEADERS
+        active, parts = gathered(several(again.select(*KEYS, "weight", "root", "own", F.explode(keys).alias("bucket")))), LEADERS
     if links is None:
         return spark.createDataFrame([], "key_a long, key_b int, lead_a long, lead_b int, similarity double")
     return links.groupBy(*ends).agg(F.max("similarity").alias("similarity"))
