@@ -113,7 +113,8 @@ def deleted_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     lined = written(rows.dropDuplicates(_ID), "lines")
     each = lined.select(*_ID, F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("l")).select(*_ID, F.col("l.lines").alias("line"), F.col("l.words").alias("n_words"))
     who = F.struct(*_ID)
-    holders = each.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(who).alias("first")).where("n_docs > 1")
+    # a table, so that a line of very many documents is one that Spark can split in the join
+    holders = written(each.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(who).alias("first")).where("n_docs > 1"), "holders")
     shared = each.join(holders, "line").where(who != F.col("first"))
     pairs = shared.groupBy("first", *_ID).agg(F.sum("n_words").alias("shared_words"), F.min("n_docs").alias("rarest")).where((F.col("rarest") <= rare) | (F.col("shared_words") >= min_words)).select("first", *_ID)
     firsts = lined.select(F.struct(*_ID).alias("f"), F.col("lines").alias("first_lines"))
