@@ -71,36 +71,37 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     messages: conv_id, msg_id, parent_id, score.  A message whose parent is null or missing is a root; null scores count
     as 0; equal scores are ranked by the leaf's id.  Messages that only reach a cycle have no root and are on no path.
     """
-    m = messages.select("conv_id", F.col("msg_id").alias("node"), F.col("parent_id").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    m = written(m.dropDuplicates(["conv_id", "node"]), "messages")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    ids = m.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
-    up = written(m.join(ids, same("conv_id", "c") & (F.col("up") == F.col("n"))).select("conv_id", "node", "up"), "parents")
-    rootless = m.join(up.select(F.col("conv_id").alias("c"), F.col("node").alias("n")), same("conv_id", "c") & (F.col("node") == F.col("n")), "left_anti").select("conv_id", F.col("node").alias("root"))
-    parents = up.select(F.col("conv_id").alias("c"), F.col("up").alias("n")).distinct()
-    paths = m.join(parents, same("conv_id", "c") & (F.col("node") == F.col("n")), "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
+    node = lambda n: F.struct(F.col("conv_id").alias("c"), F.col(n).alias("n"))  # noqa: E731  equal where both are, nulls included
+    m = messages.select(node("msg_id").alias("node"), F.when(F.col("parent_id").isNotNull(), node("parent_id")).alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    m = m.groupBy("node").agg(F.min(F.struct("up", "score")).alias("x")).select("node", "x.up", "x.score")
+    # what a message knows of itself: its parent, if that exists, and whether it is a parent
+    ids, answered = m.select(F.col("node").alias("up"), F.lit(True).alias("there")), m.select(F.col("up").alias("node"), F.lit(True).alias("answered")).where("node is not null").distinct()
+    m = m.join(ids, "up", "left").join(answered, "node", "left").select("node", F.when(F.col("there"), F.col("up")).alias("up"), "score", F.col("answered").isNotNull().alias("answered"))
+    m = written(m, "messages")
+    # paths: for each leaf the messages above it so far; up: for each message the one step above it
+    paths = m.where("not answered").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
+    up = m.where("up is not null").select("node", "up")
     step, rounds = 1, max(1, m.count()).bit_length()
     while rounds and not up.isEmpty():
-        jump = up.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("to"))
-        further = paths.join(jump, same("conv_id", "c") & (F.col("node") == F.col("n"))).select("conv_id", "leaf", F.col("to").alias("node"), (F.col("above") + step).alias("above"))
+        further = paths.join(up, "node").select("leaf", F.col("up").alias("node"), (F.col("above") + step).alias("above"))
         paths = written(paths.unionByName(further), "paths")
-        up = written(up.join(jump, same("conv_id", "c") & (F.col("up") == F.col("n"))).select("conv_id", "node", F.col("to").alias("up")), "jumps")
+        up = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("to")), "up").select("node", F.col("to").alias("up")), "jumps")
         step, rounds = 2 * step, rounds - 1
-    scores = m.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "score")
-    roots = rootless.select(F.col("conv_id").alias("rc"), "root")
-    scored = paths.join(scores, same("conv_id", "c") & (F.col("node") == F.col("n"))).join(roots, same("conv_id", "rc") & (F.col("node") == F.col("root")), "left")
-    ranked = scored.groupBy("conv_id", "leaf").agg(F.sum("score").alias("total"), F.count("root").alias("n_roots")).where("n_roots > 0")
-    best = ranked.withColumn("branch", F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("total").desc(), "leaf"))).where(F.col("branch") <= branches)
-    best = best.select(F.col("conv_id").alias("c"), F.col("leaf").alias("l"), "branch")
-    return paths.join(best, same("conv_id", "c") & (F.col("leaf") == F.col("l"))).select("conv_id", "leaf", "branch", "node", "above")
+    known = paths.join(m.select("node", "score", F.col("up").isNull().cast("int").alias("root")), "node")
+    ranked = known.groupBy("leaf").agg(F.sum("score").alias("total"), F.max("root").alias("root")).where("root = 1")
+    best = ranked.withColumn("branch", F.row_number().over(W.partitionBy("leaf.c").orderBy(F.col("total").desc(), "leaf"))).where(F.col("branch") <= branches)
+    chosen = paths.join(best.select("leaf", "branch"), "leaf")
+    return chosen.select(F.col("leaf.c").alias("conv_id"), F.col("leaf.n").alias("leaf"), "branch", F.col("node.n").alias("node"), "above")
 
 
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """conv_id, branch, formatted, loss (array of start, end) of the chosen paths of messages: conv_id, msg_id, parent_id,
     role, text, score.  Null roles and texts are empty ones; of messages with the same ids one is taken.  A path is one
     row, so a single path has to fit in memory."""
-    said = messages.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["c", "n"])
-    turns = reply_paths(messages, branches).join(said, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
+    key = lambda n: F.struct(F.col("conv_id").alias("c"), F.col(n).alias("n")).alias("key")
+    said = messages.select(key("msg_id"), F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said"))
+    said = said.groupBy("key").agg(F.min("said").alias("said")).select("key", "said.role", "said.text")
+    turns = reply_paths(messages, branches).withColumn("key", key("node")).join(said, "key")
     gathered = turns.groupBy("conv_id", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("at"), "role", "text"))).alias("turns"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
