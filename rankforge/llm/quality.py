@@ -15,6 +15,7 @@ from .common import SPACE, words_of, written
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_RATE = 0.5
+MAX_BROADCAST_HOSTS = 100_000
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
@@ -72,15 +73,15 @@ def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_rates(counts: DataFrame, host: str) -> tuple[DataFrame, float, float]:
-    """host, n, failed, and the prior's alpha and beta from the mean and variance of the hosts' rates."""
+def host_rates(counts: DataFrame, host: str) -> tuple[DataFrame, float, float, int]:
+    """host, n, failed, the prior's alpha and beta from the mean and variance of the hosts' rates, and how many hosts."""
     hosts = counts.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    m, v, n = hosts.agg(F.avg(rate), F.var_pop(rate), F.count(F.lit(1))).first()
     if m is None:
-        return hosts, 1.0, 1.0
+        return hosts, 1.0, 1.0, 0
     strength = min(max(m * (1 - m) / v - 1, 2.0), 1e6) if v else 1e6
-    return hosts, m * strength, (1 - m) * strength
+    return hosts, m * strength, (1 - m) * strength, n
 
 
 def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id", "source"), max_rate: float = MAX_RATE) -> DataFrame:
@@ -90,8 +91,10 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", k
     each judged.  keep must hold host.  The counts are written once and read for both the hosts and the verdicts.
     """
     counts = written(document_counts(docs, text, keep), "quality")
-    hosts, alpha, beta = host_rates(counts, host)
+    hosts, alpha, beta, n_hosts = host_rates(counts, host)
     shrunk = hosts.select("host", ((F.col("failed") + alpha) / (F.col("n") + alpha + beta)).alias("host_rate"))
+    if n_hosts <= MAX_BROADCAST_HOSTS:  # counted: documents, which may carry their texts, then stay where they are
+        shrunk = F.broadcast(shrunk)
     return (
         counts.join(shrunk, F.col(host).eqNullSafe(F.col("host")), "left")
         .drop("host")
