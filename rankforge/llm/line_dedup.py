@@ -1,11 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through shared lines: each line that several documents hold pairs every later document
-with the earliest holder, a star and not all pairs, so a line of n documents gives n - 1 pairs.  Lines held by at most
-RARE documents nominate a pair by themselves; more common ones only together, when the lines that a pair shares this way
-have MIN_WORDS words or more.  Each pair is aligned by patience diff, and aligned common blocks of MIN_WORDS words or more
-are deleted from the later document.  What goes always stays in an earlier document: the earliest holder of a line never
-loses it.
+Documents that overlap are found through shared runs: at each line begins a minimal run, the fewest consecutive lines that
+have MIN_WORDS words together.  Two documents have a common block of MIN_WORDS words or more exactly if they share such a
+run.  Each run that several documents hold pairs every later document with the earliest holder, a star and not all pairs,
+so a run of n documents gives n - 1 pairs, however large n is.  Each pair is aligned by patience diff, and aligned common
+blocks of MIN_WORDS words or more are deleted from the later document.  What goes always stays in an earlier document: the
+earliest holder of a line never loses it.
 
 Alignment needs line hashes only; texts move once, to meet the numbers of their deleted lines.  Lines are compared without
 white space at their ends; blank lines are never compared and stay where the lines around them stay.
@@ -17,14 +17,16 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, content_key, words_of, written
+from .common import SPACE, content_key, ints, longs, mixed, powers, words_of, written
 
-RARE = 16
+RARE = 16  # of the tests' reference only
 MIN_WORDS = 20
+_U = np.uint64
 _ID = ["no_id", "id", "key_a", "key_b"]  # the order of documents: by doc_id, null last, then by content
 
 
@@ -84,6 +86,35 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> l
     return gone
 
 
+def minimal_runs(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of the different minimal runs of least words; a document's lines lie at bounds[i]:bounds[i+1]."""
+    n = len(hashes)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    end = np.searchsorted(total, total[:-1] + least)
+    start = np.flatnonzero(end <= bounds[1:][doc])
+    doc, end = doc[start], end[start]
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(mixed(hashes.view(_U)) * up[:n], out=sums[1:])
+    run = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    _, at = np.unique(mixed(run + doc.astype(_U) * _U(0xD6E8FEB86659FD93)), return_index=True)
+    return doc[at], run[at]
+
+
+def _runs(least: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines, words = batch.column("lines"), batch.column("words")
+            bounds = np.asarray(lines.offsets).astype(np.int64)
+            doc, run = minimal_runs(ints(lines.flatten()), np.asarray(words.flatten()), bounds - bounds[0], least)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(doc)) for c in _ID), longs(run)], names=[*_ID, "run"])
+
+    return rows
+
+
 def _aligned(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +127,7 @@ def _aligned(least: int):
     return rows
 
 
-def deleted_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def deleted_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """no_id, id, key_a, key_b (a document: its doc_id and content key) and gone: numbers of its lines to delete."""
     t = F.coalesce(F.col(text), F.lit(""))
     trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, rf"^{SPACE}", ""), rf"{SPACE}$", "")
@@ -111,12 +142,12 @@ def deleted_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     )
     # equal rows are one document
     lined = written(rows.dropDuplicates(_ID), "lines")
-    each = lined.select(*_ID, F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("l")).select(*_ID, F.col("l.lines").alias("line"), F.col("l.words").alias("n_words"))
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    each = lined.select(*_ID, "lines", "words").mapInArrow(_runs(min_words), f"no_id boolean, id {id_type}, key_a long, key_b int, run long")
     who = F.struct(*_ID)
-    # a table, so that a line of very many documents is one that Spark can split in the join
-    holders = written(each.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(who).alias("first")).where("n_docs > 1"), "holders")
-    shared = each.join(holders, "line").where(who != F.col("first"))
-    pairs = shared.groupBy("first", *_ID).agg(F.sum("n_words").alias("shared_words"), F.min("n_docs").alias("rarest")).where((F.col("rarest") <= rare) | (F.col("shared_words") >= min_words)).select("first", *_ID)
+    # a table, so that a run of very many documents is one that Spark can split in the join
+    holders = written(each.groupBy("run").agg(F.count(F.lit(1)).alias("n_docs"), F.min(who).alias("first")).where("n_docs > 1").select("run", "first"), "holders")
+    pairs = each.join(holders, "run").where(who != F.col("first")).select("first", *_ID).distinct()
     firsts = lined.select(F.struct(*_ID).alias("f"), F.col("lines").alias("first_lines"))
     own = lined.select(*(F.col(c).alias(f"own_{c}") for c in _ID), "lines", "words", "numbers")
     mine = F.lit(True)
@@ -124,7 +155,6 @@ def deleted_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
         mine = mine & F.col(c).eqNullSafe(F.col(f"own_{c}"))
     keyed = pairs.select(F.col("first").alias("f"), *_ID)
     both = keyed.join(own, mine).select("f", *_ID, "lines", "words", "numbers").join(firsts, "f").select(*_ID, "first_lines", "lines", "words", "numbers")
-    id_type = docs.schema[doc_id].dataType.simpleString()
     found = both.mapInArrow(_aligned(min_words), f"no_id boolean, id {id_type}, key_a long, key_b int, gone array<int>")
     return found.groupBy(*_ID).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 

@@ -144,3 +144,27 @@ def test_samples_agree_as_often_as_texts_are_similar():
     same = (M.sampled(doc, a, wa, 2000) == M.sampled(doc, b, wb, 2000)).mean()
     both = np.minimum(wa[50:], wb[:200]).sum()
     assert abs(same - both / (wa.sum() + wb.sum() - both)) < 0.04
+
+
+def all_pairs_deleted(rows, least):
+    """Lines deleted when every document is aligned with every earlier one."""
+    lines = [[x for x in t.split("\n") if x] for _, t in rows]
+    out = {}
+    for d, b in enumerate(lines):
+        gone = set()
+        for a in lines[:d]:
+            gone.update(L.common_blocks(a, b, [len(words(x)) for x in b], least))
+        out[rows[d][0]] = len(gone)
+    return out
+
+
+def test_line_dedup_finds_blocks_that_no_line_holder_has(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    one, two = line("p", 15), line("q", 15)
+    rows = [(0, one), (1, two), (2, f"{one}\n{two}"), (3, f"{one}\n{two}")]
+    # a run of 24 words in twenty documents, whose first line an earlier one holds alone
+    one, two = line("r", 12), line("s", 12)
+    rows += [(10, one), *((i, f"{line(f'o{i}x', 9)}\n{one}\n{two}\nend{i}") for i in range(11, 31))]
+    got = {r.doc_id: r.n_deleted for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs_deleted(rows, L.MIN_WORDS)
+    assert got[3] == 2 and all(got[i] == 2 for i in range(12, 31)) and sum(got.values()) == 40
