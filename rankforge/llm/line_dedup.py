@@ -3,8 +3,9 @@
 Documents that overlap are found through shared runs: at each line begins a minimal run, the fewest consecutive lines that
 have MIN_WORDS words together.  Two documents have a common block of MIN_WORDS words or more exactly if they share such a
 run.  Each run that several documents hold pairs every later document with the earliest holder, a star and not all pairs,
-so a run of n documents gives n - 1 pairs, however large n is.  Each pair is aligned by patience diff, and aligned common
-blocks of MIN_WORDS words or more are deleted from the later document.  What goes always stays in an earlier document: the
+so a run of n documents gives n - 1 pairs, however large n is.  Each pair is aligned by patience diff, where no
+line is unique by the longest common block, and aligned common blocks of MIN_WORDS words or more are deleted from the later
+document.  What goes always stays in an earlier document: the
 earliest holder of a line never loses it.
 
 Alignment needs line hashes only; texts move once, to meet the numbers of their deleted lines.  Lines are compared without
@@ -35,8 +36,36 @@ def _unique(lines: list[int], lo: int, hi: int) -> dict[int, int]:
     return {x: i for i, x in enumerate(lines[lo:hi], lo) if count[x] == 1}
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions of equal lines: lines unique in both in their longest common order, then between them again."""
+def _longest(a: list[int], b: list[int], words: list[int]) -> tuple[int, int, int, int]:
+    """Of the common block with most words, the first of several: place in a, place in b, lines, words; words: of b's lines."""
+    at: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        at.setdefault(x, []).append(j)
+    places = {x: np.array(js) for x, js in at.items()}
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    length = np.zeros(len(b) + 1, np.int64)  # lines of the block that ends before this place of b and place i of a
+    best, before = (0, 0, 0, 0), np.zeros(0, np.int64)
+    for i, x in enumerate(a):
+        js = places.get(x, before[:0])
+        n = length[js] + 1
+        length[before + 1] = 0
+        length[js + 1] = n
+        before = js
+        if len(js):
+            held = total[js + 1] - total[js + 1 - n]
+            k = int(held.argmax())
+            if held[k] > best[3]:
+                best = (i + 1 - int(n[k]), int(js[k]) + 1 - int(n[k]), int(n[k]), int(held[k]))
+    return best
+
+
+def patience(a: list[int], b: list[int], words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Aligned positions of equal lines: lines unique in both in their longest common order, then between them again.
+
+    A stretch without such lines is split at its common block with most words, if that has least or more; words: of b's
+    lines, one each if not given.
+    """
+    words = [1] * len(b) if words is None else words
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -64,6 +93,14 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             chain.append(pairs[k])
             k = back[k]
         if not chain:
+            held = set(a[a0:a1])
+            if sum(words[j] for j in range(b0, b1) if b[j] in held) < max(least, 1):
+                continue
+            i, j, n, most = _longest(a[a0:a1], b[b0:b1], words[b0:b1])
+            if most < max(least, 1):
+                continue
+            out += [(a0 + i + k, b0 + j + k) for k in range(n)]
+            todo += [(a0, a0 + i, b0, b0 + j), (a0 + i + n, a1, b0 + j + n, b1)]
             continue
         out += chain
         edges = [(a0 - 1, b0 - 1), *reversed(chain), (a1, b1)]
@@ -76,7 +113,7 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int) -> l
     gone: list[int] = []
     run: list[int] = []
     before = (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
+    for i, j in [*patience(a, b, words, least), (-9, -9)]:
         if (i, j) != (before[0] + 1, before[1] + 1):
             if sum(words[k] for k in run) >= least:
                 gone += run

@@ -168,3 +168,27 @@ def test_line_dedup_finds_blocks_that_no_line_holder_has(spark):
     got = {r.doc_id: r.n_deleted for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == all_pairs_deleted(rows, L.MIN_WORDS)
     assert got[3] == 2 and all(got[i] == 2 for i in range(12, 31)) and sum(got.values()) == 40
+
+
+def test_patience_aligns_passages_that_are_repeated():
+    p, words_of_p = [1, 2], [12, 12]
+    assert L.common_blocks([7, *p, *p, 8], [9, *p, 10], [5, *words_of_p, 5], 20) == [1, 2]
+    assert L.common_blocks([7, *p, 8], [9, *p, 10, *p, 11], [5, *words_of_p, 5, *words_of_p, 5], 20) == [1, 2]
+    # the first two of three lines are not consecutive with the last
+    assert L.common_blocks([2, 7, *p, 8, 2, 6], [9, *p, 10], [5, *words_of_p, 5], 20) == [1, 2]
+    assert L.common_blocks([7, 1, 1, 8], [9, 1, 10], [5, 12, 5], 20) == []
+
+
+def test_repeated_passages_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = rng.integers(0, 4, 12).tolist(), rng.integers(0, 4, 12).tolist()
+        w = [[3, 9, 12, 25][x] for x in b]
+        got = L.common_blocks(a, b, w, 20)
+        held = [any(a[i : i + n] == b[j : j + n] for i in range(13 - n)) and sum(w[j : j + n]) >= 20 for j in range(12) for n in range(1, 13 - j)]
+        assert not got or any(held)
+        pairs = L.patience(a, b, w, 20)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        # a stretch where no line is unique is never left with a common block
+        if not any(a.count(x) == 1 == b.count(x) for x in set(a)) and any(held):
+            assert got
