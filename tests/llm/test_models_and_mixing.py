@@ -101,6 +101,16 @@ def test_training_helps(spark):
     assert mean(lm.score_texts(df, every=1, rounds=12)) > mean(lm.score_texts(df, every=1, rounds=0)) + 0.1
 
 
+def test_training_reads_all_training_documents(spark):
+    crc = lambda i: zlib.crc32(str(i).encode())
+    # none of them in a sample of one in sixteen, so that a sample would leave the model untrained
+    ids = [i for i in range(400) if crc(i) % 5 != 1 and crc(i) // 5 % 16][:60]
+    held = next(i for i in range(400) if crc(i) % 5 == 1)
+    df = spark.createDataFrame([(i, "the cat sat on the mat " * 20) for i in [*ids, held]], "doc_id long, text string")
+    score = lambda d: {r.doc_id: r.score for r in d.collect()}[held]
+    assert score(lm.score_texts(df)) > score(lm.score_texts(df, rounds=0)) + 0.1
+
+
 def brute_targets(sizes, share=1.5, most=2):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
