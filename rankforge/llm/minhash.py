@@ -10,17 +10,18 @@ similarity.  Texts that agree in all rows of a band share a bucket of that band.
 shares with another are kept, and every two of them make one bucket for candidates: two texts at the threshold share two
 bands of 18 with probability 0.99995, while texts that only have a passage in common seldom do.
 
-Short texts around a passage that very many hold still fill such buckets without resembling each other.  So what a
-bucket's leader is not linked to is put in buckets anew, by RARE samples drawn from the text's rare shingles alone, those
-in less than 0.2 % of documents.  Two similar texts of which less than four fifths of the weight are frequent shingles have
-so many rare ones in common that they agree in one of 24 with probability 0.9997 or more; texts with a larger share of
-frequent shingles are put in buckets by band too.  Pairs that agree in fewer than AGREE of
-all 54 samples (0.0005 of pairs at the threshold) are left out, and pairs of one class.
+Short texts around a passage that very many hold still fill such buckets without resembling each other.  So buckets that
+hold several classes after the first leaders are left, and their texts are put in buckets anew, by RARE samples drawn from
+the text's rare shingles alone, those in less than 0.2 % of documents.  Two similar texts of which less than four fifths
+of the weight are frequent shingles have so many rare ones in common that they agree in one of 24 with probability 0.9997
+or more; where one has a larger share of them, the other has three fifths at least, so all texts with that share are put
+in buckets by band too.
 
 Within a bucket no pairs are listed.  Every text is compared with the bucket's leader, the text that meets most others
-over all its buckets: of a group of near copies that is the text that the others were made from.  Linked texts leave, and
-the rest gets new leaders, LEADERS of a bucket and then more each round, until each bucket has had all its texts linked or made leaders, or holds texts of one class
-only.  Texts linked directly or through others form a class.  Exact copies are one text from the first shuffle on.
+over all its buckets: of a group of near copies that is the text that the others were made from.  A leader, compared with
+all texts of other classes, leaves; all others stay, linked or not, and get new leaders, LEADERS of a bucket and then more
+each round, until each bucket holds texts of one class only or every two of its texts of different classes were compared.
+Texts linked directly or through others form a class.  Exact copies are one text from the first shuffle on.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 18, 3
 LEADERS, MORE_LEADERS = 8, 8
 RARE = 24
-AGREE = 34
 FREQUENT, MOSTLY = 0.002, 0.8
 SKETCH_BITS = 20
 _CELLS = 1 << 12
@@ -197,9 +197,8 @@ def _signatures(idf, bands: int, rows: int):
     return sign
 
 
-def _rare_samples(idf, functions: int):
-    """RARE samples of each text's rare shingles, whether most of its weight is of frequent ones, and 32 bits of each
-    sample of all shingles."""
+def _rare_samples(idf, least: float):
+    """RARE samples of each text's rare shingles, and whether it can resemble one that is mostly of frequent ones."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = idf_table(np.full(1, 1000), round(1000 / FREQUENT))[0]
@@ -209,16 +208,13 @@ def _rare_samples(idf, functions: int):
                 weight = weights_of(h, count, idf.value)
                 rare = weight > count * frequent
                 total = np.bincount(doc, weight, minlength=part.num_rows)
-                mostly = np.bincount(doc[~rare], weight[~rare], minlength=part.num_rows) >= MOSTLY * total
+                mostly = np.bincount(doc[~rare], weight[~rare], minlength=part.num_rows) >= (MOSTLY + least - 1 - 1e-6) * total
                 drawn = np.ascontiguousarray(sampled(doc[rare], mixed(h[rare]), weight[rare], RARE).T)
                 there = np.unique(doc[rare])
-                whole = np.zeros((part.num_rows, functions), np.int32)
-                whole[np.unique(doc)] = sampled(doc, h, weight, functions).astype(np.uint32).view(np.int32).T
-                every = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * functions), pa.array(whole.ravel()))
                 keys: list[list[int]] = [[] for _ in range(part.num_rows)]
                 for d, row in zip(there.tolist(), drawn.view(np.int64), strict=True):
                     keys[d] = row.tolist()
-                yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), pa.array(keys, pa.list_(pa.int64())), pa.array(mostly), every], names=["key_a", "key_b", "rare", "mostly", "own"])
+                yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), pa.array(keys, pa.list_(pa.int64())), pa.array(mostly)], names=["key_a", "key_b", "rare", "mostly"])
 
     return sign
 
@@ -280,42 +276,42 @@ def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARI
         made = written(shared(rows, counted=True), "buckets")
         return written(made.drop("n").join(made.groupBy(*KEYS).agg(F.sum("n").alias("met")), KEYS), "active")
 
-    none = [_struct("key_a", "key_b").alias("root"), F.array().cast("array<int>").alias("own")]
+    def rooted(rows: DataFrame) -> DataFrame:
+        """rows with the classes that the links so far make."""
+        roots = components(links).select(F.col("node.a").alias("key_a"), F.col("node.b").alias("key_b"), "root")
+        return rows.drop("root").join(roots, KEYS, "left").withColumn("root", F.coalesce("root", _struct("key_a", "key_b")))
+
     of_text = shared(bucketed).groupBy(*KEYS, "weight").agg(F.sort_array(F.collect_list("bucket")).alias("b"))
     twos = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
-    active = gathered(of_text.where(F.size("b") > 1).select(*KEYS, "weight", *none, F.explode(twos).alias("bucket")))
+    active = gathered(of_text.where(F.size("b") > 1).select(*KEYS, "weight", _struct("key_a", "key_b").alias("root"), F.explode(twos).alias("bucket")))
     texts = written(keyed.join(active.select(*KEYS).distinct(), KEYS, "left_semi").groupBy(*KEYS).agg(F.first("text").alias("text")), "texts")
     lead_texts = texts.select(F.col("key_a").alias("lead_a"), F.col("key_b").alias("lead_b"), F.col("text").alias("lead_text"))
     parts = 1
     links = tried = None
     ends = [*KEYS, "lead_a", "lead_b"]
     while not active.isEmpty():
-        order = F.struct((-F.col("met")).alias("less"), F.xxhash64(*KEYS).alias("o"), *KEYS, "weight", "root", "own")
+        order = F.struct((-F.col("met")).alias("less"), F.xxhash64(*KEYS).alias("o"), *KEYS, "weight", "root")
         leaders = active.groupBy("bucket", F.pmod(F.xxhash64("key_b", "key_a"), F.lit(parts)).alias("part")).agg(F.min(order).alias("l"))
-        leaders = written(leaders.select("bucket", F.col("l.key_a").alias("lead_a"), F.col("l.key_b").alias("lead_b"), F.col("l.weight").alias("lead_weight"), F.col("l.root").alias("lead_root"), F.col("l.own").alias("lead_own")), "leaders")
+        leaders = written(leaders.select("bucket", F.col("l.key_a").alias("lead_a"), F.col("l.key_b").alias("lead_b"), F.col("l.weight").alias("lead_weight"), F.col("l.root").alias("lead_root")), "leaders")
         ahead = (F.col("key_a") != F.col("lead_a")) | (F.col("key_b") != F.col("lead_b"))
         alike = F.least("weight", "lead_weight") >= (similarity - 1e-4) * F.greatest("weight", "lead_weight")
-        agreed = F.aggregate(F.zip_with("own", "lead_own", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        apart = (F.col("root") != F.col("lead_root")) & (agreed >= AGREE * bands * rows // 54) if parts > 1 else F.lit(True)
+        apart = F.col("root") != F.col("lead_root")
         pairs = active.join(leaders, "bucket").where(ahead & alike & apart).select(*ends).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ends, "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         told = pairs.join(texts, KEYS).join(lead_texts, ["lead_a", "lead_b"]).select(*ends, "text", "lead_text")
         new = written(told.mapInArrow(_similar(idf, similarity), "key_a long, key_b int, lead_a long, lead_b int, similarity double"), "links")
         links = new if links is None else links.unionByName(new)
-        linked = active.join(leaders, "bucket").join(links.select(*ends), ends, "left_semi").select("bucket", *KEYS)
-        gone = linked.unionByName(leaders.select("bucket", F.col("lead_a").alias("key_a"), F.col("lead_b").alias("key_b"))).distinct()
-        left = active.join(gone, ["bucket", *KEYS], "left_anti")
+        led = leaders.select("bucket", F.col("lead_a").alias("key_a"), F.col("lead_b").alias("key_b"))
+        left = rooted(active.join(led, ["bucket", *KEYS], "left_anti"))
         if parts > 1:
             active, parts = written(several(left), "active"), MORE_LEADERS * parts
             continue
-        roots = components(links).select(F.col("node.a").alias("key_a"), F.col("node.b").alias("key_b"), "root")
-        rooted = left.drop("root").join(roots, KEYS, "left").withColumn("root", F.coalesce("root", _struct("key_a", "key_b")))
-        rest = written(several(rooted).select(*KEYS, "root").distinct(), "rest")
-        rare = texts.join(rest.select(*KEYS), KEYS, "left_semi").mapInArrow(_rare_samples(idf, bands * rows), "key_a long, key_b int, rare array<long>, mostly boolean, own array<int>")
+        rest = written(several(left).select(*KEYS, "root").distinct(), "rest")
+        rare = texts.join(rest.select(*KEYS), KEYS, "left_semi").mapInArrow(_rare_samples(idf, similarity), "key_a long, key_b int, rare array<long>, mostly boolean")
         again = written(rest.join(rare, KEYS).join(of_text, KEYS), "again")
         keys = F.concat("rare", F.when(F.col("mostly"), F.col("b")).otherwise(F.array().cast("array<long>")))
-        active, parts = gathered(several(again.select(*KEYS, "weight", "root", "own", F.explode(keys).alias("bucket")))), LEADERS
+        active, parts = gathered(several(again.select(*KEYS, "weight", "root", F.explode(keys).alias("bucket")))), LEADERS
     if links is None:
         return spark.createDataFrame([], "key_a long, key_b int, lead_a long, lead_b int, similarity double")
     return links.groupBy(*ends).agg(F.max("similarity").alias("similarity"))

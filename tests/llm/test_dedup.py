@@ -192,3 +192,23 @@ def test_repeated_passages_against_brute_force():
         # a stretch where no line is unique is never left with a common block
         if not any(a.count(x) == 1 == b.count(x) for x in set(a)) and any(held):
             assert got
+
+
+def test_no_link_is_lost_beside_a_leader(spark):
+    import pyarrow as pa
+
+    # y is like x and x like l, but y is not like l; one bucket for each text, of two samples
+    texts = []
+    for t in range(150):
+        l_text = [f"t{t}w{i}" for i in range(200)]
+        x_text = [f"{w}x" if i in (20, 60, 100) else w for i, w in enumerate(l_text)]
+        texts += [l_text, x_text, [f"{w}y" if i in (40, 80, 120) else w for i, w in enumerate(x_text)]]
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = M.idf_table(*M.document_frequencies(df))
+    doc, h, count = M.shingles(M.Words(pa.array(texts)))
+    drawn = M.sampled(doc, h, M.weights_of(h, count, idf), 2).T.tolist()
+    together = [t for t in range(150) if drawn[3 * t] == drawn[3 * t + 1] == drawn[3 * t + 2]]
+    size = {r.doc_id: r.class_size for r in M.near_classes(df, bands=2, rows=1).collect()}
+    assert len(together) > 10
+    assert all(size[3 * t] == 3 for t in together)
