@@ -5,7 +5,8 @@ size, items are put in classes by their number of shingles, doubling from class
 of the document of about its own size: windows of 3/2 of the class's size, every half of it, so that an item's passage
 lies within one.  An item and a window that holds four fifths of it have a Jaccard similarity of a quarter or more; FUNCTIONS
 min-hashes, of which one must agree, miss that once in 100,000 times.  Minima of small blocks are shared by all windows
-and classes.  Documents found this way are held exactly against the item: the share of its shingles that they hold.
+and classes.  Items of fewer than LEAST_CLASS shingles are found exactly, by looking up every shingle of the text among
+theirs.  Documents found this way are held exactly against the item: the share of its shingles that they hold.
 
 Words are compared without ASCII case and punctuation.  Items come in blocks of at most BLOCK_WORDS words, one pass over
 the documents each, so what is sent to the executors has a bound however many items there are.
@@ -44,11 +45,18 @@ class Items:
         self.shingles = [np.sort(x) for x in self.shingles]
         self.short: dict[int, list[int]] = {}
         self.classes: dict[int, list[int]] = {}
+        few: list[int] = []
         for i, (n, s) in enumerate(zip(w.count, self.shingles, strict=True)):
             if 0 < n < SHINGLE:
                 self.short.setdefault(int(n), []).append(i)
+            elif n and len(s) < LEAST_CLASS:
+                few.append(i)
             elif n:
-                self.classes.setdefault(max(LEAST_CLASS, 1 << int(len(s) - 1).bit_length()), []).append(i)
+                self.classes.setdefault(1 << int(len(s) - 1).bit_length(), []).append(i)
+        #: Shingles of the items of few, in order, each with its item
+        looked_up = np.concatenate([self.shingles[i] for i in few]) if few else np.zeros(0, _U)
+        order = np.argsort(looked_up, kind="stable")
+        self.few_shingles, self.few_items = looked_up[order], np.repeat(np.array(few, np.int64), [len(self.shingles[i]) for i in few])[order]
         self.least = {u: np.array([[((self.shingles[i] ^ f) * o).min() for i in of] for f, o in zip(_FLIP, _ODD, strict=True)]) for u, of in self.classes.items()}
         self.seen = {}
         for u, least in self.least.items():
@@ -57,8 +65,24 @@ class Items:
                 self.seen[u][j, (least[j] >> _U(48)).astype(np.int64)] = True
 
 
-def _candidates(w: Words, items: Items) -> set[tuple[int, int]]:
-    """(text, item) pairs that a min-hash of one of the text's windows proposes."""
+def _looked_up(h: np.ndarray, doc: np.ndarray, items: Items, least: float) -> set[tuple[int, int]]:
+    """(text, item) pairs of the items with few shingles, of which the text holds the share least or more."""
+    lo = np.searchsorted(items.few_shingles, h)
+    hit = np.flatnonzero(items.few_shingles[np.minimum(lo, len(items.few_shingles) - 1)] == h)
+    # each shingle of a text once
+    _, once = np.unique(mixed(h[hit] + doc[hit].astype(_U) * _U(0xD6E8FEB86659FD93)), return_index=True)
+    hit = hit[once]
+    lo, hi = lo[hit], np.searchsorted(items.few_shingles, h[hit], side="right")
+    n = hi - lo
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    pair, count = np.unique(np.repeat(doc[hit], n) * np.int64(len(items.ids)) + items.few_items[at], return_counts=True)
+    d, i = pair // len(items.ids), pair % len(items.ids)
+    held = count >= (least - 1e-9) * np.array([len(items.shingles[k]) for k in i])
+    return set(zip(d[held].tolist(), i[held].tolist(), strict=True))
+
+
+def _candidates(w: Words, items: Items, least_share: float) -> set[tuple[int, int]]:
+    """(text, item) pairs that shingles looked up or a min-hash of one of the text's windows propose."""
     pairs: set[tuple[int, int]] = set()
     for n, of in items.short.items():
         inside = np.flatnonzero(w.inside(n))
@@ -66,12 +90,16 @@ def _candidates(w: Words, items: Items) -> set[tuple[int, int]]:
         h, doc = w.windows(n)[inside], w.doc[inside]
         for i in of:
             pairs |= {(int(d), i) for d in np.unique(doc[h == items.windows_of_short[i]])}
-    if not items.classes:
+    if not items.classes and not len(items.few_shingles):
         return pairs
     inside = np.flatnonzero(w.inside(SHINGLE))
     if not len(inside):
         return pairs
     h, doc, place = w.windows(SHINGLE)[inside], w.doc[inside], w.place()[inside]
+    if len(items.few_shingles):
+        pairs |= _looked_up(h, doc, items, least_share)
+    if not items.classes:
+        return pairs
     size = min(items.classes) // 2
     block = place // size
     new = np.ones(len(h), bool)
@@ -108,7 +136,7 @@ def _verified(w: Words, items: Items, least: float) -> list[tuple[int, int, int,
     """(text, item id, shared shingles, containment) of the candidates that hold."""
     found = []
     of_text: dict[int, list[int]] = {}
-    for d, i in _candidates(w, items):
+    for d, i in _candidates(w, items, least):
         of_text.setdefault(d, []).append(i)
     if not of_text:
         return found

@@ -154,6 +154,22 @@ def test_decontamination(spark, no_docs):
     assert D.contained_items(no_docs, items).isEmpty() and D.contained_items(docs, items.where("false")).isEmpty()
 
 
+def test_short_items_in_long_documents_are_all_found():
+    import pyarrow as pa
+
+    rows, texts = [], []
+    for i in range(240):
+        w = [f"i{i}w{j}" for j in range(5 + (i % 16 if i < 64 else 0))]
+        rows.append((i, " ".join(w)))
+        texts.append(" ".join([*(f"d{i}f{j}" for j in range(150 + i)), *w, *(f"d{i}g{j}" for j in range(150))]))
+    rows += [(1000, rows[0][1]), (1001, rows[15][1])]
+    texts += [f"{rows[11][1].rsplit(' ', 1)[0]} x", f"{rows[1][1].rsplit(' ', 1)[0]} x", ""]
+    found = D._verified(D.Words(pa.array(texts), folded=True), D.item_block(rows), 0.8)
+    # of twelve shingles, all but the last are four fifths; of two they are not
+    want = {(i, i) for i in range(240)} | {(0, 1000), (15, 1001), (240, 11)}
+    assert {(d, i) for d, i, _, _ in found} == want and len(found) == len(want)
+
+
 def test_item_blocks(spark):
     items = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(10)], "item_id long, text string")
     assert [len(b.ids) for b in D.item_blocks(items, "item_id", "text", 50)] == [2] * 5
