@@ -83,6 +83,13 @@ def test_personal_data(spark):
     assert [(x.kind, TEXTS[9][x.start : x.end]) for x in secret] == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
 
 
+def test_long_secrets(spark):
+    long = hashlib.sha512(b"k").hexdigest() * 40
+    texts = [*TEXTS, f'token = "{long}" and so on']
+    got = P.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where(f"doc_id = {len(TEXTS)}").first()
+    assert [(x.kind, texts[-1][x.start : x.end]) for x in got.spans] == [("secret", long)]
+
+
 def test_reliabilities_of_labelers_that_disagree():
     # pattern, gazetteer and assignment mostly agree; mix is a coin
     counts = {0b1111: 400, 0b1110: 400, 0b0000: 450, 0b0001: 450, 0b1101: 40, 0b0111: 30, 0b0100: 20}
