@@ -6,21 +6,22 @@ share of the number of documents, whatever that number, and only makes very rare
 
 Improved consistent weighted sampling (Ioffe 2010) draws, for each of BANDS * ROWS functions, the shingle and the level
 of its weight that minimise a random function of both; two texts draw the same with probability their weighted Jaccard
-similarity.  Texts that agree in all rows of a band share a bucket of that band.  Of a text's buckets only those that it
-shares with another are kept, and every two of them make one bucket for candidates: two texts at the threshold share two
-bands of 18 with probability 0.99995, while texts that only have a passage in common seldom do.
-
-Short texts around a passage that very many hold still fill such buckets without resembling each other.  So buckets that
-hold several classes after the first leaders are left, and their texts are put in buckets anew, by RARE samples drawn from
-the text's rare shingles alone, those in less than 0.2 % of documents.  Two similar texts of which less than four fifths
-of the weight are frequent shingles have so many rare ones in common that they agree in one of 24 with probability 0.9997
-or more; where one has a larger share of them, the other has three fifths at least, so all texts with that share are put
-in buckets by band too.
-
-Within a bucket no pairs are listed.  Every text is compared with the bucket's leader, the text that meets most others
-over all its buckets: of a group of near copies that is the text that the others were made from.  A leader, compared with
-all texts of other classes, leaves; all others stay, linked or not, and get new leaders, LEADERS of a bucket and then more
-each round, until each bucket holds texts of one class only or every two of its texts of different classes were compared.
+similarity.  Texts that agree in all rows of a band share a bucket of that band.  Two texts at the threshold share two
+bands of 18 with probability 0.99995, while texts that only have a passage in common seldom do; so a text goes on only
+if it shares two of its buckets with others.
+
+Candidates are verified in two steps, neither of which lists the pairs of a bucket.
+
+* Star: each bucket's leader is the text that meets most others over all its buckets; of a group of near copies that is
+  the text that the others were made from.  Texts that share AGREE buckets with a leader of theirs are held against it.
+  That links most texts of a large group, one comparison each, and no link depends on it.
+* Exact search: buckets that still hold several classes are not told apart by samples.  All their texts are searched by
+  prefixes: with each text's shingles ordered by how few of these texts hold them, two texts of similarity s or more share
+  a shingle in front of which at most 1 - s of the weight of either lies, and what lies behind it is enough for both.
+  Shingles that one text alone holds come first, so a text that is mostly its own, like a copy with many edits, has
+  nothing to look for, however large its group is.  Keys hold the shingle and a size class; in a key the largest class
+  never meets itself.  This search loses no pair.
+
 Texts linked directly or through others form a class.  Exact copies are one text from the first shuffle on.
 """
 
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, content_key, ints, longs, mixed, powers, written
@@ -38,9 +40,8 @@ from .common import Words, chunks, content_key, ints, longs, mixed, powers, writ
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 18, 3
-LEADERS, MORE_LEADERS = 8, 8
-RARE = 24
-FREQUENT, MOSTLY = 0.002, 0.8
+AGREE = 5
+SIZE_CLASS = 1.06
 SKETCH_BITS = 20
 _CELLS = 1 << 12
 _U = np.uint64
@@ -197,26 +198,17 @@ def _signatures(idf, bands: int, rows: int):
     return sign
 
 
-def _rare_samples(idf, least: float):
-    """RARE samples of each text's rare shingles, and whether it can resemble one that is mostly of frequent ones."""
+def _weighted_shingles(idf):
+    """Rows of each text's shingles and their weights."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = idf_table(np.full(1, 1000), round(1000 / FREQUENT))[0]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 doc, h, count = shingles(Words(part.column("text")))
-                weight = weights_of(h, count, idf.value)
-                rare = weight > count * frequent
-                total = np.bincount(doc, weight, minlength=part.num_rows)
-                mostly = np.bincount(doc[~rare], weight[~rare], minlength=part.num_rows) >= (MOSTLY + least - 1 - 1e-6) * total
-                drawn = np.ascontiguousarray(sampled(doc[rare], mixed(h[rare]), weight[rare], RARE).T)
-                there = np.unique(doc[rare])
-                keys: list[list[int]] = [[] for _ in range(part.num_rows)]
-                for d, row in zip(there.tolist(), drawn.view(np.int64), strict=True):
-                    keys[d] = row.tolist()
-                yield pa.RecordBatch.from_arrays([part.column("key_a"), part.column("key_b"), pa.array(keys, pa.list_(pa.int64())), pa.array(mostly)], names=["key_a", "key_b", "rare", "mostly"])
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part.column("key_a").take(at), part.column("key_b").take(at), longs(h), pa.array(weights_of(h, count, idf.value))], names=["key_a", "key_b", "h", "w"])
 
-    return sign
+    return rows
 
 
 # --- verification ------------------------------------------------------------------------------------------------------
@@ -252,6 +244,45 @@ def _struct(a: str, b: str):
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node.a").alias("key_a"), F.col("node.b").alias("key_b"), "root")
+
+
+def prefix_pairs(rest: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """key_a, key_b, lead_a, lead_b: every pair of texts of rest (key_a, key_b, weight, root) of different roots that can
+    have the similarity.  texts: key_a, key_b, text.
+
+    Ordered by how many texts of rest hold them, rem is the weight of a text's shingles from one on.  The first shingle
+    that two texts share bounds what they share by rem in both, so it fulfils all conditions below.
+    """
+    half, slack = similarity / (1 + similarity), 1e-6
+    told = texts.join(rest.select(*KEYS), KEYS, "left_semi").mapInArrow(_weighted_shingles(idf), "key_a long, key_b int, h long, w double")
+    held = written(told.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "held")
+    # a shingle that one text holds comes before all others and is met by none: its weight is in front of every rem
+    rem = F.sum("w").over(W.partitionBy(*KEYS).orderBy(F.col("df").desc(), "h").rowsBetween(W.unboundedPreceding, 0))
+    behind = told.join(held, "h").select(*KEYS, "h", rem.alias("rem"))
+    sizes = written(rest.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    named = rest.join(sizes, "root").select(*KEYS, "weight", F.struct("n", "root").alias("class"))
+    front = written(behind.join(named, KEYS).where(F.col("rem") >= (similarity - slack) * F.col("weight")), "prefixes")
+    size_class = lambda c: F.floor(F.log(c) / float(np.log(SIZE_CLASS))).cast("int")
+    # the lighter text of a pair waits in its size class, the heavier one looks in all classes that its rem allows
+    wait = front.where(F.col("rem") >= (2 * half - slack) * F.col("weight")).withColumn("size", size_class(F.col("weight")))
+    most = F.least(F.col("weight"), (F.col("rem") / half - F.col("weight")) * (1 + slack))
+    seek = front.withColumn("size", F.explode(F.sequence(size_class(similarity * F.col("weight") * (1 - slack)), F.greatest(size_class(most), size_class(similarity * F.col("weight") * (1 - slack))))))
+    one = wait.select("h", "size", "class", F.lit(1).alias("waits"), F.lit(0).alias("seeks"))
+    keys = one.unionByName(seek.select("h", "size", "class", F.lit(0).alias("waits"), F.lit(1).alias("seeks"))).groupBy("h", "size")
+    keys = keys.agg(F.max("class").alias("largest"), F.min("class").alias("other"), F.max("waits").alias("waits"), F.max("seeks").alias("seeks"))
+    keys = written(keys.where("largest != other and waits = 1 and seeks = 1").select("h", "size", "largest"), "keys")
+    # the key's largest class is apart from the others, so that it never meets itself
+    inside = F.col("class") == F.col("largest")
+    wait = wait.join(keys, ["h", "size"]).select("h", "size", inside.alias("part"), F.col("key_a").alias("lead_a"), F.col("key_b").alias("lead_b"), F.col("weight").alias("lead_weight"), F.col("rem").alias("lead_rem"), F.col("class.root").alias("lead_root"))
+    parts = F.when(inside, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    seek = seek.join(keys, ["h", "size"]).select("h", "size", F.explode(parts).alias("part"), *KEYS, "weight", "rem", F.col("class.root").alias("root"))
+    lighter = (F.col("lead_weight") < F.col("weight")) | ((F.col("lead_weight") == F.col("weight")) & (_struct("lead_a", "lead_b") < _struct("key_a", "key_b")))
+    enough = F.least("rem", "lead_rem") >= (half - slack) * (F.col("weight") + F.col("lead_weight"))
+    return wait.join(seek, ["h", "size", "part"]).where((F.col("root") != F.col("lead_root")) & lighter & enough).select(*KEYS, "lead_a", "lead_b").distinct()
+
+
 def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key_a, key_b, lead_a, lead_b, similarity: links between different texts, enough to connect each class."""
     spark = docs.sparkSession
@@ -261,60 +292,31 @@ def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARI
     kind = "key_a long, key_b int, weight double, bands array<long>"
     signed = written(keyed.mapInArrow(_signatures(idf, bands, rows), kind).groupBy(*KEYS).agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")), "signatures")
     bucketed = signed.select(*KEYS, "weight", F.explode("bands").alias("bucket"))
-
-    def shared(rows: DataFrame, counted: bool = False) -> DataFrame:
-        crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return rows.join(crowded if counted else crowded.select("bucket"), "bucket")
-
-    def several(rows: DataFrame) -> DataFrame:
-        """rows whose bucket has texts of more than one class."""
-        mixed_up = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        return rows.join(mixed_up, "bucket")
-
-    def gathered(rows: DataFrame) -> DataFrame:
-        """rows whose bucket has more than one text, with how often each text meets others."""
-        made = written(shared(rows, counted=True), "buckets")
-        return written(made.drop("n").join(made.groupBy(*KEYS).agg(F.sum("n").alias("met")), KEYS), "active")
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        """rows with the classes that the links so far make."""
-        roots = components(links).select(F.col("node.a").alias("key_a"), F.col("node.b").alias("key_b"), "root")
-        return rows.drop("root").join(roots, KEYS, "left").withColumn("root", F.coalesce("root", _struct("key_a", "key_b")))
-
-    of_text = shared(bucketed).groupBy(*KEYS, "weight").agg(F.sort_array(F.collect_list("bucket")).alias("b"))
-    twos = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
-    active = gathered(of_text.where(F.size("b") > 1).select(*KEYS, "weight", _struct("key_a", "key_b").alias("root"), F.explode(twos).alias("bucket")))
+    # tables of their own, so that a bucket of very many texts is one that Spark can split in the joins
+    crowded = written(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
+    members = written(bucketed.join(crowded, "bucket"), "members")
+    met = members.groupBy(*KEYS).agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("shared")).where("shared > 1").drop("shared")
+    active = written(members.drop("n").join(met, KEYS), "active")
+    ends = [*KEYS, "lead_a", "lead_b"]
+    order = F.struct((-F.col("met")).alias("less"), F.xxhash64(*KEYS).alias("o"), *KEYS, "weight")
+    leaders = active.groupBy("bucket").agg(F.min(order).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = written(leaders.select("bucket", F.col("l.key_a").alias("lead_a"), F.col("l.key_b").alias("lead_b"), F.col("l.weight").alias("lead_weight")), "leaders")
     texts = written(keyed.join(active.select(*KEYS).distinct(), KEYS, "left_semi").groupBy(*KEYS).agg(F.first("text").alias("text")), "texts")
     lead_texts = texts.select(F.col("key_a").alias("lead_a"), F.col("key_b").alias("lead_b"), F.col("text").alias("lead_text"))
-    parts = 1
-    links = tried = None
-    ends = [*KEYS, "lead_a", "lead_b"]
-    while not active.isEmpty():
-        order = F.struct((-F.col("met")).alias("less"), F.xxhash64(*KEYS).alias("o"), *KEYS, "weight", "root")
-        leaders = active.groupBy("bucket", F.pmod(F.xxhash64("key_b", "key_a"), F.lit(parts)).alias("part")).agg(F.min(order).alias("l"))
-        leaders = written(leaders.select("bucket", F.col("l.key_a").alias("lead_a"), F.col("l.key_b").alias("lead_b"), F.col("l.weight").alias("lead_weight"), F.col("l.root").alias("lead_root")), "leaders")
-        ahead = (F.col("key_a") != F.col("lead_a")) | (F.col("key_b") != F.col("lead_b"))
-        alike = F.least("weight", "lead_weight") >= (similarity - 1e-4) * F.greatest("weight", "lead_weight")
-        apart = F.col("root") != F.col("lead_root")
-        pairs = active.join(leaders, "bucket").where(ahead & alike & apart).select(*ends).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ends, "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        told = pairs.join(texts, KEYS).join(lead_texts, ["lead_a", "lead_b"]).select(*ends, "text", "lead_text")
-        new = written(told.mapInArrow(_similar(idf, similarity), "key_a long, key_b int, lead_a long, lead_b int, similarity double"), "links")
-        links = new if links is None else links.unionByName(new)
-        led = leaders.select("bucket", F.col("lead_a").alias("key_a"), F.col("lead_b").alias("key_b"))
-        left = rooted(active.join(led, ["bucket", *KEYS], "left_anti"))
-        if parts > 1:
-            active, parts = written(several(left), "active"), MORE_LEADERS * parts
-            continue
-        rest = written(several(left).select(*KEYS, "root").distinct(), "rest")
-        rare = texts.join(rest.select(*KEYS), KEYS, "left_semi").mapInArrow(_rare_samples(idf, similarity), "key_a long, key_b int, rare array<long>, mostly boolean")
-        again = written(rest.join(rare, KEYS).join(of_text, KEYS), "again")
-        keys = F.concat("rare", F.when(F.col("mostly"), F.col("b")).otherwise(F.array().cast("array<long>")))
-        active, parts = gathered(several(again.select(*KEYS, "weight", "root", F.explode(keys).alias("bucket")))), LEADERS
-    if links is None:
-        return spark.createDataFrame([], "key_a long, key_b int, lead_a long, lead_b int, similarity double")
-    return links.groupBy(*ends).agg(F.max("similarity").alias("similarity"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts, KEYS).join(lead_texts, ["lead_a", "lead_b"]).select(*ends, "text", "lead_text")
+        return written(both.mapInArrow(_similar(idf, similarity), "key_a long, key_b int, lead_a long, lead_b int, similarity double"), "links")
+
+    ahead = (F.col("key_a") != F.col("lead_a")) | (F.col("key_b") != F.col("lead_b"))
+    alike = F.least("weight", "lead_weight") >= (similarity - 1e-4) * F.greatest("weight", "lead_weight")
+    star = active.join(leaders, "bucket").where(ahead & alike).groupBy(*ends).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(AGREE, bands)).drop("n")
+    links = verified(star)
+    # texts with two buckets that the links so far leave with several classes
+    rooted = written(active.join(_roots(links), KEYS, "left").withColumn("root", F.coalesce("root", _struct("key_a", "key_b"))), "rooted")
+    apart = written(rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket"), "apart")
+    rest = written(rooted.join(apart, "bucket").groupBy(*KEYS).agg(F.first("weight").alias("weight"), F.first("root").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "rest")
+    return links.unionByName(verified(written(prefix_pairs(rest, texts, idf, similarity), "pairs")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -338,19 +340,21 @@ def components(links: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, class_id, class_size, kept for every row of docs.
 
-    class_id is the least doc_id of the class, null only if all are null; kept marks it.  Texts without words resemble
-    nothing but exact copies of themselves.  Repeated rows are members of their own; an empty table gives no rows.
+    class_id is the least doc_id of the class, null only if all are null; kept marks one row of each class, one that has
+    it.  Texts without words resemble nothing but exact copies of themselves.  Repeated rows are members of their own; an
+    empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *content_key(F.col(text)))
-    roots = components(near_links(docs, text, **options)).select(F.col("node.a").alias("key_a"), F.col("node.b").alias("key_b"), "root")
-    rooted = written(rows.join(roots, KEYS, "left").select("doc_id", F.coalesce("root", _struct("key_a", "key_b")).alias("root")), "rooted")
-    classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rooted.join(classes, "root").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    of_row = rows.join(_roots(near_links(docs, text, **options)), KEYS, "left").select("doc_id", F.coalesce("root", _struct("key_a", "key_b")).alias("root"))
+    rooted = written(of_row.withColumn("row", F.monotonically_increasing_id()), "rooted")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row")).alias("best")
+    classes = written(rooted.groupBy("root").agg(best, F.count(F.lit(1)).alias("class_size")), "classes")
+    return rooted.join(classes, "root").select("doc_id", F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each class, all columns: the one with the least doc_id (null last), then the least other columns."""
-    roots = components(near_links(docs, text, **options)).select(F.col("node.a").alias("key_a"), F.col("node.b").alias("key_b"), "root")
+    roots = _roots(near_links(docs, text, **options))
     a, b = content_key(F.col(text))
     whole = docs.select(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.struct(*(F.col(c) for c in docs.columns)).alias("row")).alias("r"), a, b)
     best = whole.join(roots, KEYS, "left").groupBy(F.coalesce("root", _struct("key_a", "key_b")).alias("root")).agg(F.min("r").alias("r"))

@@ -127,7 +127,8 @@ def test_near_classes(docs, corpus):
     want = Counter()
     for g in groups.values():
         least = min((x for x in g if x is not None), default=None)
-        want.update((x, least, len(g), x == least) for x in g)
+        # one row of each class is kept, of repeated rows too
+        want.update((x, least, len(g), n == 0) for n, x in enumerate(sorted(g, key=lambda x: (x is None, x))))
     assert Counter(tuple(r) for r in M.near_classes(docs).collect()) == want
     one = [r.doc_id for r in M.one_of_each_class(docs).collect()]
     assert Counter(one) == Counter(min((x for x in g if x is not None), default=None) for g in groups.values())
@@ -212,3 +213,47 @@ def test_no_link_is_lost_beside_a_leader(spark):
     size = {r.doc_id: r.class_size for r in M.near_classes(df, bands=2, rows=1).collect()}
     assert len(together) > 10
     assert all(size[3 * t] == 3 for t in together)
+
+
+def test_large_group_below_the_threshold_of_each_other(spark):
+    # copies of one text with 0 to 40 edited words, some of them copies of a copy: far more pairs than links
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = [base]
+    for k in range(250):
+        of = texts[int(rng.integers(len(texts)))] if k % 4 == 0 else base
+        at = set(rng.integers(0, len(of), int(rng.integers(0, 40))).tolist())
+        texts.append([f"e{k}x{i}" if i in at else w for i, w in enumerate(of)])
+    corpus = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    least = dict(enumerate(weighted_classes(corpus)))
+    got = {r.doc_id: r.class_id for r in M.near_classes(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
+    assert got == least
+    assert 20 < len(set(got.values())) < 240
+
+
+def test_exact_search_finds_every_pair(spark):
+    # every text its own class, so that the star cannot help
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(120):
+        of = texts[int(rng.integers(len(texts)))] if texts and rng.random() < 0.8 else rng.integers(0, 40, int(rng.integers(5, 60))).tolist()
+        texts.append([int(rng.integers(0, 40)) if rng.random() < 0.03 else w for w in of][: int(rng.integers(len(of) * 4 // 5, len(of) + 1))])
+    texts = sorted({" ".join(map(str, t)) for t in texts})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("text", *M.content_key(M.F.col("text")))
+    idf = M.idf_table(*M.document_frequencies(df))
+    send = spark.sparkContext.broadcast(idf)
+    shingles = []
+    for t in texts:
+        _, h, count = M.shingles(M.Words(M.pa.array([t])))
+        shingles.append(dict(zip(h.tolist(), M.weights_of(h, count, idf).tolist(), strict=True)))
+    named = df.toPandas()
+    key = dict(zip(named.text, zip(named.key_a, named.key_b, strict=True), strict=True))
+    rest = spark.createDataFrame([(*key[t], float(sum(s.values())), key[t]) for t, s in zip(texts, shingles, strict=True)], "key_a long, key_b int, weight double, root struct<a:long,b:int>")
+    got = {frozenset([(r.key_a, r.key_b), (r.lead_a, r.lead_b)]) for r in M.prefix_pairs(rest, df, send, 0.8).collect()}
+    want = set()
+    for i, a in enumerate(shingles):
+        for j in range(i):
+            both = sum(min(w, shingles[j][h]) for h, w in a.items() if h in shingles[j])
+            if both / (sum(a.values()) + sum(shingles[j].values()) - both) >= 0.8:
+                want.add(frozenset([key[texts[i]], key[texts[j]]]))
+    assert len(want) > 20 and want <= got
