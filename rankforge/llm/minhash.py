@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 18, 3
 AGREE = 5
 SIZE_CLASS = 1.06
+#: Tables of ids up to so many rows, counted, are broadcast (32 MB or so); larger ones are shuffled.
+MAX_BROADCAST = 1_000_000
 SKETCH_BITS = 20
 _CELLS = 1 << 12
 _U = np.uint64
@@ -205,8 +207,8 @@ def _weighted_shingles(idf):
         for batch in batches:
             for part in chunks(batch):
                 doc, h, count = shingles(Words(part.column("text")))
-                at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([part.column("key_a").take(at), part.column("key_b").take(at), longs(h), pa.array(weights_of(h, count, idf.value))], names=["key_a", "key_b", "h", "w"])
+                w = weights_of(h, count, idf.value).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), longs(h), pa.array(w)], names=["id", "h", "w"])
 
     return rows
 
@@ -221,7 +223,7 @@ def _similar(idf, least: float):
         return doc, mixed(h + doc.astype(_U) * _U(0x9FB21C651E98DF25)), count, weight
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key_a", "key_b", "lead_a", "lead_b"]
+        names = ["id", "lead"]
         for batch in batches:
             for part in chunks(batch):
                 n = part.num_rows
@@ -240,103 +242,108 @@ def _similar(idf, least: float):
 # --- links and classes -------------------------------------------------------------------------------------------------
 
 
-def _struct(a: str, b: str):
-    return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-
-
-def _roots(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("node.a").alias("key_a"), F.col("node.b").alias("key_b"), "root")
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df, of n rows, to be broadcast if that is within the bound."""
+    return F.broadcast(df) if n <= MAX_BROADCAST else df
 
 
 def prefix_pairs(rest: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """key_a, key_b, lead_a, lead_b: every pair of texts of rest (key_a, key_b, weight, root) of different roots that can
-    have the similarity.  texts: key_a, key_b, text.
+    """id, lead: every pair of texts of rest (id, weight, root) of different roots that can have the similarity.
 
-    Ordered by how many texts of rest hold them, rem is the weight of a text's shingles from one on.  The first shingle
-    that two texts share bounds what they share by rem in both, so it fulfils all conditions below.
+    texts: id, text.  Ordered by how many texts of rest hold them, rem is the weight of a text's shingles from one on.
+    The first shingle that two texts share bounds what they share by rem in both, so it fulfils all conditions below.
     """
-    half, slack = similarity / (1 + similarity), 1e-6
-    told = texts.join(rest.select(*KEYS), KEYS, "left_semi").mapInArrow(_weighted_shingles(idf), "key_a long, key_b int, h long, w double")
-    held = written(told.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "held")
+    half, slack = similarity / (1 + similarity), 1e-5
+    told = texts.join(rest.select("id"), "id", "left_semi").mapInArrow(_weighted_shingles(idf), "id long, h long, w float")
+    held = written(told.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1"), "held")
     # a shingle that one text holds comes before all others and is met by none: its weight is in front of every rem
-    rem = F.sum("w").over(W.partitionBy(*KEYS).orderBy(F.col("df").desc(), "h").rowsBetween(W.unboundedPreceding, 0))
-    behind = told.join(held, "h").select(*KEYS, "h", rem.alias("rem"))
+    rem = F.sum(F.col("w").cast("double")).over(W.partitionBy("id").orderBy(F.col("df").desc(), "h").rowsBetween(W.unboundedPreceding, 0))
+    behind = told.join(held, "h").select("id", "h", rem.alias("rem"))
     sizes = written(rest.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    named = rest.join(sizes, "root").select(*KEYS, "weight", F.struct("n", "root").alias("class"))
-    front = written(behind.join(named, KEYS).where(F.col("rem") >= (similarity - slack) * F.col("weight")), "prefixes")
+    named = rest.join(sizes, "root").select("id", "weight", F.struct("n", "root").alias("class"))
+    front = written(behind.join(named, "id").where(F.col("rem") >= (similarity - slack) * F.col("weight")), "prefixes")
     size_class = lambda c: F.floor(F.log(c) / float(np.log(SIZE_CLASS))).cast("int")
     # the lighter text of a pair waits in its size class, the heavier one looks in all classes that its rem allows
     wait = front.where(F.col("rem") >= (2 * half - slack) * F.col("weight")).withColumn("size", size_class(F.col("weight")))
     most = F.least(F.col("weight"), (F.col("rem") / half - F.col("weight")) * (1 + slack))
-    seek = front.withColumn("size", F.explode(F.sequence(size_class(similarity * F.col("weight") * (1 - slack)), F.greatest(size_class(most), size_class(similarity * F.col("weight") * (1 - slack))))))
-    one = wait.select("h", "size", "class", F.lit(1).alias("waits"), F.lit(0).alias("seeks"))
-    keys = one.unionByName(seek.select("h", "size", "class", F.lit(0).alias("waits"), F.lit(1).alias("seeks"))).groupBy("h", "size")
-    keys = keys.agg(F.max("class").alias("largest"), F.min("class").alias("other"), F.max("waits").alias("waits"), F.max("seeks").alias("seeks"))
-    keys = written(keys.where("largest != other and waits = 1 and seeks = 1").select("h", "size", "largest"), "keys")
+    least = size_class(similarity * F.col("weight") * (1 - slack))
+    seek = front.withColumn("size", F.explode(F.sequence(least, F.greatest(size_class(most), least))))
+    keys = wait.select("h", "size", "class", F.lit(1).alias("waits")).unionByName(seek.select("h", "size", "class", F.lit(0).alias("waits")))
+    keys = keys.groupBy("h", "size").agg(F.max("class").alias("largest"), F.min("class").alias("other"), F.max("waits").alias("most"), F.min("waits").alias("least"))
+    keys = written(keys.where("largest != other and most = 1 and least = 0").select("h", "size", "largest"), "keys")
     # the key's largest class is apart from the others, so that it never meets itself
     inside = F.col("class") == F.col("largest")
-    wait = wait.join(keys, ["h", "size"]).select("h", "size", inside.alias("part"), F.col("key_a").alias("lead_a"), F.col("key_b").alias("lead_b"), F.col("weight").alias("lead_weight"), F.col("rem").alias("lead_rem"), F.col("class.root").alias("lead_root"))
+    wait = wait.join(keys, ["h", "size"]).select("h", "size", inside.alias("part"), F.col("id").alias("lead"), F.col("weight").alias("lead_weight"), F.col("rem").alias("lead_rem"), F.col("class.root").alias("lead_root"))
     parts = F.when(inside, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    seek = seek.join(keys, ["h", "size"]).select("h", "size", F.explode(parts).alias("part"), *KEYS, "weight", "rem", F.col("class.root").alias("root"))
-    lighter = (F.col("lead_weight") < F.col("weight")) | ((F.col("lead_weight") == F.col("weight")) & (_struct("lead_a", "lead_b") < _struct("key_a", "key_b")))
+    seek = seek.join(keys, ["h", "size"]).select("h", "size", F.explode(parts).alias("part"), "id", "weight", "rem", F.col("class.root").alias("root"))
+    lighter = (F.col("lead_weight") < F.col("weight")) | ((F.col("lead_weight") == F.col("weight")) & (F.col("lead") < F.col("id")))
     enough = F.least("rem", "lead_rem") >= (half - slack) * (F.col("weight") + F.col("lead_weight"))
-    return wait.join(seek, ["h", "size", "part"]).where((F.col("root") != F.col("lead_root")) & lighter & enough).select(*KEYS, "lead_a", "lead_b").distinct()
+    return wait.join(seek, ["h", "size", "part"]).where((F.col("root") != F.col("lead_root")) & lighter & enough).select("id", "lead").distinct()
 
 
-def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """key_a, key_b, lead_a, lead_b, similarity: links between different texts, enough to connect each class."""
+def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(id, lead, similarity): links between different texts, enough to connect each class; (key_a, key_b, id): the texts."""
     spark = docs.sparkSession
     keyed = docs.select(*content_key(F.col(text)), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sketch, n = document_frequencies(docs, text)
     idf = spark.sparkContext.broadcast(idf_table(sketch, n))
     kind = "key_a long, key_b int, weight double, bands array<long>"
-    signed = written(keyed.mapInArrow(_signatures(idf, bands, rows), kind).groupBy(*KEYS).agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")), "signatures")
-    bucketed = signed.select(*KEYS, "weight", F.explode("bands").alias("bucket"))
-    # tables of their own, so that a bucket of very many texts is one that Spark can split in the joins
+    signed = keyed.mapInArrow(_signatures(idf, bands, rows), kind).groupBy(*KEYS).agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    # a number for each different text, kept in the table: two of them make a row of the tables below
+    signed = written(signed.withColumn("id", F.monotonically_increasing_id()), "signatures")
+    bucketed = signed.select("id", F.explode("bands").alias("bucket"))
+    # counts are tables of their own, so that a bucket of very many texts is one that Spark can split in the joins
     crowded = written(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
     members = written(bucketed.join(crowded, "bucket"), "members")
-    met = members.groupBy(*KEYS).agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("shared")).where("shared > 1").drop("shared")
-    active = written(members.drop("n").join(met, KEYS), "active")
-    ends = [*KEYS, "lead_a", "lead_b"]
-    order = F.struct((-F.col("met")).alias("less"), F.xxhash64(*KEYS).alias("o"), *KEYS, "weight")
+    met = members.groupBy("id").agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("shared")).where("shared > 1").drop("shared")
+    active = written(members.drop("n").join(met, "id").join(signed.select("id", "weight"), "id"), "active")
+    order = F.struct((-F.col("met")).alias("less"), F.xxhash64("id").alias("o"), "id", "weight")
     leaders = active.groupBy("bucket").agg(F.min(order).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    leaders = written(leaders.select("bucket", F.col("l.key_a").alias("lead_a"), F.col("l.key_b").alias("lead_b"), F.col("l.weight").alias("lead_weight")), "leaders")
-    texts = written(keyed.join(active.select(*KEYS).distinct(), KEYS, "left_semi").groupBy(*KEYS).agg(F.first("text").alias("text")), "texts")
-    lead_texts = texts.select(F.col("key_a").alias("lead_a"), F.col("key_b").alias("lead_b"), F.col("text").alias("lead_text"))
+    leaders = written(leaders.select("bucket", F.col("l.id").alias("lead"), F.col("l.weight").alias("lead_weight")), "leaders")
+    ids = signed.select(*KEYS, "id")
+    told = written(ids.join(active.select("id").distinct(), "id", "left_semi"), "told")
+    texts = written(keyed.join(_small(told, told.count()), KEYS).groupBy("id").agg(F.first("text").alias("text")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts, KEYS).join(lead_texts, ["lead_a", "lead_b"]).select(*ends, "text", "lead_text")
-        return written(both.mapInArrow(_similar(idf, similarity), "key_a long, key_b int, lead_a long, lead_b int, similarity double"), "links")
+        both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead").select("id", "lead", "text", "lead_text")
+        return written(both.mapInArrow(_similar(idf, similarity), "id long, lead long, similarity double"), "links")
 
-    ahead = (F.col("key_a") != F.col("lead_a")) | (F.col("key_b") != F.col("lead_b"))
     alike = F.least("weight", "lead_weight") >= (similarity - 1e-4) * F.greatest("weight", "lead_weight")
-    star = active.join(leaders, "bucket").where(ahead & alike).groupBy(*ends).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(AGREE, bands)).drop("n")
-    links = verified(star)
+    star = active.join(leaders, "bucket").where((F.col("id") != F.col("lead")) & alike)
+    links = verified(star.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(AGREE, bands)).drop("n"))
     # texts with two buckets that the links so far leave with several classes
-    rooted = written(active.join(_roots(links), KEYS, "left").withColumn("root", F.coalesce("root", _struct("key_a", "key_b"))), "rooted")
+    rooted = written(active.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     apart = written(rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket"), "apart")
-    rest = written(rooted.join(apart, "bucket").groupBy(*KEYS).agg(F.first("weight").alias("weight"), F.first("root").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "rest")
-    return links.unionByName(verified(written(prefix_pairs(rest, texts, idf, similarity), "pairs")))
+    several = rooted.join(apart, "bucket").groupBy("id").agg(F.first("weight").alias("weight"), F.first("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    rest = written(several.where("n > 1").drop("n"), "rest")
+    return links.unionByName(verified(written(prefix_pairs(rest, texts, idf, similarity), "pairs"))), ids
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (structs of two keys): the least text that each linked text reaches.
+    """id, root: the least text that each linked text reaches.
 
     Labels spread along links and jump to their label's label, each round a table in the shared folder.
     """
-    one = links.select(_struct("key_a", "key_b").alias("u"), _struct("lead_a", "lead_b").alias("v"))
-    edges = written(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "labels")
+    edges = written(links.select("id", "lead").unionByName(links.select(F.col("lead").alias("id"), F.col("id").alias("lead"))).distinct(), "edges")
+    labels = written(edges.groupBy("id").agg(F.min("lead").alias("x")).select("id", F.least("id", "x").alias("root")), "labels")
     while True:
-        reach = edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        spread = labels.join(reach, "node").select("node", F.least("root", "near").alias("next"), "root")
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        after = written(spread.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("before")), "labels")
-        labels = after.select("node", "root")
+        reach = edges.join(labels.select(F.col("id").alias("lead"), "root"), "lead").groupBy("id").agg(F.min("root").alias("near"))
+        spread = labels.join(reach, "id").select("id", F.least("root", "near").alias("next"), "root")
+        jump = labels.select(F.col("id").alias("next"), F.col("root").alias("far"))
+        after = written(spread.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("before")), "labels")
+        labels = after.select("id", "root")
         if after.where("root != before").isEmpty():
             return labels
 
 
+def _rooted(these: DataFrame, docs: DataFrame, text: str, **options) -> DataFrame:
+    """these rows, which have docs' key_a and key_b, with root: a struct that all texts of a class share and no others."""
+    links, ids = near_links(docs, text, **options)
+    roots = written(ids.join(components(links), "id").drop("id"), "roots")
+    alone = lambda c: F.when(F.col("root").isNull(), F.col(c)).alias(c)
+    return these.join(_small(roots, roots.count()), KEYS, "left").withColumn("root", F.struct("root", *map(alone, KEYS)))
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, class_id, class_size, kept for every row of docs.
 
@@ -345,8 +352,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *content_key(F.col(text)))
-    of_row = rows.join(_roots(near_links(docs, text, **options)), KEYS, "left").select("doc_id", F.coalesce("root", _struct("key_a", "key_b")).alias("root"))
-    rooted = written(of_row.withColumn("row", F.monotonically_increasing_id()), "rooted")
+    rooted = written(_rooted(rows, docs, text, **options).select("doc_id", "root", F.monotonically_increasing_id().alias("row")), "rooted")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row")).alias("best")
     classes = written(rooted.groupBy("root").agg(best, F.count(F.lit(1)).alias("class_size")), "classes")
     return rooted.join(classes, "root").select("doc_id", F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
@@ -354,11 +360,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each class, all columns: the one with the least doc_id (null last), then the least other columns."""
-    roots = _roots(near_links(docs, text, **options))
     a, b = content_key(F.col(text))
     whole = docs.select(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.struct(*(F.col(c) for c in docs.columns)).alias("row")).alias("r"), a, b)
-    best = whole.join(roots, KEYS, "left").groupBy(F.coalesce("root", _struct("key_a", "key_b")).alias("root")).agg(F.min("r").alias("r"))
-    return best.select("r.row.*")
+    return _rooted(whole, docs, text, **options).groupBy("root").agg(F.min("r").alias("r")).select("r.row.*")
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
