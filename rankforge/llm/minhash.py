@@ -20,7 +20,8 @@ Candidates are verified in two steps, neither of which lists the pairs of a buck
   a shingle in front of which at most 1 - s of the weight of either lies, and what lies behind it is enough for both.
   Shingles that one text alone holds come first, so a text that is mostly its own, like a copy with many edits, has
   nothing to look for, however large its group is.  Keys hold the shingle and a size class; in a key the largest class
-  never meets itself.  This search loses no pair.
+  never meets itself.  Two texts that meet are held against each other by bitmaps of their shingles, whose different bits
+  bound from below what the texts do not share.  This search loses no pair.
 
 Texts linked directly or through others form a class.  Exact copies are one text from the first shuffle on.
 """
@@ -42,6 +43,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 18, 3
 AGREE = 5
 SIZE_CLASS = 1.06
+RARE_IDF = 1.4
 #: Tables of ids up to so many rows, counted, are broadcast (32 MB or so); larger ones are shuffled.
 MAX_BROADCAST = 1_000_000
 SKETCH_BITS = 20
@@ -213,6 +215,28 @@ def _weighted_shingles(idf):
     return rows
 
 
+_BITS = 512
+
+
+def _bitmaps(idf):
+    """Of each text two bitmaps, of the shingles with idf up to RARE_IDF and of those above: a bit says whether an odd
+    number of its shingles falls there.  Where two texts' bits differ, a shingle is in one of them alone."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_ in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                for part in chunks(slice_):
+                    doc, h, _ = shingles(Words(part.column("text")))
+                    above = weights_of(h, np.ones(len(h)), idf.value) >= RARE_IDF
+                    cell = doc * (2 * _BITS) + above * _BITS + (mixed(h) >> _U(64 - 9)).astype(np.int64)
+                    odd = np.bincount(cell, minlength=part.num_rows * 2 * _BITS) % 2 == 1
+                    bits = np.packbits(odd).view(np.int64)
+                    offsets = np.arange(part.num_rows + 1, dtype=np.int32) * (2 * _BITS // 64)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits))], names=["id", "bits"])
+
+    return rows
+
+
 # --- verification ------------------------------------------------------------------------------------------------------
 
 
@@ -273,12 +297,16 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, idf, similarity: float) -> D
     keys = written(keys.where("largest != other and most = 1 and least = 0").select("h", "size", "largest"), "keys")
     # the key's largest class is apart from the others, so that it never meets itself
     inside = F.col("class") == F.col("largest")
-    wait = wait.join(keys, ["h", "size"]).select("h", "size", inside.alias("part"), F.col("id").alias("lead"), F.col("weight").alias("lead_weight"), F.col("rem").alias("lead_rem"), F.col("class.root").alias("lead_root"))
+    bits = written(texts.join(rest.select("id"), "id", "left_semi").mapInArrow(_bitmaps(idf), "id long, bits array<long>"), "bits")
+    wait = wait.join(keys, ["h", "size"]).join(bits, "id").select("h", "size", inside.alias("part"), F.col("id").alias("lead"), F.col("weight").alias("lead_weight"), F.col("rem").alias("lead_rem"), F.col("class.root").alias("lead_root"), F.col("bits").alias("lead_bits"))
     parts = F.when(inside, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    seek = seek.join(keys, ["h", "size"]).select("h", "size", F.explode(parts).alias("part"), "id", "weight", "rem", F.col("class.root").alias("root"))
+    seek = seek.join(keys, ["h", "size"]).join(bits, "id").select("h", "size", F.explode(parts).alias("part"), "id", "weight", "rem", F.col("class.root").alias("root"), "bits")
     lighter = (F.col("lead_weight") < F.col("weight")) | ((F.col("lead_weight") == F.col("weight")) & (F.col("lead") < F.col("id")))
     enough = F.least("rem", "lead_rem") >= (half - slack) * (F.col("weight") + F.col("lead_weight"))
-    return wait.join(seek, ["h", "size", "part"]).where((F.col("root") != F.col("lead_root")) & lighter & enough).select("id", "lead").distinct()
+    differ = lambda a, b: sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(a, b)), F.lit(0))
+    n = _BITS // 64
+    near = differ(0, n) + RARE_IDF * differ(n, 2 * n) <= (1 - 2 * half + slack) * (F.col("weight") + F.col("lead_weight"))
+    return wait.join(seek, ["h", "size", "part"]).where((F.col("root") != F.col("lead_root")) & lighter & enough & near).select("id", "lead").distinct()
 
 
 def near_links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
