@@ -40,43 +40,79 @@ def test_long_chain(spark):
     assert [t for _, t in C.read_back(got.formatted)] == [f"t{i}" for i in range(300)]
 
 
+def random_model(rng, n_ids, noise=0.1):
+    voc = lm.Vocabulary(rng.integers(0, 100, n_ids), rng.random(n_ids) < 0.5)
+    pairs = rng.poisson(0.05, (lm.BUCKETS, lm.BUCKETS))
+    pairs[:, voc.mass == 0] = 0
+    voc.learn(pairs)
+    return voc, lm.unpacked(lm.initial() + noise * rng.normal(size=lm.N_PARAMETERS).astype(np.float32))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    voc = lm.Vocabulary(rng.integers(0, 100, 500))
-    p = {k: x.astype(np.float64) for k, x in lm.unpacked(lm.initial(voc) + 0.01 * rng.normal(size=lm.N_PARAMETERS)).items()}
-    x, t, c = rng.integers(0, lm.BUCKETS, (3, 32)), rng.integers(0, lm.CLASSES, (3, 32)), rng.random((3, 32)) < 0.8
-    g, _ = lm.gradients(p, x, t, c)
+    voc, p = random_model(rng, 500, 0.01)
+    p = {k: x.astype(np.float64) for k, x in p.items()}
+    x, t, c = rng.integers(0, lm.BUCKETS, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.random((3, lm.WINDOW)) < 0.8
+    g, _ = lm.gradients(p, voc.log_class, x, t, c)
     for k in p:
-        i = tuple(rng.integers(0, n) for n in p[k].shape)
-        i = (x[0, 3], *i[1:]) if k in "eg" else i
-        old, losses = p[k][i], []
+        i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        losses, old = [], p[k][i]
         for step in (1e-4, -1e-4):
             p[k][i] = old + step
-            losses.append(lm.gradients(p, x, t, c)[1])
+            losses.append(lm.gradients(p, voc.log_class, x, t, c)[1])
         p[k][i] = old
         assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(g[k][i], rel=1e-3, abs=1e-7)
 
 
+def slow_score(voc, p, ids):
+    """The log probability of a text's ids, an id and a head at a time, in plain loops."""
+    of = [int(voc.bucket[i]) for i in ids]
+    before = [int(voc.bucket[-1]), *of[:-1]]
+    total = 0.0
+    for t in range(len(ids)):
+        n = 0 if t < lm.WINDOW else 1 + (t - lm.WINDOW) // lm.STRIDE
+        first = n * lm.STRIDE
+        x = [p["e"][before[i]] + p["p"][i - first] for i in range(first, t + 1)]
+        q, k, v = np.split(np.array(x) @ p["qkv"], 3, axis=1)
+        a = np.array([math.exp(q[-1] @ y / math.sqrt(lm.WIDTH)) for y in k])
+        h = x[-1] + (a / a.sum()) @ v
+        y = np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"] + voc.log_class[before[t]]
+        c = voc.of_class[of[t]]
+        total += y[c] - math.log(np.exp(y).sum()) + voc.log_bucket[before[t], of[t]] + voc.log_share[ids[t]]
+    return total
+
+
 def test_every_id_is_scored_once_and_causally():
     rng = np.random.default_rng(1)
-    sizes = [0, 1, 31, 32, 33, 56, 57, 200]
+    w, s = lm.WINDOW, lm.STRIDE
+    sizes = [0, 1, w - 1, w, w + 1, w + s, w + s + 1, 200]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    _, place, _, scored = lm.windows(bounds)
-    assert (np.bincount(place[scored], minlength=bounds[-1]) == 1).all()
-    voc = lm.Vocabulary(rng.integers(0, 100, 300))
-    p = lm.unpacked(lm.initial(voc) + 0.1 * rng.normal(size=lm.N_PARAMETERS).astype(np.float32))
+    for stride in (s, w):
+        place, scored = lm._places(bounds, *lm.windows(bounds, stride))
+        assert (np.bincount(place[scored], minlength=bounds[-1]) == 1).all()
+    voc, p = random_model(rng, 300)
     ids = rng.integers(0, 300, bounds[-1])
     total = lm.log_probabilities(p, voc, ids, bounds)
-    assert total[0] == 0 and (total[1:] < 0).all()
+    assert total == pytest.approx([slow_score(voc, p, ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)], rel=1e-4, abs=1e-4)
     # probabilities of all continuations of one id sum to one
-    each = [lm.log_probabilities(p, voc, np.array([5, i]), np.array([0, 2])) for i in range(300)]
-    one = lm.log_probabilities(p, voc, np.array([5]), np.array([0, 1]))
-    assert np.exp(np.array(each) - one).sum() == pytest.approx(1, abs=1e-4)
+    for first in (5, 299):
+        each = [lm.log_probabilities(p, voc, np.array([first, i]), np.array([0, 2])) for i in range(300)]
+        one = lm.log_probabilities(p, voc, np.array([first]), np.array([0, 1]))
+        assert np.exp(np.array(each) - one).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_sequences_are_cut_by_documents_alone():
+    import pyarrow as pa
+
+    docs = [(g, np.arange(n, dtype=np.int32).tobytes()) for g, n in ((0, 5), (0, 7), (0, 30), (2, 1), (2, 4))]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["group", "ids"])
+    cuts = [[[int(x) for x in b] for _, _, b in lm._sequences(iter([batch(docs[:k]), batch(docs[k:])]), 10)] for k in range(6)]
+    assert all(c == [[0, 5, 12], [0, 30], [0, 1, 5]] for c in cuts)
 
 
 def test_lm_scores(spark, docs, corpus, no_docs):
     got = Counter()
-    rows = lm.score_texts(docs, every=1).collect()
+    rows = lm.score_texts(docs).collect()
     for r in rows:
         got[(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))] += 1
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,14 +127,32 @@ def test_lm_scores(spark, docs, corpus, no_docs):
     assert lm.score_texts(no_docs).isEmpty()
 
 
-def test_training_helps(spark):
-    import random
+def grammar(rng, n):
+    """Texts whose words follow from the words before: an article's number, a verb's subject."""
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(int(rng.integers(100, 300))):
+            many, noun = rng.random() < 0.5, rng.choice(["cat", "dog", "river", "engine", "teacher", "mountain"])
+            parts.append(f"{'these' if many else 'this'} {rng.choice(['old', 'red', 'quiet', 'small'])} {noun}{'s' if many else ''} {'were' if many else 'was'} {rng.choice(['seen', 'found', 'painted'])} near {noun}field .")
+        out.append(" ".join(parts))
+    return out
+
+
+def test_model_is_better_than_counts(spark):
+    df = spark.createDataFrame(list(enumerate(grammar(np.random.default_rng(2), 400))), "doc_id long, text string").repartition(3)
+    mean = lambda d, c="score": d.where("held_out").agg(F.avg(F.col(c) / F.col("n_tokens"))).first()[0]
+    done = lm.score_texts(df)
+    # than the unigram of words, and than the untrained model, which is a bigram of ids
+    assert mean(done) > mean(done, "base_score") + 0.3
+    assert mean(done) > mean(lm.score_texts(df, rate=0.0)) + 0.01
+
 
-    rng = random.Random(2)
-    rows = [(i, " ".join(rng.choice(["the cat sat", "a dog ran", "red fish swim"]) for _ in range(40))) for i in range(150)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    mean = lambda d: d.where("held_out").agg(F.avg(F.col("score") / F.col("n_tokens"))).first()[0]
-    assert mean(lm.score_texts(df, every=1, rounds=12)) > mean(lm.score_texts(df, every=1, rounds=0)) + 0.1
+def test_scores_do_not_depend_on_the_partitions(spark):
+    df = spark.createDataFrame(list(enumerate(grammar(np.random.default_rng(3), 60))), "doc_id long, text string")
+    scores = lambda d: {r.doc_id: r.score for r in lm.score_texts(d, group_ids=8000).collect()}
+    one, many = scores(df.coalesce(1)), scores(df.repartition(7))
+    assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], rel=1e-5) for i in one)
 
 
 def test_training_reads_all_training_documents(spark):
@@ -108,7 +162,7 @@ def test_training_reads_all_training_documents(spark):
     held = next(i for i in range(400) if crc(i) % 5 == 1)
     df = spark.createDataFrame([(i, "the cat sat on the mat " * 20) for i in [*ids, held]], "doc_id long, text string")
     score = lambda d: {r.doc_id: r.score for r in d.collect()}[held]
-    assert score(lm.score_texts(df)) > score(lm.score_texts(df, rounds=0)) + 0.1
+    assert score(lm.score_texts(df)) > score(lm.score_texts(df.where(F.col("doc_id").isin(*ids[:3], held)))) + 0.1
 
 
 def brute_targets(sizes, share=1.5, most=2):
