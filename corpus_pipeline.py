@@ -23,13 +23,20 @@ from rankforge.llm.mixing import mixture
 from rankforge.llm.quality import judge_documents
 
 
+def _apart(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator works on, and all of them in _row, so that no name clashes with an operator's own."""
+    return docs.select(*columns, F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge_documents(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    rows = docs.select(F.col("text").alias("_text"), F.col("source").alias("_source"), F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    return judge_documents(rows, text="_text", host="_source", keep=("_source", "_row")).where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = dedup_lines(docs).where(F.col("text").rlike(WORD))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = dedup_lines(_apart(docs, "doc_id", "text")).where(F.col("text").rlike(WORD))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return left.select(*(new.get(c, F.col("_row")[c].alias(c)) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +48,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixture(docs).where("taken > 0").withColumnRenamed("doc_id", "of")
+    """The columns of docs, but for those with the names of the added ones, and size, target, shard and taken."""
+    added = ("size", "target", "shard", "taken")
+    taken = mixture(docs).where("taken > 0").select(F.col("doc_id").alias("_of"), F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), *added)
     a, b = content_key(F.col("text"))
     # a document is its id and text; the stages before leave no two equal ones
-    mine = F.col("doc_id").eqNullSafe(F.col("of")) & (a == F.col("key_a")) & (b == F.col("key_b"))
-    return docs.join(taken.drop("source"), mine).select(*docs.columns, "size", "target", "shard", "taken")
+    mine = F.col("doc_id").eqNullSafe(F.col("_of")) & (a == F.col("_a")) & (b == F.col("_b"))
+    own = [c for c in docs.columns if c not in added]
+    return docs.select(*own).join(taken, mine).select(*own, *added)
 
 
 STAGES = [
@@ -61,6 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over the table documents of the folder.  An empty table gives no rows; null texts go in the first
+    stage, as they have too few words; null ids and sources are values of their own; columns beyond those of the table
+    documents go through all stages as they are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -52,6 +52,28 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def starts(sizes: Column) -> Column:
+    """Where each of some parts begins that follow one another, from an array of their sizes.
+
+    Sums run over blocks of about the root of their number, so that arrays grow by blocks and not by single parts: the
+    work is the number of parts times its root at most.
+    """
+
+    def sums(x: Column) -> Column:
+        return F.aggregate(x, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n.cast("long"))))
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, n: acc + n))
+        return let(sums(totals), lambda upto: F.flatten(F.transform(blocks, lambda b, i: F.transform(F.slice(sums(b), 1, F.size(b)), lambda n: n + upto[i]))))
+
+    def of_sizes(x: Column) -> Column:
+        block = F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
+        count = F.ceil(F.size(x) / block).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(x, i * block + 1, block)), of_blocks)
+
+    return let(sizes, lambda x: F.when(F.size(x) > 0, of_sizes(x)).otherwise(F.array().cast("array<bigint>")))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{SPACES}+|{SPACES}+$", "")
 

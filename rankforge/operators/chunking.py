@@ -7,11 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, let, strip
+from ..functions.text import SPACES, let, starts, strip
 
 LINE_END = r"(?<=\r\n)|(?<=[\n\x0b\x0c\x1c-\x1e\x85  ])|(?<=\r)(?!\n)"
 UNITS = ("line", "char", "paragraph")
-_SPANS = "array<struct<s:int,e:int>>"
 
 
 @dataclass(frozen=True)
@@ -37,18 +36,18 @@ class ChunkRules:
 
 def _running(parts: Column) -> Column:
     """Span of each string of an array, when they follow one another."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = (acc["at"] + F.length(x)).cast("int")
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("s"), end.alias("e")))).cast(_SPANS).alias("spans"))
-
-    return F.aggregate(parts, begin, step)["spans"]
+    span = lambda s, x: F.struct(s.cast("int").alias("s"), (s + F.length(x)).cast("int").alias("e"))
+    return let(parts, lambda ps: F.zip_with(starts(F.transform(ps, F.length)), ps, span))
 
 
 def line_spans(text: Column) -> Column:
     """Spans of the lines that are not blank, line ends included."""
-    return F.filter(_running(F.split(text, LINE_END)), lambda x: F.substr(text, x["s"] + 1, x["e"] - x["s"]).rlike(rf"(?U)[^\s\x1c-\x1f\x85]"))
+
+    def of(lines: Column) -> Column:
+        told = F.zip_with(_running(lines), lines, lambda x, line: F.struct(x["s"].alias("s"), x["e"].alias("e"), line.rlike(rf"(?U)[^\s\x1c-\x1f\x85]").alias("full")))
+        return F.transform(F.filter(told, lambda x: x["full"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+
+    return let(F.split(text, LINE_END), of)
 
 
 def paragraph_spans(text: Column) -> Column:
