@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, starts
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -47,19 +48,19 @@ def _matches(t: Column, kind: str) -> tuple[Column, Column]:
     return F.when(hint, F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none), F.when(hint, F.split(t, PATTERNS[kind], -1)).otherwise(none)
 
 
-def _placed(m: Column, gaps: Column, kept: Column, more: str = "") -> Column:
+def _placed(m: Column, gaps: Column, kept: Column, more: bool = False) -> Column:
     """Start, end and match of every match; the text is gaps[0] m[0] gaps[1] m[1] ...  Code points, end exclusive."""
-    kind = f"struct<s:int,e:int,m:string{more}>"
-    begin = F.struct(F.lit(0).alias("p"), F.array().cast(f"array<{kind}>").alias("out"))
+    sizes = F.transform(m, lambda x, i: F.length(gaps[i]) + F.length(x))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["p"] + F.length(gaps[i])
-        end = start + F.length(m[i])
-        extra = [F.right(gaps[i], F.lit(48)).alias("left"), F.left(gaps[i + 1], F.lit(4)).alias("right")] if more else []
-        return F.struct(end.alias("p"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), m[i].alias("m"), *extra).cast(kind))).alias("out"))
+    def spans(before: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            start = before[i] + F.length(gaps[i])
+            extra = [F.right(gaps[i], F.lit(48)).alias("left"), F.left(gaps[i + 1], F.lit(4)).alias("right")] if more else []
+            return F.struct(start.cast("int").alias("s"), (start + F.length(x)).cast("int").alias("e"), x.alias("m"), *extra)
 
-    all_of = F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), begin, step)["out"]).otherwise(F.array().cast(f"array<{kind}>"))
-    return F.filter(all_of, kept)
+        return F.transform(m, span)
+
+    return F.filter(let(starts(sizes), spans), kept)
 
 
 def _luhn(digits: Column) -> Column:
@@ -111,8 +112,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """doc_id, one array of spans for each base kind, and candidates with votes and features."""
     t = F.coalesce(F.col("t"), F.lit(""))
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).select("doc_id", *(c.alias(f"{n}_{k}") for k in KINDS for n, c in zip("mg", _matches(t, k), strict=True)))
-    more = ",left:string,right:string"
-    spans = [_placed(F.col(f"m_{k}"), F.col(f"g_{k}"), _CHECKS[k], more if k == "secret" else "").alias(k) for k in KINDS]
+    spans = [_placed(F.col(f"m_{k}"), F.col(f"g_{k}"), _CHECKS[k], k == "secret").alias(k) for k in KINDS]
     placed = found.select("doc_id", *spans)
     base = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS[:-1]]
     vote = lambda x: reduce(lambda a, b: a * 2 + b, _votes(x))
