@@ -1,7 +1,7 @@
 """Quality rules of documents and of their hosts, in DataFrame functions only.
 
 Every document gets five counts of its whole text.  Hosts (the source column) get the share of their documents that
-fail the document rules, shrunk towards the mean of all hosts by a beta prior fitted to the hosts' rates by moments: a
+fail the document rules, shrunk towards the mean of all documents by a beta prior fitted to the hosts by moments: a
 host with few documents needs more failures.  A host whose shrunk rate is above max_rate loses all its documents.
 """
 
@@ -74,14 +74,20 @@ def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
 
 
 def host_rates(counts: DataFrame, host: str) -> tuple[DataFrame, float, float, int]:
-    """host, n, failed, the prior's alpha and beta from the mean and variance of the hosts' rates, and how many hosts."""
+    """host, n, failed, the prior's alpha and beta, and how many hosts.
+
+    The prior is a beta-binomial's by moments weighted by the hosts' numbers of documents: the variance that the sampling of
+    n documents explains is taken off, so many small hosts don't make the prior weak.
+    """
     hosts = counts.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    m, v, n = hosts.agg(F.avg(rate), F.var_pop(rate), F.count(F.lit(1))).first()
-    if m is None:
+    k, total, bad, squares, spread = hosts.agg(F.count(F.lit(1)), F.sum("n"), F.sum("failed"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("failed") * F.col("failed") / F.col("n"))).first()
+    if not k:
         return hosts, 1.0, 1.0, 0
-    strength = min(max(m * (1 - m) / v - 1, 2.0), 1e6) if v else 1e6
-    return hosts, m * strength, (1 - m) * strength, n
+    m = bad / total
+    between = m * (1 - m) * (total - squares / total - (k - 1))
+    share = (spread - total * m * m - m * (1 - m) * (k - 1)) / between if between > 0 else 0.0
+    strength = 1 / min(max(share, 1e-6), 1 / 3) - 1
+    return hosts, m * strength, (1 - m) * strength, k
 
 
 def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id", "source"), max_rate: float = MAX_RATE) -> DataFrame:
@@ -125,8 +131,9 @@ c AS (
   FROM d LEFT JOIN rep USING (r) LEFT JOIN line USING (r)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM f GROUP BY source),
-p AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1e6) ELSE 1e6 END AS s
-      FROM (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM h))
+t AS (SELECT count(*) AS k, sum(n)::DOUBLE AS total, sum(failed) / sum(n)::DOUBLE AS m, sum(n * n)::DOUBLE AS squares, sum(failed * failed / n::DOUBLE) AS spread FROM h),
+b AS (SELECT *, m * (1 - m) * (total - squares / total - (k - 1)) AS between_hosts FROM t),
+p AS (SELECT m, 1 / least(greatest(CASE WHEN between_hosts > 0 THEN (spread - total * m * m - m * (1 - m) * (k - 1)) / between_hosts ELSE 0 END, 1e-6), 1 / 3.0::DOUBLE) - 1 AS s FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (failed + m * s) / (n + m * s + (1 - m) * s) <= 0.5 AS kept
 FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p
