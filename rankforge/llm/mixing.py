@@ -24,8 +24,8 @@ SHARE = 1.5
 MAX_TIMES = 2
 BLOCK_WORDS = 16
 SHARD_WORDS = 250_000
-#: A prime above any shard's number of blocks: multiplying by it permutes block numbers modulo that number (fixed value).
-PRIME = 2654435761
+#: Primes above any shard's number of blocks: multiplying by one permutes block numbers modulo that number (fixed values).
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
@@ -109,7 +109,10 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     running = F.sum("size").over(W.partitionBy("source", "shard").orderBy("lot", "doc_id", "key_a", "key_b").rowsBetween(W.unboundedPreceding, 0))
     laid = placed.withColumn("to", running).join(dealt, mine & (F.col("shard") == F.col("of_shard")), "left").drop("of", "of_shard")
     b, start = F.lit(block_words), F.col("to") - F.col("size")
-    chosen = lambda j: F.pmod(j * F.lit(PRIME) + F.pmod(F.xxhash64(F.lit(seed), "shard"), F.col("n_blocks")), F.col("n_blocks")) < F.pmod("quota", "n_blocks")
+    # each shard's own permutation, by the seed: a factor and a shift
+    dice = F.xxhash64(F.lit(seed), "source", "shard")
+    by, shift = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(dice, F.lit(len(PRIMES))) + 1).cast("int")).cast("long"), F.pmod(F.shiftrightunsigned(dice, 8), F.col("n_blocks"))
+    chosen = lambda j: F.pmod(j * by + shift, F.col("n_blocks")) < F.pmod("quota", "n_blocks")
     part = lambda j: F.least(F.col("to"), (j + 1) * b) - F.greatest(start, j * b)
     some = F.aggregate(F.sequence(F.floor(start / b), F.floor((F.col("to") - 1) / b)), F.lit(0).cast("long"), lambda acc, j: acc + F.when(chosen(j), part(j)).otherwise(F.lit(0)))
     taken = F.when(F.col("size") > 0, F.col("size") * F.floor(F.col("quota") / F.col("n_blocks")) + some).otherwise(F.lit(0).cast("long"))
