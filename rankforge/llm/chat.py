@@ -27,7 +27,6 @@ _NAMES = {"user": "User", "assistant": "Assistant", "system": "System", "tool":
 _ROLES = {v: k for k, v in _NAMES.items()}
 _CONTROL = re.compile(r"\\|### |</turn>")
 _ESCAPED = re.compile(r"\\(\\|### |</turn>|:)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\[\s\S])*): ((?:[^\\<]|\\[\s\S]|<(?!/turn>))*)</turn>\n")
 
 
 def escaped(text: str) -> str:
@@ -52,16 +51,33 @@ def formatted(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]
     return "".join(out), loss
 
 
+def _plain(text: str, what: str, at: int) -> int:
+    """Where what stands next with an even number of backslashes before it, none of them before at."""
+    i, low = text.find(what, at), at
+    while i >= 0:
+        n = i
+        while n > low and text[n - 1] == "\\":
+            n -= 1
+        if (i - n) % 2 == 0:
+            return i
+        at = i + 1
+        i = text.find(what, at)
+    raise ValueError(f"not a formatted conversation, at {low}")
+
+
 def read_back(text: str) -> list[tuple[str, str]]:
-    """The turns of a formatted text."""
+    """The turns of a formatted text, in one pass."""
     turns, at = [], 0
     while at < len(text):
-        m = _TURN.match(text, at)
-        if not m:
+        if not text.startswith("### ", at):
+            raise ValueError(f"not a formatted conversation, at {at}")
+        colon = _plain(text, ":", at + 4)
+        end = _plain(text, END, colon + 2)
+        if text[colon : colon + 2] != ": " or text[end + len(END) : end + len(END) + 1] != "\n":
             raise ValueError(f"not a formatted conversation, at {at}")
-        name = m[1]
-        turns.append((_ROLES[name] if name in _ROLES else unescaped(name[1:]), unescaped(m[2])))
-        at = m.end()
+        name = text[at + 4 : colon]
+        turns.append((_ROLES[name] if name in _ROLES else unescaped(name[1:]), unescaped(text[colon + 2 : end])))
+        at = end + len(END) + 1
     return turns
 
 
