@@ -39,11 +39,14 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none."""
+    """The folder that driver and executors share.  One of our own only where the session names none and runs on one
+    machine; a cluster's executors would each write to their own disk, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         if not named:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="rankforge-")
         _own_folder[app] = f"{named.rstrip('/')}/rankforge-{app}"
         atexit.register(_forget, spark, _own_folder[app])

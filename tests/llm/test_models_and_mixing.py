@@ -106,7 +106,7 @@ def test_sequences_are_cut_by_documents_alone():
 
     docs = [(g, np.arange(n, dtype=np.int32).tobytes()) for g, n in ((0, 5), (0, 7), (0, 30), (2, 1), (2, 4))]
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["group", "ids"])
-    cuts = [[[int(x) for x in b] for _, _, b in lm._sequences(iter([batch(docs[:k]), batch(docs[k:])]), 10)] for k in range(6)]
+    cuts = [[[int(x) for x in b] for _, _, b in lm._sequences(iter([batch(docs[:k]), batch(docs[k:])]), 10, np.int32)] for k in range(6)]
     assert all(c == [[0, 5, 12], [0, 30], [0, 1, 5]] for c in cuts)
 
 
