@@ -355,13 +355,13 @@ def tfidf_char(spark, d):
 def vectors(spark, d):
     e = tables.read_table(spark, d, "embeddings")
     have = e.select(F.col("vec_id").cast("long").alias("unit_ord"), F.col("vec_id").cast("string").alias("unit_id"), F.col("label").cast("string").alias("doc_id"), F.col("embedding").alias("vector"))
-    return have, e.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("vector"))
+    return have, e.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("vector"))
 
 
 DENSE_SQL = """
 e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 v AS (SELECT vec_id, label, list_transform(v, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e)),
-hits AS (SELECT q.vec_id::VARCHAR AS qid, u.vec_id AS unit_ord, u.vec_id::VARCHAR AS unit_id, u.label::VARCHAR AS doc_id, list_dot_product(q.v, u.v) AS score FROM v q, v u WHERE q.vec_id % 50 = 0)"""
+hits AS (SELECT q.vec_id::VARCHAR AS qid, u.vec_id AS unit_ord, u.vec_id::VARCHAR AS unit_id, u.label::VARCHAR AS doc_id, list_dot_product(q.v, u.v) AS score FROM v q, v u WHERE q.vec_id % 20 = 0)"""
 
 
 @query("dense_top5", f"WITH {DENSE_SQL} SELECT qid, rank::BIGINT AS rank, unit_id, round(score, 6) AS score FROM ({top_sql('hits', 5)})")
@@ -389,12 +389,8 @@ def weighted(rows: DataFrame, text: str) -> DataFrame:
     return rows.join(maps, key)
 
 
-def _short_units(spark, d):
-    return units(spark, d).withColumn("text", F.substring("text", 1, 2000))
-
-
 LEXICAL_SQL = f"""
-ut AS (SELECT doc_id AS unit_ord, {tokens_sql('substring(text, 1, 2000)')} AS t FROM documents),
+ut AS (SELECT doc_id AS unit_ord, {tokens_sql('text')} AS t FROM documents),
 uw AS (SELECT unit_ord, term, count(*) / any_value(n)::DOUBLE AS w FROM (SELECT unit_ord, unnest(t) AS term, len(t) AS n FROM ut) GROUP BY unit_ord, term),
 qt AS (SELECT qid, {tokens_sql('question')} AS t FROM ({ASKED})),
 qw AS (SELECT qid, term, count(*) / any_value(n)::DOUBLE AS qw FROM (SELECT qid, unnest(t) AS term, len(t) AS n FROM qt) GROUP BY qid, term),
@@ -403,16 +399,16 @@ hits AS (SELECT qid, unit_ord, unit_ord::VARCHAR AS unit_id, unit_ord::VARCHAR A
 
 @query("lexical_weight_dot", f"WITH {LEXICAL_SQL} {_SHOW} ({top_sql('hits', 5)})")
 def lexical_weight_dot(spark, d):
-    hits = retrieval.lexical_weights(weighted(_short_units(spark, d), "text"), weighted(asked(spark, d), "question"))
+    hits = retrieval.lexical_weights(weighted(units(spark, d), "text"), weighted(asked(spark, d), "question"))
     return shown(ranking.top_k(hits, 5))
 
 
-@query("hybrid_dense_lexical", f"""WITH {DENSE_SQL}, lex AS (SELECT q.vec_id::VARCHAR AS qid, u.vec_id AS unit_ord, 1.0 AS score FROM embeddings q JOIN embeddings u ON q.label = u.label WHERE q.vec_id % 50 = 0),
+@query("hybrid_dense_lexical", f"""WITH {DENSE_SQL}, lex AS (SELECT q.vec_id::VARCHAR AS qid, u.vec_id AS unit_ord, 1.0 AS score FROM embeddings q JOIN embeddings u ON q.label = u.label WHERE q.vec_id % 20 = 0),
 mixed AS (SELECT h.qid, h.unit_ord, h.unit_id, h.doc_id, 0.7 * h.score + 0.3 * coalesce(l.score, 0) AS score FROM hits h LEFT JOIN lex l ON l.qid = h.qid AND l.unit_ord = h.unit_ord)
 SELECT qid, rank::BIGINT AS rank, unit_id, round(score, 6) AS score FROM ({top_sql('mixed', 5)})""")
 def hybrid_dense_lexical(spark, d):
     have, wanted = vectors(spark, d)
-    label = tables.read_table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.create_map(F.col("label").cast("string"), F.lit(1.0)).alias("weights"))
+    label = tables.read_table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.create_map(F.col("label").cast("string"), F.lit(1.0)).alias("weights"))
     lex = retrieval.lexical_weights(have.withColumn("weights", F.create_map("doc_id", F.lit(1.0))), label)
     return ranking.top_k(retrieval.hybrid(retrieval.dense(have, wanted), lex), 5).select("qid", "rank", "unit_id", F.round("score", 6).alias("score"))
 
@@ -630,10 +626,12 @@ def submission_violations(spark, d):
     return submission.violations(made.unionByName(bad), items.select(F.col("item_id").alias("qid")), docs(spark, d))
 
 
-@query("unknown_gold", "SELECT DISTINCT doc_id::VARCHAR AS gold_doc_id FROM labels WHERE doc_id % 2 = 1")
+@query("unknown_gold", "SELECT DISTINCT 'unknown_' || doc_id::VARCHAR AS gold_doc_id FROM labels WHERE doc_id < 50")
 def unknown_gold(spark, d):
-    gold = tables.read_table(spark, d, "labels").select(F.col("doc_id").alias("gold_doc_id"))
-    return tables.unknown_gold(gold, docs(spark, d).where("doc_id % 2 = 0"))
+    """All labelled documents, which are known, and some made-up ids, so that there is something to find."""
+    gold = tables.read_table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("gold_doc_id"), (F.col("doc_id") < 50).alias("more"))
+    made = gold.where("more").select(F.concat(F.lit("unknown_"), "gold_doc_id").alias("gold_doc_id"))
+    return tables.unknown_gold(gold.select("gold_doc_id").unionByName(made), docs(spark, d))
 
 
 @query("duplicate_docs", "SELECT doc_id, n FROM (SELECT doc_id % 400 AS doc_id, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")

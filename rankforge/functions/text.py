@@ -119,9 +119,12 @@ def bigrams(tokens: Column) -> Column:
 def lexical_tokens(text: Column, rules: TokenRules = PLAIN, lemma=None) -> Column:
     """Terms of a text.  In this order: tokens, legal references after them, length, stop words, lemmas, noise, bigrams."""
     tokens = let(normalize_text(text), lambda n: F.concat(raw_tokens(n), legal_references(n))) if rules.preserve_legal_refs else raw_tokens(normalize_text(text))
-    if rules.min_len > 1:
-        tokens = F.filter(tokens, lambda t: (F.length(t) >= rules.min_len) | t.isin(*SHORT_CODES) | is_structured(t))
-    if rules.stop_words:
+    long = lambda t: (F.length(t) >= rules.min_len) | t.isin(*SHORT_CODES) | is_structured(t)
+    if rules.min_len > 1 and rules.stop_words:
+        tokens = F.filter(tokens, lambda t: long(t) & ~t.isin(*STOP_WORDS))
+    elif rules.min_len > 1:
+        tokens = F.filter(tokens, long)
+    elif rules.stop_words:
         tokens = F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS))
     if rules.lemmatize and lemma is not None:
         tokens = F.transform(tokens, lambda t: F.when(t.isin(*SHORT_CODES) | is_structured(t), t).otherwise(lemma(t)))

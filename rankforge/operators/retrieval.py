@@ -1,8 +1,8 @@
 """Scorers over units: BM25, TF-IDF (words and character n-grams), dense vectors and lexical weights.
 
-Every scorer gives hits(qid, unit_ord, unit_id, doc_id, score) without text; ranking.py makes rankings of them.  Terms of
-the queries are joined to the units' terms before these are counted, so only postings that some query touches are
-shuffled; lengths and norms are per unit, inside the row.
+Every scorer gives hits(qid, unit_ord, unit_id, doc_id, score) without text; ranking.py makes rankings of them.  BM25 keeps
+only the terms that some query has before it counts them, so only postings that a query touches are shuffled; lengths are
+per unit, inside the row.  TF-IDF needs all postings for its norms.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PLAIN, TokenRules, char_grams, char_words, lexical_tokens
+from ..functions.text import PLAIN, TokenRules, char_grams, char_words, let, lexical_tokens
+from ..sources.shared import table
+
+#: Query terms up to so many are sent to all tasks inside the plan.
+MAX_VOCABULARY = 10_000
 
 
 @dataclass(frozen=True)
@@ -57,10 +61,17 @@ def bm25(units: DataFrame, queries: DataFrame, config: BM25 = BM25(), lemma=None
     """Hits of BM25 with idf = ln(1 + (N - df + 1/2) / (df + 1/2)); a query's terms count once each."""
     require_columns(units, "unit_ord", "unit_id", "doc_id", "text")
     terms = units.select("unit_ord", "unit_id", "doc_id", lexical_tokens(F.col("text"), config.rules, lemma).alias("terms"))
-    sized = terms.select("unit_ord", "unit_id", "doc_id", "terms", F.size("terms").alias("dl"))
     asked = _query_terms(queries, config.rules, lemma)
+    vocabulary = [r["term"] for r in asked.select("term").distinct().limit(MAX_VOCABULARY + 1).collect()]
+    small = 0 < len(vocabulary) <= MAX_VOCABULARY
+    # texts are read and cut into terms once; few terms, counted, are picked inside the row, more of them by a join
+    picked = (lambda t: F.filter(t, lambda x: x.isin(*vocabulary))) if small else (lambda t: t)
+    both = let(F.col("terms"), lambda t: F.struct(F.size(t).alias("dl"), picked(t).alias("terms")))
+    sized = table(terms.select("unit_ord", "unit_id", "doc_id", both.alias("b")).select("unit_ord", "unit_id", "doc_id", "b.dl", "b.terms"), "terms")
     stats = sized.agg(F.count(F.lit(1)).cast("double").alias("n_units"), F.avg("dl").alias("avgdl"))
-    touched = sized.select("unit_ord", "unit_id", "doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    touched = sized.select("unit_ord", "unit_id", "doc_id", "dl", F.explode("terms").alias("term"))
+    if not small:
+        touched = touched.join(asked.select("term").distinct(), "term", "left_semi")
     posted = touched.groupBy("term", "unit_ord", "unit_id", "doc_id", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     seen = posted.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     # stats is one row: the join is a projection
