@@ -86,7 +86,11 @@ def patience(a: list[int], b: list[int], words: list[int] | None = None, least:
         for k, (_, j) in enumerate(pairs):
             n = bisect_left(tails, j)
             back.append(at[n - 1] if n else -1)
-            tails[n:], at[n:] = ([j], [k]) if n == len(tails) else ([j, *tails[n + 1 :]], [k, *at[n + 1 :]])
+            if n == len(tails):
+                tails.append(j)
+                at.append(k)
+            else:
+                tails[n], at[n] = j, k
         chain: list[tuple[int, int]] = []
         k = at[-1] if at else -1
         while k >= 0:
