@@ -43,7 +43,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 18, 3
 AGREE = 5
 SIZE_CLASS = 1.06
-RARE_IDF = 1.4
+#: Steps of idf, from its least value on: a bitmap of the exact search holds the shingles of one step.
+IDF_STEPS = (1.0, 1.2, 1.3, 1.4, 1.49)
 #: Tables of ids up to so many rows, counted, are broadcast (32 MB or so); larger ones are shuffled.
 MAX_BROADCAST = 1_000_000
 SKETCH_BITS = 20
@@ -219,19 +220,20 @@ _BITS = 512
 
 
 def _bitmaps(idf):
-    """Of each text two bitmaps, of the shingles with idf up to RARE_IDF and of those above: a bit says whether an odd
-    number of its shingles falls there.  Where two texts' bits differ, a shingle is in one of them alone."""
+    """Of each text a bitmap for each step of idf: a bit says whether an odd number of its shingles of that step falls
+    there.  Where two texts' bits differ, a shingle of at least that weight is in one of them alone."""
+    width = len(IDF_STEPS) * _BITS
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slice_ in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 for part in chunks(slice_):
                     doc, h, _ = shingles(Words(part.column("text")))
-                    above = weights_of(h, np.ones(len(h)), idf.value) >= RARE_IDF
-                    cell = doc * (2 * _BITS) + above * _BITS + (mixed(h) >> _U(64 - 9)).astype(np.int64)
-                    odd = np.bincount(cell, minlength=part.num_rows * 2 * _BITS) % 2 == 1
+                    step = np.searchsorted(IDF_STEPS, weights_of(h, np.ones(len(h)), idf.value), side="right") - 1
+                    cell = doc * width + step * _BITS + (mixed(h) >> _U(64 - 9)).astype(np.int64)
+                    odd = np.bincount(cell, minlength=part.num_rows * width) % 2 == 1
                     bits = np.packbits(odd).view(np.int64)
-                    offsets = np.arange(part.num_rows + 1, dtype=np.int32) * (2 * _BITS // 64)
+                    offsets = np.arange(part.num_rows + 1, dtype=np.int32) * (width // 64)
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits))], names=["id", "bits"])
 
     return rows
@@ -303,9 +305,10 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, idf, similarity: float) -> D
     seek = seek.join(keys, ["h", "size"]).join(bits, "id").select("h", "size", F.explode(parts).alias("part"), "id", "weight", "rem", F.col("class.root").alias("root"), "bits")
     lighter = (F.col("lead_weight") < F.col("weight")) | ((F.col("lead_weight") == F.col("weight")) & (F.col("lead") < F.col("id")))
     enough = F.least("rem", "lead_rem") >= (half - slack) * (F.col("weight") + F.col("lead_weight"))
-    differ = lambda a, b: sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(a, b)), F.lit(0))
     n = _BITS // 64
-    near = differ(0, n) + RARE_IDF * differ(n, 2 * n) <= (1 - 2 * half + slack) * (F.col("weight") + F.col("lead_weight"))
+    differ = lambda at: sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("lead_bits")[i])) for i in range(at * n, (at + 1) * n)), F.lit(0))
+    apart = sum((least * differ(at) for at, least in enumerate(IDF_STEPS)), F.lit(0.0))
+    near = apart <= (1 - 2 * half + slack) * (F.col("weight") + F.col("lead_weight"))
     return wait.join(seek, ["h", "size", "part"]).where((F.col("root") != F.col("lead_root")) & lighter & enough & near).select("id", "lead").distinct()
 
 
