@@ -108,10 +108,29 @@ def diagnostics_rollup(rows: DataFrame, metrics: tuple[str, ...], losses: tuple[
     return rows.groupBy("kind", "candidate").agg(*out)
 
 
-def best_experiment(summary: DataFrame, metric: str | None = None) -> DataFrame:
-    """experiment of the best successful row; the metric defaults to the first part that the summary has."""
-    metric = metric or next((f"{p}_recall@5_mean" for p in PARTS if f"{p}_recall@5_mean" in summary.columns), "recall@5_mean")
-    return summary.where("status = 'ok'").orderBy(F.col(f"`{metric}`").desc_nulls_last(), "experiment").limit(1).select("experiment")
+def selection_metric(summary: DataFrame) -> str:
+    """Mean recall at 5 of the first part that the summary has."""
+    return next((f"{p}_recall@5_mean" for p in PARTS if f"{p}_recall@5_mean" in summary.columns), "recall@5_mean")
+
+
+def ordered_summary(summary: DataFrame, metric: str | None = None) -> DataFrame:
+    """By status, then from the best; failed rows come first.  A summary without the metric is ordered by status alone."""
+    metric = metric or selection_metric(summary)
+    by = [F.col(f"`{metric}`").desc_nulls_last()] if metric in summary.columns else []
+    return summary.orderBy("status", *by, "experiment")
+
+
+def best_experiment(summary: DataFrame, metric: str | None = None, n: int = 1) -> DataFrame:
+    """experiment of the n best successful rows."""
+    metric = metric or selection_metric(summary)
+    ok = summary.where("status = 'ok'")
+    by = [F.col(f"`{metric}`").desc_nulls_last()] if metric in summary.columns else []
+    return ok.orderBy(*by, "experiment").limit(n).select("experiment")
+
+
+def top_experiments(summary: DataFrame, n: int, metric: str | None = None) -> list[str]:
+    """Names of the n best successful experiments."""
+    return [r["experiment"] for r in best_experiment(summary, metric, n).collect()]
 
 
 def prediction_lists(ranking: DataFrame) -> DataFrame:

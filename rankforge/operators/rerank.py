@@ -27,7 +27,7 @@ def token_overlap(question: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, lexical_tokens(text))) / F.greatest(F.size(q), F.lit(1)).cast("double")
 
 
-def cross_encoder(model_name: str, batch_size: int = 16) -> Scorer:
+def cross_encoder(model_name: str, batch_size: int = 16, max_length: int = 1024) -> Scorer:
     """Scores pairs with a sentence-transformers cross-encoder, loaded once in each Python worker."""
     try:
         import sentence_transformers  # noqa: F401
@@ -40,7 +40,7 @@ def cross_encoder(model_name: str, batch_size: int = 16) -> Scorer:
     def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from sentence_transformers import CrossEncoder
 
-        model = CrossEncoder(model_name)
+        model = CrossEncoder(model_name, max_length=max_length)
         for question, text in batches:
             yield pd.Series(model.predict(list(zip(question, text, strict=True)), batch_size=batch_size)).astype("float64")
 
@@ -73,18 +73,46 @@ def sequence_classifier(model_name: str, batch_size: int = 16, max_length: int =
     return F.pandas_udf(predict, "double")
 
 
-def scorer_for(model_name: str) -> Scorer:
-    """The scorer of a model by its name; token_overlap is built in."""
+def flag_reranker(model_name: str, batch_size: int = 16, max_length: int = 1024) -> Scorer:
+    """Scores pairs with a reranker of the package FlagEmbedding."""
+    try:
+        import FlagEmbedding  # noqa: F401
+    except ImportError as e:
+        raise ImportError("a flag reranker needs the package FlagEmbedding") from e
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from FlagEmbedding import FlagReranker
+
+        model = FlagReranker(model_name)
+        for question, text in batches:
+            asked = [list(x) for x in zip(question, text, strict=True)]
+            scores = model.compute_score(asked, batch_size=batch_size, max_length=max_length) if asked else []
+            yield pd.Series(scores if isinstance(scores, list) else [scores], dtype="float64")
+
+    return F.pandas_udf(predict, "double")
+
+
+BACKENDS = {"cross_encoder": cross_encoder, "sequence": sequence_classifier, "flag": flag_reranker}
+
+
+def scorer_for(model_name: str, batch_size: int = 16, max_length: int = 1024, backend: str | None = None) -> Scorer:
+    """The scorer of a model, by the backend named or else by the model's name; token_overlap is built in."""
     if model_name == "token_overlap":
         return token_overlap
-    return sequence_classifier(model_name) if model_name.startswith("BAAI/bge-reranker") else cross_encoder(model_name)
+    if backend is not None and backend not in BACKENDS:
+        raise ValueError(f"unknown backend: {backend}")
+    return BACKENDS[backend or ("sequence" if model_name.startswith("BAAI/bge-reranker") else "cross_encoder")](model_name, batch_size, max_length)
 
 
 def pairs(candidates: DataFrame, chunk_ranking: DataFrame, chunk_texts: DataFrame, documents: DataFrame, depth: int, chunks_per_doc: int, char_limit: int = INTRO_CHARS) -> DataFrame:
     """qid, doc_id, candidate_rank, candidate_score, chunk_rank, chunk_id, text of each pair to score.
 
     candidates: a ranking of documents; chunk_ranking: of chunks, by unit_id; a document without a ranked chunk is
-    represented by its beginning.  Texts are joined last, to the chosen pairs only.
+    represented by its beginning.  Texts are joined last, to the chosen pairs only.  A candidate that is no document
+    is an error.
     """
     top = candidates.where(F.col("rank") <= depth).groupBy("qid", "doc_id").agg(F.min("rank").alias("candidate_rank"), F.max_by("score", -F.col("rank")).alias("candidate_score"))
     own = chunk_ranking.select("qid", "doc_id", F.col("unit_id").alias("chunk_id"), F.col("rank").alias("at")).join(top.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
@@ -93,7 +121,8 @@ def pairs(candidates: DataFrame, chunk_ranking: DataFrame, chunk_texts: DataFram
     texts = chunk_texts.select(F.col("unit_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
     intro = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, INTRO_CHARS).alias("intro"))
     told = both.join(texts, "chunk_id", "left").join(intro, "doc_id", "left")
-    return told.select("qid", "doc_id", "candidate_rank", "candidate_score", "chunk_rank", "chunk_id", pair_text(F.coalesce("chunk_text", "intro", F.lit("")), char_limit).alias("text"))
+    body = F.when(F.col("intro").isNull(), F.raise_error(F.concat(F.lit("no such document: "), "doc_id")).cast("string")).otherwise(F.coalesce("chunk_text", "intro"))
+    return told.select("qid", "doc_id", "candidate_rank", "candidate_score", "chunk_rank", "chunk_id", pair_text(body, char_limit).alias("text"))
 
 
 def scored_pairs(pair_rows: DataFrame, queries: DataFrame, scorer: Scorer = token_overlap) -> DataFrame:

@@ -40,7 +40,9 @@ def validate_submission(submission: DataFrame, test: DataFrame, documents: DataF
 
 
 def write_submission(ranking: DataFrame, path: str, test: DataFrame, documents: DataFrame, top_k: int = TOP_K) -> None:
-    """Checks the submission and writes it as one CSV file, in the order of query and rank; it has top_k rows a query."""
+    """Checks the submission and writes it as one CSV file, in the order of the test table and rank; it has top_k rows a query."""
     frame = submission_frame(ranking, top_k)
     validate_submission(frame.select("qid", "doc_id"), test, documents, top_k)
-    frame.orderBy("qid", "rank").select("qid", "doc_id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    order = test.select(F.col("qid").cast("string").alias("q"), F.monotonically_increasing_id().alias("at")).groupBy("q").agg(F.min("at").alias("at"))
+    placed = frame.join(order, F.col("qid").cast("string") == F.col("q"))
+    placed.orderBy("at", "rank").select("qid", "doc_id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -11,17 +11,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.evaluate import BASELINE, KS, best_experiment, diagnostics_rollup, oracle_union, query_hits, recall, wide_summary
+from ..operators.evaluate import BASELINE, KS, best_experiment, diagnostics_rollup, oracle_union, ordered_summary, query_hits, recall, wide_summary
 from ..operators.fusion import quota_union, rrf
 from ..operators.ranking import aggregate_chunks, dedupe_ranked_docs, first_of_docs, padded, top_k
-from ..operators.rerank import RerankConfig, Scorer, pairs, reranked, scored_pairs, scorer_for
-from ..operators.retrieval import BM25, bm25, dense, hybrid, lexical_weights, tfidf
+from ..operators.retrieval import bm25, dense, hybrid, lexical_weights, tfidf
 from ..operators.splits import eval_folds
 from ..operators.submission import write_submission
 from ..operators.units import chunk_units, document_units, query_rows
 from ..sources.shared import table
 from ..sources.tables import Bundle, append_jsonl, params_json, write_csv
-from .registry import LEGAL, LINE_10_5, Experiment, checked, default_experiments, merged, selected
+from .registry import Experiment, checked, default_experiments, merged, selected
 
 #: An encoder adds the column vector (and, for kind bge_m3_chunk, weights) to rows with the column text.
 Encoder = Callable[[DataFrame, dict, bool], DataFrame]
@@ -87,22 +86,28 @@ class Planner:
         return hybrid(hits, lexical_weights(have, asked), config.get("dense_weight", 0.7), config.get("sparse_weight", 0.3))
 
 
-def _now() -> str:
+def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+def gold_rows(data: Bundle, mode: str, seed: int, n_splits: int) -> DataFrame:
+    """The questions to evaluate, of all folds, as a table."""
+    folds = eval_folds(data.train, mode, seed=seed, n_splits=n_splits)
+    return table(folds.select(F.col("qid").cast("string").alias("qid"), "question", F.col("gold_doc_id").cast("string").alias("gold_doc_id"), "split", "eval_part"), "gold")
+
+
 def run_suite(data: Bundle, names: list[str] | None = None, mode: str = "cv", extra: list[Experiment] | None = None, include_optional: bool = False, seed: int = 42, n_splits: int = 5, ks: tuple[int, ...] = KS, out: str | None = None, baseline: str = BASELINE, **planner) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, hits, summary) of the experiments.  All folds are evaluated in one pass per experiment: the index does not
     depend on the fold.  An experiment that fails leaves a failed record, and the others go on."""
     spark = data.documents.sparkSession
     experiments = merged(default_experiments(include_optional), extra)
     chosen = selected(experiments, names)
-    gold = table(eval_folds(data.train, mode, seed=seed, n_splits=n_splits).select(F.col("qid").cast("string").alias("qid"), "question", F.col("gold_doc_id").cast("string").alias("gold_doc_id"), "split", "eval_part"), "gold")
+    gold = gold_rows(data, mode, seed, n_splits)
     plan = Planner(experiments, data.documents, query_rows(gold).distinct(), **planner)
     run_id, kept = uuid.uuid4().hex[:12], []
     records: list[DataFrame] = []
     for e in chosen:
-        began, stamp = time.time(), _now()
+        began, stamp = time.time(), now()
         same = {"run_id": run_id, "mode": mode, "experiment": e.name, "priority": e.priority, "description": e.description, "params": params_json(e.params), "started_at": stamp}
         try:
             hits = table(query_hits(gold.drop("question"), plan.ranking(e.name, max(max(ks), e.rank_depth if e.kind in ("rrf", "quota_rrf") else max(ks))), ks).withColumn("experiment", F.lit(e.name)), "hits")
@@ -111,14 +116,14 @@ def run_suite(data: Bundle, names: list[str] | None = None, mode: str = "cv", ex
         except Exception as problem:
             none = {f"recall@{k}": F.lit(None).cast("double") for k in ks}
             record = gold.select("split", "eval_part").distinct().withColumn("n_eval", F.lit(0).cast("long")).withColumns({**none, "status": F.lit("failed"), "error": F.lit(f"{type(problem).__name__}: {problem}"[:500])})
-        record = record.withColumns({k: F.lit(v) for k, v in same.items()} | {"duration_sec": F.lit(time.time() - began), "finished_at": F.lit(_now())})
+        record = record.withColumns({k: F.lit(v) for k, v in same.items()} | {"duration_sec": F.lit(time.time() - began), "finished_at": F.lit(now())})
         record = table(record, "record")
         if out:
             append_jsonl(record, f"{out}/metrics/{run_id}")
         records.append(record)
     every = reduce(DataFrame.unionByName, records)
     hits = reduce(DataFrame.unionByName, kept) if kept else spark.createDataFrame([], "qid string, gold_doc_id string, split string, eval_part string, experiment string, " + ", ".join(f"`hit@{k}` int" for k in ks))
-    summary = wide_summary(every, hits if kept else None, baseline, ks)
+    summary = ordered_summary(table(wide_summary(every, hits if kept else None, baseline, ks), "summary"))
     if out:
         for name, df in (("folds", every), ("query_hits", hits), ("summary", summary), ("summary_latest", summary)):
             write_csv(df, f"{out}/{name}" if name == "summary_latest" else f"{out}/{name}_{run_id}")
@@ -136,7 +141,7 @@ def recall_diagnostics(data: Bundle, branches: list[str] | None = None, fusion:
     branches = branches or ["bm25_legal_lemma_doc", "bm25_legal_lemma_chunk_line_10_5_max", "tfidf_char_doc_3_5"]
     experiments = merged(default_experiments(), extra)
     selected(experiments, [*branches, fusion])
-    gold = table(eval_folds(data.train, mode, seed=seed, n_splits=n_splits).select(F.col("qid").cast("string").alias("qid"), "question", F.col("gold_doc_id").cast("string").alias("gold_doc_id"), "split", "eval_part"), "gold")
+    gold = gold_rows(data, mode, seed, n_splits)
     plan = Planner(experiments, data.documents, query_rows(gold).distinct(), **planner)
     depth = max(depth, *ks)
     rows: list[DataFrame] = []
@@ -159,31 +164,5 @@ def create_submission(data: Bundle, experiment: str, path: str, extra: list[Expe
     write_submission(plan.ranking(experiment, max(k, int(chosen.params.get("rank_depth") or 100))), path, data.test, data.documents, k)
 
 
-def run_rerank_suite(data: Bundle, candidates: list[str], configs: dict[str, list[RerankConfig]], scorer: Scorer | str = "token_overlap", mode: str = "holdout", extra: list[Experiment] | None = None, ks: tuple[int, ...] = (5, 10, 20), seed: int = 42, n_splits: int = 5, **planner) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, hits, summary): each candidate ranking as it is, and every configuration over its pairs, scored once."""
-    scorer = scorer_for(scorer) if isinstance(scorer, str) else scorer
-    experiments = merged(default_experiments(), extra)
-    selected(experiments, candidates)
-    gold = table(eval_folds(data.train, mode, seed=seed, n_splits=n_splits).select(F.col("qid").cast("string").alias("qid"), "question", F.col("gold_doc_id").cast("string").alias("gold_doc_id"), "split", "eval_part"), "gold")
-    queries = query_rows(gold).distinct()
-    plan = Planner(experiments, data.documents, queries, **planner)
-    units = plan.units(LINE_10_5)
-    selector = table(top_k(bm25(units, queries, BM25(rules=LEGAL), plan.lemma), 2500, "selector"), "selector")
-    hits: list[DataFrame] = []
-    for name in candidates:
-        grid = configs[name]
-        depth = max([c.depth for c in grid] + [*ks])
-        base = plan.ranking(name, depth)
-        hits.append(query_hits(gold.drop("question"), base, ks).withColumn("experiment", F.lit(f"candidate_{name}")))
-        made = pairs(base, selector, units, data.documents, depth, max(c.chunks_per_doc for c in grid))
-        scored = table(scored_pairs(made, queries, scorer), "pairs")
-        ranked = table(reranked(scored, grid), "reranked")
-        for c in grid:
-            hits.append(query_hits(gold.drop("question"), ranked.where(F.col("experiment") == c.name).drop("experiment"), ks).withColumn("experiment", F.lit(c.name)))
-    every = table(reduce(DataFrame.unionByName, hits), "hits")
-    records = recall(every, "experiment", "split", "eval_part", ks=ks).withColumns({"status": F.lit("ok"), "duration_sec": F.lit(0.0)})
-    return records, every, wide_summary(records, every, f"candidate_{candidates[0]}", ks)
-
-
 def best_documents(ranking: DataFrame, k: int) -> DataFrame:
     return first_of_docs(ranking, k)

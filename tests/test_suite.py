@@ -3,10 +3,11 @@ from pyspark.sql import functions as F
 
 from rankforge.operators import evaluate as E
 from rankforge.operators import splits, submission
-from rankforge.operators.rerank import rerank_grid, scorer_for
+from rankforge.operators.rerank import pairs, rerank_grid, scorer_for
 from rankforge.operators.supervision import evidence_windows, hard_negatives, training_pairs
 from rankforge.plans import registry as G
-from rankforge.plans.suite import Planner, create_submission, recall_diagnostics, run_rerank_suite, run_suite, select_best
+from rankforge.plans.rerank_suite import RerankOptions, run_rerank_suite
+from rankforge.plans.suite import Planner, create_submission, recall_diagnostics, run_suite, select_best
 from rankforge.sources.tables import Bundle, Layout, duplicate_docs, evidence_errors, load_bundle, missing_columns, params_json, unknown_gold
 
 
@@ -85,15 +86,44 @@ def test_planner_keeps_depths_apart(data, spark):
     assert plan.ranking("bm25_doc", 3) is plan.ranking("bm25_doc", 3)
 
 
+def test_rerank_suite(data, spark, tmp_path):
+    options = RerankOptions(mode="train", ks=[5], depths=[5], chunks_per_doc=[1, 2], chunk_aggs=["max", "top2_mean"], score_modes=["ce", "ce_plus_candidate"], candidates=["bm25_doc"], models=["token_overlap", "some/cross-encoder"])
+    assert options.candidate_depth == 100 and RerankOptions(candidate_depth=5).candidate_depth == 20
+    r = run_rerank_suite(data, options, out=str(tmp_path / "out"), submissions=str(tmp_path / "s"), top_n=2)
+    rows = {x["experiment"]: x for x in r.summary.collect()}
+    ok = [x for x in rows.values() if x["status"] == "ok"]
+    assert len(rows) == 13 and len(ok) == 7 and rows["candidate_bm25_doc"]["train_recall@5_mean"] == 1.0
+    assert all(x["duration_sec"] > 0 for x in rows.values())
+    assert [x["status"] for x in r.summary.collect()] == ["failed"] * 6 + ["ok"] * 7
+    failed = r.records.where("status = 'failed'").first()
+    assert "sentence-transformers" in failed["error"] and '"depth": 5' in failed["params"]
+    assert r.best_rerank.startswith("rerank_bm25_doc_token_overlap") and r.best in rows
+    for name in (f"folds_{failed['run_id']}", f"query_hits_{failed['run_id']}", f"summary_{failed['run_id']}", "rerank_summary_latest", f"metrics/{failed['run_id']}"):
+        assert any((tmp_path / "out" / name).iterdir())
+    assert len(r.submissions) == 2 and r.submissions[0].endswith(f"submission_{r.best_rerank}")
+    for path in r.submissions:
+        sent = spark.read.option("header", True).csv(path)
+        assert [x.qid for x in sent.collect()] == ["t1"] * 5 + ["t2"] * 5
+    nowhere = spark.createDataFrame([("q1", 1, "zz", 1.0)], "qid string, rank long, doc_id string, score double")
+    units = spark.createDataFrame([], "unit_id string, text string")
+    with pytest.raises(Exception, match="no such document: zz"):
+        pairs(nowhere, nowhere.withColumn("unit_id", F.lit("u")).where("false"), units, data.documents, 5, 1).collect()
+
+
 def test_rerank_and_diagnostics(data):
     grid = rerank_grid("bm25_doc", "token_overlap", depths=(5,), chunks_per_doc=(1, 2))
     assert [c.name for c in grid][0] == "rerank_bm25_doc_token_overlap_d5_c1_max_ce" and len(grid) == 6
-    _, _, summary = run_rerank_suite(data, ["bm25_doc"], {"bm25_doc": grid}, mode="train", ks=(5,))
-    assert {r["status"] for r in summary.collect()} == {"ok"} and summary.count() == 7
     d = {r["candidate"]: r for r in recall_diagnostics(data, ["bm25_doc", "tfidf_word_doc"], "rrf_bm25_doc_chunk", "train", ks=(5, 20), depth=20).collect()}
     assert d["oracle_union_top20"]["recall@20_mean"] == 1.0 and d["oracle_union_top20"]["lost@20_total"] == 0
-    with pytest.raises(ImportError):
-        scorer_for("some/cross-encoder")
+    for name, backend in (("some/cross-encoder", None), ("some/model", "flag")):
+        with pytest.raises(ImportError):
+            scorer_for(name, backend=backend)
+
+
+def test_submission_follows_the_test_table(data, spark, tmp_path):
+    turned = spark.createDataFrame([("t2", "item5"), ("t1", "word3")], "qid string, question string").coalesce(1)
+    create_submission(Bundle(data.documents, data.train, turned), "bm25_doc", str(tmp_path / "s"))
+    assert [r.qid for r in spark.read.option("header", True).csv(str(tmp_path / "s")).collect()] == ["t2"] * 5 + ["t1"] * 5
 
 
 def test_submission(data, spark, tmp_path):
