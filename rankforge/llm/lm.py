@@ -2,12 +2,14 @@
 
 Subword ids come from a public tokenizer (a parameter), word by word, each different word of a chunk once.  Texts are
 tokenized once, into a table of ids.  Ids are put in BUCKETS buckets, the frequent ones each in its own, and these in CLASSES
-classes of about equal mass.  The probability of an id is
+classes of about equal sums of roots of mass.  The model is masked self-attention over a window of WINDOW ids and a hidden
+layer; its output is a softmax over all ids, factored as a tree:
 
-    P(class | window) * P(bucket | class, bucket before) * P(id | bucket)
+    P(class | window) * P(bucket | class, window) * P(id | bucket, window)
 
-and sums to one.  The last two are smoothed counts over all training documents.  The first is the model's: masked
-self-attention over a window of WINDOW ids, a hidden layer, and the smoothed log count of the class after the bucket before.
+which sums to one.  At each of the three levels the hidden layer meets a vector for each class, bucket and id; the bias is
+the smoothed log count, over all training documents, of the class and the bucket after the bucket before and of the id in
+its bucket.  An id that shares its bucket has an input vector of its own beside the bucket's.
 
 Training sees every id of all training documents once.  Documents are dealt by a hash of theirs to groups of about
 GROUP_IDS ids, in an order by that hash, so the groups depend on the rows alone and not on how they are partitioned; every
@@ -66,9 +68,12 @@ class Pieces:
         return x if len(x) >= n else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
 
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the different words in w: hash, number of each word of w among them, count, and start and length of their
-        ids in self.flat."""
-        h, first, which, count = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+        """Of the different words in w, by first occurrence: hash, number of each word of w among them, count, and start and
+        length of their ids in self.flat."""
+        met = pa.array(w.hash).dictionary_encode()
+        h, which = ints(met.dictionary), ints(met.indices).astype(np.int64)
+        count, first = np.bincount(which, minlength=len(h)), np.empty(len(h), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
         if self.n > self.remembered:
             self._forget()
         keys = h.tolist()
@@ -103,13 +108,26 @@ class Pieces:
         return out, bounds
 
 
+_pieces: dict[bytes, Pieces] = {}
+
+
+def pieces_of(model: bytes) -> Pieces:
+    """One for all tasks of a worker process, so that words are not looked up anew in each."""
+    if model not in _pieces:
+        _pieces.clear()
+        _pieces[model] = Pieces(model)
+    return _pieces[model]
+
+
 # --- the model ---------------------------------------------------------------------------------------------------------
 
 
 class Vocabulary:
     """From counts of ids: each id's bucket and log share of it, and each bucket's class.
 
-    starts: which ids begin a word; buckets are put in classes in the order of whether their ids do, then of their counts.
+    starts: which ids begin a word; buckets are put in classes in the order of whether their ids do, then of their counts,
+    and numbered in that order: class c has the buckets first[c]:first[c + 1].  Of buckets for several ids, member_share has
+    the ids' log shares, a row for each; row and slot are a bucket's and an id's place there, or -1.
     """
 
     def __init__(self, counts: np.ndarray, starts: np.ndarray):
@@ -125,10 +143,22 @@ class Vocabulary:
         self.log_share = np.log(mass / total[self.bucket[:n]])
         begins = np.bincount(self.bucket[:n], mass * starts, minlength=BUCKETS) > total / 2
         order = np.lexsort((-total, begins))
-        upto = np.cumsum(total[order])
-        self.of_class = np.empty(BUCKETS, np.int64)
-        self.of_class[order] = np.minimum((upto - total[order] / 2) / upto[-1] * CLASSES, CLASSES - 1).astype(np.int64)
-        self.mass = total
+        self.mass = total[order]
+        # for equal shares of roots the sum of mass times buckets in its class, the work, is least
+        root = np.sqrt(self.mass)
+        upto = np.cumsum(root)
+        self.of_class = np.minimum((upto - root / 2) / upto[-1] * CLASSES, CLASSES - 1).astype(np.int64)
+        self.first = np.searchsorted(self.of_class, np.arange(CLASSES + 1))
+        number = np.empty(BUCKETS, np.int64)
+        number[order] = np.arange(BUCKETS)
+        self.bucket = number[self.bucket]
+        rare = np.flatnonzero(rank >= half - 1)
+        self.slot = np.full(n + 1, -1)
+        self.slot[rare] = (rank[rare] - (half - 1)) // half
+        self.row = np.full(BUCKETS, -1)
+        self.row[number[half:]] = np.arange(half)
+        self.member_share = np.full((half, self.slot.max() + 1), -np.inf, np.float32)
+        self.member_share[rank[rare] % half, self.slot[rare]] = self.log_share[rare]
 
     def learn(self, pairs: np.ndarray) -> None:
         """From the counts (BUCKETS, BUCKETS) of pairs of neighbours: log_bucket, of a bucket in its class after another,
@@ -143,6 +173,13 @@ class Vocabulary:
             self.log_bucket = np.log((pairs + SMOOTHING * inside) / (after[:, self.of_class] + SMOOTHING)).astype(np.float32)
             # a class without mass keeps a share that no sum can see
             self.log_class = np.log(np.maximum((after + SMOOTHING * of_class) / (after.sum(axis=1, keepdims=True) + SMOOTHING), 1e-12)).astype(np.float32)
+        self.blocks = None
+
+    def block(self, c: int) -> np.ndarray:
+        """The columns of log_bucket of a class's buckets, in a row of memory; not sent to workers."""
+        if self.blocks is None:
+            self.blocks = [np.ascontiguousarray(self.log_bucket[:, a:b]) for a, b in zip(self.first, self.first[1:], strict=False)]
+        return self.blocks[c]
 
 
 _SHAPES = {
@@ -167,6 +204,21 @@ def packed(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 N_PARAMETERS = sum(int(np.prod(s)) for s in _SHAPES.values())
+_LEAVES = ("bucket", "id", "own")
+
+
+def whole(flat: np.ndarray, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """All weights, those of single buckets and ids behind the others; a shorter array has these untrained."""
+    out, at = leaves(vocabulary), N_PARAMETERS
+    for name in _LEAVES if len(flat) > at else ():
+        size = out[name].size
+        out[name] = flat[at : at + size].reshape(out[name].shape).astype(np.float32)
+        at += size
+    return unpacked(flat) | out
+
+
+def flattened(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([packed(p), *(p[name].ravel() for name in _LEAVES)])
 
 
 def initial(seed: int = 7) -> np.ndarray:
@@ -176,9 +228,80 @@ def initial(seed: int = 7) -> np.ndarray:
     return packed(p)
 
 
-def _attended(p: dict[str, np.ndarray], x_ids: np.ndarray) -> tuple[np.ndarray, ...]:
+def leaves(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Weights of single buckets and ids, before training: output vectors of both and input vectors of ids."""
+    shapes = {"bucket": (BUCKETS, HIDDEN), "id": (*vocabulary.member_share.shape, HIDDEN), "own": (len(vocabulary.log_share), WIDTH)}
+    return {name: np.zeros(shape, np.float32) for name, shape in shapes.items()}
+
+
+def _softmax(s: np.ndarray, t: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of column t in each row of scores, which become their exp, its place, and the rows' sums.  small: exp
+    of the scores is known to stay in range."""
+    if not small:
+        s -= s.max(axis=1, keepdims=True)
+    at = np.arange(0, s.size, s.shape[1])
+    at += t
+    mine = s.reshape(-1)[at]
+    np.exp(s, out=s)
+    total = s @ np.ones(s.shape[1], s.dtype)
+    return mine - np.log(total), at, total[:, None]
+
+
+def _longest(x: np.ndarray) -> float:
+    return float(np.einsum("ij,ij->i", x, x).max(initial=0)) ** 0.5
+
+
+def below_class(vocabulary: Vocabulary, p: dict[str, np.ndarray], z: np.ndarray, before: np.ndarray, of: np.ndarray, ids: np.ndarray, slopes: bool = False) -> tuple:
+    """Natural log probability of each place's bucket in its class and its id in its bucket, from the hidden layer z and the
+    bucket before; with slopes, also the gradients of their sum by z, by p["bucket"] and by rows of p["id"].  Places come in the order
+    of their buckets."""
+    got = np.zeros(len(z))
+    dz, d_bucket, d_id = np.zeros_like(z), np.zeros_like(p["bucket"]), (np.zeros(0, np.int64), np.zeros((0, *p["id"].shape[1:]), z.dtype))
+    # biases are log probabilities that sum to one, and scores differ from them by no more than this
+    small = _longest(z) * _longest(p["bucket"]) < 60
+    cut = np.searchsorted(of, vocabulary.first)
+    for c in range(CLASSES):
+        a, b, lo, hi = *cut[c : c + 2].tolist(), *vocabulary.first[c : c + 2].tolist()
+        if a == b or hi - lo == 1:
+            continue
+        s = z[a:b] @ p["bucket"][lo:hi].T
+        s += np.take(vocabulary.block(c), before[a:b], axis=0)
+        got[a:b], at, total = _softmax(s, of[a:b] - lo, small)
+        if slopes:
+            s /= -total
+            s.reshape(-1)[at] += 1
+            dz[a:b] = s @ p["bucket"][lo:hi]
+            d_bucket[lo:hi] = s.T @ z[a:b]
+    several = np.flatnonzero(vocabulary.slot[ids] >= 0)
+    if len(several):
+        row, t = vocabulary.row[of[several]], vocabulary.slot[ids[several]]
+        w, zs = p["id"][row], z[several]
+        s = np.matmul(w, zs[:, :, None])[:, :, 0]
+        s += vocabulary.member_share[row]
+        now, at, total = _softmax(s, t, False)
+        got[several] += now
+        if slopes:
+            s /= -total
+            s.reshape(-1)[at] += 1
+            dz[several] += np.matmul(s[:, None, :], w)[:, 0]
+            begin = np.flatnonzero(np.diff(row, prepend=-1))
+            d_id = row[begin], np.add.reduceat(s[:, :, None] * zs[:, None, :], begin, axis=0)
+    return (got, dz, d_bucket, d_id) if slopes else (got,)
+
+
+def _own(vocabulary: Vocabulary, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places have an id before them that shares its bucket, and that id."""
+    last = last.ravel()
+    at = np.flatnonzero(vocabulary.slot[last] >= 0)
+    return at, last[at]
+
+
+def _attended(p: dict[str, np.ndarray], x_ids: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None, keep: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The layers up to the hidden one, which only the places keep have, in their order."""
     n = len(x_ids)
     flat = np.take(p["e"], x_ids.ravel(), axis=0)
+    if own is not None:
+        flat[own[0]] += p["own"][own[1]]
     flat.reshape(n, WINDOW, WIDTH)[...] += p["p"]
     q, k, v = np.split((flat @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH), 3, axis=2)
     a = np.matmul(q, k.transpose(0, 2, 1))
@@ -187,40 +310,57 @@ def _attended(p: dict[str, np.ndarray], x_ids: np.ndarray) -> tuple[np.ndarray,
     np.exp(a, out=a)
     a *= _BEFORE
     a /= (a.reshape(-1, WINDOW) @ _ONES).reshape(n, WINDOW, 1)
-    h = flat + np.matmul(a, v).reshape(-1, WIDTH)
+    h = np.take(flat + np.matmul(a, v).reshape(-1, WIDTH), keep, axis=0)
     z = h @ p["w1"]
     z += p["b1"]
     np.maximum(z, 0, out=z)
     return flat, q, k, v, a, h, z
 
 
-def class_scores(p: dict[str, np.ndarray], log_class: np.ndarray, x_ids: np.ndarray) -> np.ndarray:
-    """exp of the class scores at each place of windows of buckets (n, WINDOW); they sum to a class's probability."""
-    y = _attended(p, x_ids)[-1] @ p["w2"]
+def class_scores(p: dict[str, np.ndarray], log_class: np.ndarray, z: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """exp of the class scores from the hidden layer and the bucket before; they sum to a class's probability."""
+    y = z @ p["w2"]
     y += p["b2"]
-    y += np.take(log_class, x_ids.ravel(), axis=0)
+    y += np.take(log_class, before, axis=0)
     return np.exp(y, out=y)
 
 
-def gradients(p: dict[str, np.ndarray], log_class: np.ndarray, x_ids: np.ndarray, target: np.ndarray, counted: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """Gradients of the mean loss over the counted positions, and the loss."""
-    flat, q, k, v, a, h, z = _attended(p, x_ids)
-    y = z @ p["w2"]
-    y += p["b2"]
-    y += log_class[x_ids.ravel()]
-    np.exp(y, out=y)
-    y /= y.sum(axis=1, keepdims=True)
-    n, places, counts = len(x_ids), np.arange(y.shape[0]), counted.ravel()
-    m = max(int(counts.sum()), 1)
-    t = target.ravel()
-    loss = -float(np.log(y[places, t])[counts].sum()) / m
+def gradients(
+    p: dict[str, np.ndarray], log_class: np.ndarray, x_ids: np.ndarray, target: np.ndarray, counted: np.ndarray, vocabulary: Vocabulary | None = None, last: np.ndarray | None = None, of: np.ndarray | None = None, ids: np.ndarray | None = None
+) -> tuple[dict, float]:
+    """Gradients of the mean loss over the counted positions, and the loss; those of single ids as (rows, gradients).
+
+    x_ids and target are the bucket before and the class of each place.  With a vocabulary the loss is that of the ids: last
+    is the id before, of and ids are the place's bucket and id.  Without one it is that of the classes alone.
+    """
+    keep = np.flatnonzero(counted)
+    own = None
+    if vocabulary is not None:
+        of, own = of.ravel()[keep], _own(vocabulary, last)
+        order = np.argsort(of.astype(np.int16), kind="stable")
+        keep, of = keep[order], of[order]
+    flat, q, k, v, a, h, z = _attended(p, x_ids, own, keep)
+    x, t = x_ids.ravel(), target.ravel()[keep]
+    y = class_scores(p, log_class, z, x[keep])
+    y /= (y @ np.ones(CLASSES, y.dtype))[:, None]
+    n, places, m = len(x_ids), np.arange(len(keep)), max(len(keep), 1)
+    loss = -float(np.log(y[places, t]).sum()) / m
     y[places, t] -= 1
-    y *= (counts / np.float32(m)).astype(np.float32)[:, None]
-    g = {"b2": y.sum(axis=0), "w2": z.T @ y}
+    scale = np.float32(1 / m)
+    y *= scale
+    each = np.ones(len(y), y.dtype)
+    g = {"b2": each @ y, "w2": z.T @ y}
     dz = y @ p["w2"].T
+    if vocabulary is not None:
+        got, d_z, d_bucket, d_id = below_class(vocabulary, p, z, x[keep], of, ids.ravel()[keep], slopes=True)
+        loss -= float(got.sum()) / m
+        d_z *= scale
+        dz -= d_z
+        g["bucket"], g["id"] = -scale * d_bucket, (d_id[0], -scale * d_id[1])
     dz *= z > 0
-    g["w1"], g["b1"] = h.T @ dz, dz.sum(axis=0)
-    dh = dz @ p["w1"].T
+    g["w1"], g["b1"] = h.T @ dz, each @ dz
+    dh = np.zeros_like(flat)
+    dh[keep] = dz @ p["w1"].T
     dc = dh.reshape(n, WINDOW, WIDTH)
     da = np.matmul(dc, v.transpose(0, 2, 1))
     d = np.empty((n, WINDOW, 3 * WIDTH), dc.dtype)
@@ -235,8 +375,10 @@ def gradients(p: dict[str, np.ndarray], log_class: np.ndarray, x_ids: np.ndarray
     dx = d @ p["qkv"].T
     dx += dh
     g["p"] = dx.reshape(n, WINDOW, WIDTH).sum(axis=0)
-    of = x_ids.ravel()
-    g["e"] = np.stack([np.bincount(of, dx[:, i], minlength=BUCKETS) for i in range(WIDTH)], axis=1).astype(np.float32)
+    g["e"] = np.stack([np.bincount(x, dx[:, i], minlength=BUCKETS) for i in range(WIDTH)], axis=1).astype(np.float32)
+    if own is not None:
+        rows, which = np.unique(own[1], return_inverse=True)
+        g["own"] = rows, np.stack([np.bincount(which, dx[own[0], i], minlength=len(rows)) for i in range(WIDTH)], axis=1).astype(np.float32)
     return g, loss
 
 
@@ -250,6 +392,14 @@ class Adam:
         self.n += 1
         rate = np.float32(self.rate * (1 - 0.999**self.n) ** 0.5 / (1 - 0.9**self.n))
         for k, x in g.items():
+            if isinstance(x, tuple):
+                # of single rows, the others stay as they are
+                rows, x = x
+                m = self.m[k][rows] * np.float32(0.9) + np.float32(0.1) * x
+                s = self.s[k][rows] * np.float32(0.999) + np.float32(0.001) * x * x
+                self.m[k][rows], self.s[k][rows] = m, s
+                self.p[k][rows] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
+                continue
             self.m[k] *= np.float32(0.9)
             self.m[k] += np.float32(0.1) * x
             self.s[k] *= np.float32(0.999)
@@ -274,29 +424,30 @@ def _places(bounds: np.ndarray, text: np.ndarray, start: np.ndarray, done: np.nd
     return np.where(inside, place, bounds[:-1][text][:, None]), inside & (np.arange(WINDOW) >= done[:, None])
 
 
-def _inputs(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each id, and of the id before it."""
-    of = vocabulary.bucket[ids]
-    before = np.empty(len(ids), np.int64)
-    before[1:] = of[:-1]
-    before[bounds[:-1][np.diff(bounds) > 0]] = vocabulary.bucket[-1]
-    return of, before
+def _inputs(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each id, bucket of the id before it, and that id."""
+    last = np.empty(len(ids), np.int64)
+    last[1:] = ids[:-1]
+    last[bounds[:-1][np.diff(bounds) > 0]] = len(vocabulary.bucket) - 1
+    return vocabulary.bucket[ids], vocabulary.bucket[last], last
 
 
 def log_probabilities(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Natural log probability of each text's ids."""
-    of, before = _inputs(ids, bounds, vocabulary)
-    of_class = vocabulary.of_class[of]
-    known = vocabulary.log_share[ids] + vocabulary.log_bucket[before, of]
+    """Natural log probability of each text's ids.  Where p has no weights of single buckets and ids they are untrained."""
+    p = {**leaves(vocabulary), **p} if "id" not in p else p
+    of, before, last = _inputs(ids, bounds, vocabulary)
     text, start, done = windows(bounds)
-    out = np.bincount(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), known, minlength=len(bounds) - 1)
+    out = np.zeros(len(bounds) - 1)
     for i in range(0, len(text), _BATCH):
         these = slice(i, i + _BATCH)
         at, scored = _places(bounds, text[these], start[these], done[these])
-        y = class_scores(p, vocabulary.log_class, before[at])
-        got = np.log(y[np.arange(len(y)), of_class[at].ravel()] / y.sum(axis=1)).reshape(at.shape)
-        got *= scored
-        out += np.bincount(text[i : i + _BATCH], got.sum(axis=1, dtype=np.float64), minlength=len(out))
+        keep = np.flatnonzero(scored)
+        keep = keep[np.argsort(of[at.ravel()[keep]].astype(np.int16), kind="stable")]
+        z = _attended(p, before[at], _own(vocabulary, last[at]), keep)[-1]
+        at = at.ravel()[keep]
+        y = class_scores(p, vocabulary.log_class, z, before[at])
+        got = np.log(y[np.arange(len(y)), vocabulary.of_class[of[at]]] / (y @ np.ones(CLASSES, y.dtype))) + below_class(vocabulary, p, z, before[at], of[at], ids[at])[0]
+        out += np.bincount(text[these][keep // WINDOW], got, minlength=len(out))
     return out
 
 
@@ -319,7 +470,7 @@ def _tokenized(model, n_pieces: int):
     """Rows of kind 0: a training document's ids; 1: words (hash) of a chunk and their counts; 2: a task's ids and counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, seen = Pieces(model.value), np.zeros(n_pieces + 1, np.int64)
+        pieces, seen = pieces_of(model.value), np.zeros(n_pieces + 1, np.int64)
         for batch in batches:
             for part in chunks(batch, limit=_TEXT_BYTES):
                 w = Words(part.column("text"), lower=True)
@@ -358,9 +509,8 @@ def _pairs(vocabulary, kind: type):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, seen = vocabulary.value, np.zeros(BUCKETS * BUCKETS, np.int64)
         for _, ids, bounds in _sequences(batches, 1 << 20, kind):
-            of, before = _inputs(ids, bounds, voc)
-            pair, count = np.unique(before * BUCKETS + of, return_counts=True)
-            seen[pair] += count
+            of, before, _ = _inputs(ids, bounds, voc)
+            seen += np.bincount(before * BUCKETS + of, minlength=len(seen))
         if seen.any():
             yield array_parts(seen)
 
@@ -375,19 +525,19 @@ def _trained(vocabulary, weights, rate: float, kind: type):
         for group, ids, bounds in _sequences(batches, 1 << 20, kind):
             if group != last:
                 if n:
-                    yield array_parts(np.append(packed(adam.p) * np.float32(n), np.float32(n)))
-                adam, last, n = Adam(unpacked(weights), rate), group, 0
-            of, before = _inputs(ids, bounds, voc)
+                    yield array_parts(np.append(flattened(adam.p) * np.float32(n), np.float32(n)))
+                adam, last, n = Adam(whole(weights, voc), rate), group, 0
+            of, before, last_id = _inputs(ids, bounds, voc)
             of_class = voc.of_class[of]
             text, start, done = windows(bounds, WINDOW)
             order = np.random.default_rng(n).permutation(len(text))
             for i in range(0, len(order), _BATCH):
                 pick = order[i : i + _BATCH]
                 place, counted = _places(bounds, text[pick], start[pick], done[pick])
-                adam.step(gradients(adam.p, voc.log_class, before[place], of_class[place], counted)[0])
+                adam.step(gradients(adam.p, voc.log_class, before[place], of_class[place], counted, voc, last_id[place], of[place], ids[place])[0])
             n += len(ids)
         if n:
-            yield array_parts(np.append(packed(adam.p) * np.float32(n), np.float32(n)))
+            yield array_parts(np.append(flattened(adam.p) * np.float32(n), np.float32(n)))
 
     return rows
 
@@ -396,7 +546,7 @@ def _scored(model, vocabulary, weights, frequent):
     names = ["doc_id", "held_out", "n_tokens", "log_p", "n_frequent", "frequent_score", "rare", "rare_n"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, voc, p = Pieces(model.value), vocabulary.value, unpacked(weights)
+        pieces, voc, p = pieces_of(model.value), vocabulary.value, whole(weights.value, vocabulary.value)
         often, log_often = frequent.value
         for batch in batches:
             for part in chunks(batch, limit=_TEXT_BYTES):
@@ -452,12 +602,13 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     vocabulary = Vocabulary(of_pieces, tokenizer.starts())
     groups, id_type = max(1, -(-n_ids // group_ids)), np.int16 if n_pieces < 1 << 15 else np.int32
     ids = tokens.where("kind = 0").select(F.pmod("lot", F.lit(groups)).cast("int").alias("group"), "lot", "ids")
-    vocabulary.learn(summed_array(ids.select("group", "ids").mapInArrow(_pairs(send(vocabulary), id_type), ARRAY_PARTS), BUCKETS * BUCKETS).reshape(BUCKETS, BUCKETS))
+    vocabulary.learn(summed_array(ids.select(F.lit(0).alias("group"), "ids").mapInArrow(_pairs(send(vocabulary), id_type), ARRAY_PARTS), BUCKETS * BUCKETS).reshape(BUCKETS, BUCKETS))
     known = send(vocabulary)
     weights = initial()
     # the same documents in the same order, however the rows are partitioned
     dealt = ids.repartitionById(groups, "group").sortWithinPartitions("group", "lot", "ids").select("group", "ids")
-    total = summed_array(dealt.mapInArrow(_trained(known, weights, rate, id_type), ARRAY_PARTS), N_PARAMETERS + 1, np.float32)
+    n_weights = len(flattened(whole(weights, vocabulary)))
+    total = summed_array(dealt.mapInArrow(_trained(known, weights, rate, id_type), ARRAY_PARTS), n_weights + 1, np.float32)
     if total[-1]:
         weights = (total[:-1] / total[-1]).astype(np.float32)
     often = words.where(F.col("c") >= max(frequent * n_tokens, 1)).toArrow()  # one millionth of the tokens each: a million at most
@@ -465,7 +616,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     order = np.argsort(k)
     often = send((k[order], np.log10(c[order] + 0.5)))
     kind = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, n_tokens long, log_p double, n_frequent long, frequent_score double, rare array<long>, rare_n array<int>"
-    done = written(rows.select("doc_id", "held_out", "text").mapInArrow(_scored(pieces, known, weights, often), kind).withColumn("row", F.monotonically_increasing_id()), "scored")
+    done = written(rows.select("doc_id", "held_out", "text").mapInArrow(_scored(pieces, known, send(weights), often), kind).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = done.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("k"), F.col("x.rare_n").alias("n"))
     found = rare.join(words.where(F.col("c") < max(frequent * n_tokens, 1)), "k").groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_score"))
     n_known = F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))

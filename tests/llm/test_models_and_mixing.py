@@ -101,6 +101,94 @@ def test_every_id_is_scored_once_and_causally():
         assert np.exp(np.array(each) - one).sum() == pytest.approx(1, abs=1e-4)
 
 
+def whole_model(rng, n_ids, noise=0.1):
+    voc, p = random_model(rng, n_ids, noise)
+    return voc, p | {k: (noise * rng.normal(size=x.shape)).astype(np.float32) for k, x in lm.leaves(voc).items()}
+
+
+def slow_tree_score(voc, p, ids):
+    """As slow_score, with the model's part in the choice of a bucket in its class and of an id in its bucket."""
+    of, last = [int(voc.bucket[i]) for i in ids], [len(voc.bucket) - 1, *ids[:-1]]
+    several = Counter(voc.bucket[:-1].tolist())
+    vector = lambda j: p["id"][voc.row[voc.bucket[j]], voc.slot[j]]
+    total = 0.0
+    for t in range(len(ids)):
+        n = 0 if t < lm.WINDOW else 1 + (t - lm.WINDOW) // lm.STRIDE
+        first = n * lm.STRIDE
+        x = [p["e"][voc.bucket[last[i]]] + p["p"][i - first] + (p["own"][last[i]] if several[int(voc.bucket[last[i]])] > 1 else 0) for i in range(first, t + 1)]
+        q, k, v = np.split(np.array(x) @ p["qkv"], 3, axis=1)
+        a = np.array([math.exp(q[-1] @ y / math.sqrt(lm.WIDTH)) for y in k])
+        z = np.maximum((x[-1] + (a / a.sum()) @ v) @ p["w1"] + p["b1"], 0)
+        before, c = voc.bucket[last[t]], voc.of_class[of[t]]
+        y = z @ p["w2"] + p["b2"] + voc.log_class[before]
+        total += y[c] - math.log(np.exp(y).sum())
+        scores = {b: math.exp(z @ p["bucket"][b] + voc.log_bucket[before, b]) for b in np.flatnonzero(voc.of_class == c).tolist() if voc.mass[b]}
+        total += math.log(scores[of[t]] / sum(scores.values()))
+        if several[of[t]] > 1:
+            scores = {j: math.exp(z @ vector(j) + voc.log_share[j]) for j in np.flatnonzero(voc.bucket[:-1] == of[t]).tolist()}
+            total += math.log(scores[ids[t]] / sum(scores.values()))
+    return total
+
+
+def test_the_model_scores_single_ids():
+    rng = np.random.default_rng(3)
+    n = 4 * lm.BUCKETS
+    voc, p = whole_model(rng, n, 0.3)
+    bounds = np.concatenate([[0], np.cumsum([1, lm.WINDOW, 3 * lm.WINDOW])])
+    ids = rng.integers(0, n, bounds[-1])
+    assert lm.log_probabilities(p, voc, ids, bounds) == pytest.approx([slow_tree_score(voc, p, ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)], rel=1e-4, abs=1e-4)
+    # far scores too: the probabilities of all continuations of one id sum to one
+    for scale in (1, 100):
+        wide = p | {"bucket": scale * p["bucket"], "id": scale * p["id"]}
+        each = lm.log_probabilities(wide, voc, np.stack([np.full(n, 5), np.arange(n)], axis=1).ravel(), np.arange(0, 2 * n + 1, 2))
+        assert np.exp(each - lm.log_probabilities(wide, voc, np.array([5]), np.array([0, 1]))).sum() == pytest.approx(1, abs=1e-3)
+    flat = lm.flattened(p)
+    assert all((x == p[k]).all() for k, x in lm.whole(flat, voc).items())
+
+
+def test_gradients_of_single_ids():
+    rng = np.random.default_rng(4)
+    n = 4 * lm.BUCKETS
+    voc, p = whole_model(rng, n, 0.1)
+    p = {k: x.astype(np.float64) for k, x in p.items()}
+    last, ids, counted = rng.integers(0, n, (3, lm.WINDOW)), rng.integers(0, n, (3, lm.WINDOW)), rng.random((3, lm.WINDOW)) < 0.8
+    of = voc.bucket[ids]
+    args = (voc.log_class, voc.bucket[last], voc.of_class[of], counted, voc, last, of, ids)
+    g, loss = lm.gradients(p, *args)
+    assert loss > lm.gradients(p, *args[:4])[1]
+    for k in p:
+        dense = g[k]
+        if isinstance(dense, tuple):
+            assert len(set(dense[0].tolist())) == len(dense[0])
+            dense = np.zeros(p[k].shape)
+            dense[g[k][0]] = g[k][1]
+        i = np.unravel_index(np.abs(dense).argmax(), dense.shape)
+        losses, old = [], p[k][i]
+        for step in (1e-4, -1e-4):
+            p[k][i] = old + step
+            losses.append(lm.gradients(p, *args)[1])
+        p[k][i] = old
+        assert dense[i] and (losses[0] - losses[1]) / 2e-4 == pytest.approx(dense[i], rel=1e-3, abs=1e-7)
+
+
+def test_a_window_tells_ids_of_one_class_apart():
+    n = 300
+    voc = lm.Vocabulary(np.full(n, 100), np.zeros(n, bool))
+    a, b, x = 0, 1, 2
+    u, v = [i for i in range(3, n) if voc.of_class[voc.bucket[i]] == 16][:2]
+    texts, bounds = np.array([a, x, u, b, x, v] * 40), np.arange(0, 241, 3)
+    of, before, last = lm._inputs(texts, bounds, voc)
+    # after x the counts have u and v alike
+    voc.learn(np.bincount(before * lm.BUCKETS + of, minlength=lm.BUCKETS**2).reshape(lm.BUCKETS, lm.BUCKETS))
+    adam = lm.Adam(lm.whole(lm.initial(), voc), 0.02)
+    at, counted = lm._places(bounds, *lm.windows(bounds, lm.WINDOW))
+    for _ in range(300):
+        adam.step(lm.gradients(adam.p, voc.log_class, before[at], voc.of_class[of[at]], counted, voc, last[at], of[at], texts[at])[0])
+    right = lm.log_probabilities(adam.p, voc, np.array([a, x, u, b, x, v]), np.array([0, 3, 6]))
+    wrong = lm.log_probabilities(adam.p, voc, np.array([a, x, v, b, x, u]), np.array([0, 3, 6]))
+    assert (right - wrong > 2).all()
+
+
 def test_sequences_are_cut_by_documents_alone():
     import pyarrow as pa
 
