@@ -25,6 +25,7 @@ most, are broadcast; all rarer ones are counted and joined by hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,63 +42,82 @@ SMOOTHING = 2.0
 RATE = 4e-3
 FREQUENT = 1e-6
 _BATCH = 512
+_POOL, _ROWS = 4 * _BATCH, 1024
 _TEXT_BYTES = 4 << 20
 
 
 class Pieces:
-    """Subword ids of words; remembers the words of late."""
+    """Subword ids of words; remembers words, beyond a number of them those of late."""
 
-    def __init__(self, model: bytes, remembered: int = 400_000):
+    def __init__(self, model: bytes, remembered: int = 800_000):
         import sentencepiece
 
         self.model, self.remembered = sentencepiece.SentencePieceProcessor(model_proto=model), remembered
         self.size = self.model.get_piece_size()
-        self._forget()
+        # in the order of their hashes; their ids are in flat; the call that last had the word
+        self.key, self.start, self.count, self.call = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.n_flat, self.calls = np.zeros(1 << 12, np.int32), 0, 0
 
     def starts(self) -> np.ndarray:
         """Which ids begin a word; the end of a text does."""
         return np.array([self.model.id_to_piece(i).startswith("\u2581") for i in range(self.size)] + [True])
 
     def _forget(self) -> None:
-        self.at: dict[int, int] = {}
-        self.start, self.count, self.flat = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.int32)
-        self.n = self.n_flat = 0
+        """All words but the half that is of late."""
+        kept = np.sort(np.argpartition(-self.call, self.remembered // 2)[: self.remembered // 2])
+        n = self.count[kept]
+        end = np.cumsum(n)
+        self.flat = self.flat[np.repeat(self.start[kept] - (end - n), n) + np.arange(int(n.sum()))]
+        self.key, self.start, self.count, self.call, self.n_flat = self.key[kept], (end - n).astype(np.int32), n, self.call[kept], len(self.flat)
 
-    @staticmethod
-    def _room(x: np.ndarray, n: int) -> np.ndarray:
-        return x if len(x) >= n else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.model.encode(words, num_threads=1)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
 
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the different words in w, by first occurrence: hash, number of each word of w among them, count, and start and
+        """Of the different words in w, by their hashes: hash, number of each word of w among them, count, and start and
         length of their ids in self.flat."""
         met = pa.array(w.hash).dictionary_encode()
-        h, which = ints(met.dictionary), ints(met.indices).astype(np.int64)
+        h, which = ints(met.dictionary), ints(met.indices)
+        order = np.argsort(h)
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        h, which = h[order], rank[which]
         count, first = np.bincount(which, minlength=len(h)), np.empty(len(h), np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
-        if self.n > self.remembered:
+        if len(self.key) > self.remembered:
             self._forget()
-        keys = h.tolist()
-        known = np.array([self.at.get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(known < 0)
+        at = np.searchsorted(self.key, h)
+        new = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != h) if len(self.key) else np.arange(len(h))
         if len(new):
             raw = w.data.tobytes()
-            a, b = w.start[first[new]].tolist(), w.end[first[new]].tolist()
-            ids = self.model.encode([raw[x:y].decode() for x, y in zip(a, b, strict=True)], num_threads=1)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start, self.count = self._room(self.start, self.n + len(ids)), self._room(self.count, self.n + len(ids))
-            self.flat = self._room(self.flat, self.n_flat + int(sizes.sum()))
-            self.start[self.n : self.n + len(ids)] = self.n_flat + np.cumsum(sizes) - sizes
-            self.count[self.n : self.n + len(ids)] = sizes
-            self.flat[self.n_flat : self.n_flat + int(sizes.sum())] = np.fromiter((x for y in ids for x in y), np.int32, int(sizes.sum()))
-            known[new] = np.arange(self.n, self.n + len(ids))
-            self.at.update(zip((keys[i] for i in new.tolist()), known[new].tolist(), strict=True))
-            self.n, self.n_flat = self.n + len(ids), self.n_flat + int(sizes.sum())
-        return h, which, count, self.start[known], self.count[known]
+            sizes, ids = self._encoded([raw[x:y] for x, y in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
+            n = self.n_flat + len(ids)
+            if n > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.n_flat], np.zeros(max(n - self.n_flat, self.n_flat // 2), np.int32)])
+            self.flat[self.n_flat : n] = ids
+            # a place for each new word among the others
+            place = at[new] + np.arange(len(new))
+            old = np.ones(len(self.key) + len(new), bool)
+            old[place] = False
+            for name, x in (("key", h[new]), ("start", self.n_flat + np.cumsum(sizes) - sizes), ("count", sizes), ("call", 0)):
+                before = getattr(self, name)
+                after = np.empty(len(old), before.dtype)
+                after[old], after[place] = before, x
+                setattr(self, name, after)
+            self.n_flat = n
+            added = np.zeros(len(h), np.int64)
+            added[new] = 1
+            at += np.cumsum(added) - added
+        self.calls += 1
+        self.call[at] = self.calls
+        return h, which, count, self.start[at], self.count[at]
 
     def sequence(self, w: Words, which: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an end (id self.size) after each, and where each text's ids begin and the last ends."""
         n, s = count[which], start[which]
-        end = np.cumsum(n)
+        end = np.cumsum(n, dtype=np.int64)
         ids = self.flat[np.repeat(s - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)]
         upto = np.concatenate([[0], end])[w.first]
         bounds = upto + np.arange(w.n + 1)
@@ -186,8 +206,9 @@ _SHAPES = {
     "e": (BUCKETS, WIDTH), "p": (WINDOW, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,),
 }
 _BEFORE = np.tri(WINDOW, dtype=np.float32)
-_ONES = np.ones((WINDOW, 1), np.float32)
+_ONES = np.ones(max(BUCKETS, WINDOW), np.float32)
 _SCALE = np.float32(WIDTH**-0.5)
+_RAMP = np.arange(_ROWS)
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -234,95 +255,131 @@ def leaves(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     return {name: np.zeros(shape, np.float32) for name, shape in shapes.items()}
 
 
-def _softmax(s: np.ndarray, t: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log probability of column t in each row of scores, which become their exp, its place, and the rows' sums.  small: exp
-    of the scores is known to stay in range."""
+def _longest(x: np.ndarray) -> float:
+    return float((np.square(x) @ np.ones(x.shape[1], x.dtype)).max(initial=0)) ** 0.5
+
+
+def _level(z: np.ndarray, w: np.ndarray, bias: np.ndarray, row: np.ndarray, t: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A softmax over the rows of w, from the hidden layer and rows of biases: exp of the scores, the place of column t in
+    each row, the score there, and the rows' sums.  small: exp of the scores is known to stay in range."""
+    s = z @ w.T
+    s += bias.take(row, axis=0)
+    return _softmax(s, t, small)
+
+
+def _softmax(s: np.ndarray, t: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not small:
         s -= s.max(axis=1, keepdims=True)
-    at = np.arange(0, s.size, s.shape[1])
+    at = _RAMP[: len(s)] * s.shape[1] if len(s) <= _ROWS else np.arange(0, s.size, s.shape[1])
     at += t
     mine = s.reshape(-1)[at]
     np.exp(s, out=s)
-    total = s @ np.ones(s.shape[1], s.dtype)
-    return mine - np.log(total), at, total[:, None]
+    return s, at, mine, s @ _ONES[: s.shape[1]]
 
 
-def _longest(x: np.ndarray) -> float:
-    return float(np.einsum("ij,ij->i", x, x).max(initial=0)) ** 0.5
+def by_class(of_class: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The order of places by class, then by the bucket before, so that rows of biases are read in their order."""
+    key = of_class * BUCKETS + before
+    return np.argsort(key.astype(np.uint16) if CLASSES * BUCKETS <= 1 << 16 else key, kind="stable")
 
 
-def below_class(vocabulary: Vocabulary, p: dict[str, np.ndarray], z: np.ndarray, before: np.ndarray, of: np.ndarray, ids: np.ndarray, slopes: bool = False) -> tuple:
-    """Natural log probability of each place's bucket in its class and its id in its bucket, from the hidden layer z and the
-    bucket before; with slopes, also the gradients of their sum by z, by p["bucket"] and by rows of p["id"].  Places come in the order
-    of their buckets."""
-    got = np.zeros(len(z))
-    dz, d_bucket, d_id = np.zeros_like(z), np.zeros_like(p["bucket"]), (np.zeros(0, np.int64), np.zeros((0, *p["id"].shape[1:]), z.dtype))
+def levels(
+    p: dict[str, np.ndarray], log_class: np.ndarray, z: np.ndarray, before: np.ndarray, of_class: np.ndarray, below: tuple[Vocabulary, np.ndarray, np.ndarray] | None, scale: float | None = None
+) -> tuple[np.ndarray, np.ndarray | None, dict]:
+    """Natural log probability of each place's id, from the hidden layer z and the bucket before; with scale, also the
+    gradients of minus their sum times scale, by z and by weights, those of p["id"] as (rows, gradients).  Places come in the
+    order of by_class.  below: the vocabulary, buckets and ids; without it the log probability is the class's."""
+    n = len(z)
+    mine, total, dz = np.zeros((2, n)), np.ones((2, n)), None if scale is None else np.empty_like(z)
     # biases are log probabilities that sum to one, and scores differ from them by no more than this
-    small = _longest(z) * _longest(p["bucket"]) < 60
-    cut = np.searchsorted(of, vocabulary.first)
+    far = _longest(z)
+    small = far * _longest(p["w2"].T) + float(np.abs(p["b2"]).max()) < 60
+    w2, log_class = np.ascontiguousarray(p["w2"].T), log_class + p["b2"]
+    g = {} if scale is None else {"w2": np.zeros_like(w2), "b2": np.zeros_like(p["b2"])}
+    for a in range(0, n, _ROWS):
+        b = min(a + _ROWS, n)
+        s, at, mine[0, a:b], sums = _level(z[a:b], w2, log_class, before[a:b], of_class[a:b], small)
+        total[0, a:b] = sums
+        if scale is not None:
+            s.reshape(-1)[at] -= sums
+            s *= (scale / sums)[:, None]
+            np.matmul(s, w2, out=dz[a:b])
+            g["w2"] += s.T @ z[a:b]
+            g["b2"] += np.ones(b - a, s.dtype) @ s
+    if scale is not None:
+        g["w2"] = g["w2"].T
+    if below is None:
+        return mine[0] - np.log(total[0]), dz, g
+    vocabulary, of, ids = below
+    small = far * _longest(p["bucket"]) < 60
+    if scale is not None:
+        g["bucket"] = np.zeros_like(p["bucket"])
+    cut, first = np.searchsorted(of_class, np.arange(CLASSES + 1)).tolist(), vocabulary.first.tolist()
     for c in range(CLASSES):
-        a, b, lo, hi = *cut[c : c + 2].tolist(), *vocabulary.first[c : c + 2].tolist()
-        if a == b or hi - lo == 1:
+        lo, hi = first[c : c + 2]
+        if hi - lo == 1:
             continue
-        s = z[a:b] @ p["bucket"][lo:hi].T
-        s += np.take(vocabulary.block(c), before[a:b], axis=0)
-        got[a:b], at, total = _softmax(s, of[a:b] - lo, small)
-        if slopes:
-            s /= -total
-            s.reshape(-1)[at] += 1
-            dz[a:b] = s @ p["bucket"][lo:hi]
-            d_bucket[lo:hi] = s.T @ z[a:b]
-    several = np.flatnonzero(vocabulary.slot[ids] >= 0)
-    if len(several):
-        row, t = vocabulary.row[of[several]], vocabulary.slot[ids[several]]
-        w, zs = p["id"][row], z[several]
+        w = p["bucket"][lo:hi]
+        for a in range(cut[c], cut[c + 1], _ROWS):
+            b = min(a + _ROWS, cut[c + 1])
+            s, at, mine[1, a:b], sums = _level(z[a:b], w, vocabulary.block(c), before[a:b], of[a:b] - lo, small)
+            total[1, a:b] = sums
+            if scale is not None:
+                s.reshape(-1)[at] -= sums
+                s *= (scale / sums)[:, None]
+                dz[a:b] += s @ w
+                g["bucket"][lo:hi] += s.T @ z[a:b]
+    mine -= np.log(total, out=total)
+    got = mine.sum(axis=0)
+    several = np.flatnonzero(vocabulary.slot.take(ids) >= 0)
+    if scale is not None:
+        several = several[np.argsort(of[several].astype(np.int16), kind="stable")]
+        g["id"] = np.zeros(0, np.int64), np.zeros((0, *p["id"].shape[1:]), z.dtype)
+    for a in range(0, len(several), _ROWS) if scale is None else [0] * (len(several) > 0):
+        some = several[a : a + _ROWS] if scale is None else several
+        row, t = vocabulary.row[of[some]], vocabulary.slot[ids[some]]
+        w, zs = p["id"].take(row, axis=0), z.take(some, axis=0)
         s = np.matmul(w, zs[:, :, None])[:, :, 0]
-        s += vocabulary.member_share[row]
-        now, at, total = _softmax(s, t, False)
-        got[several] += now
-        if slopes:
-            s /= -total
-            s.reshape(-1)[at] += 1
-            dz[several] += np.matmul(s[:, None, :], w)[:, 0]
-            begin = np.flatnonzero(np.diff(row, prepend=-1))
-            d_id = row[begin], np.add.reduceat(s[:, :, None] * zs[:, None, :], begin, axis=0)
-    return (got, dz, d_bucket, d_id) if slopes else (got,)
+        s += vocabulary.member_share.take(row, axis=0)
+        s, at, now, sums = _softmax(s, t, False)
+        got[some] += now - np.log(sums)
+        if scale is not None:
+            s.reshape(-1)[at] -= sums
+            s *= (scale / sums)[:, None]
+            dz[some] += np.matmul(s[:, None, :], w)[:, 0]
+            begin = np.append(0, np.flatnonzero(row[1:] != row[:-1]) + 1)
+            g["id"] = row[begin], np.add.reduceat(s[:, :, None] * zs[:, None, :], begin, axis=0)
+    return got, dz, g
 
 
 def _own(vocabulary: Vocabulary, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which places have an id before them that shares its bucket, and that id."""
     last = last.ravel()
-    at = np.flatnonzero(vocabulary.slot[last] >= 0)
+    at = np.flatnonzero(vocabulary.slot.take(last) >= 0)
     return at, last[at]
 
 
-def _attended(p: dict[str, np.ndarray], x_ids: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None, keep: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The layers up to the hidden one, which only the places keep have, in their order."""
-    n = len(x_ids)
-    flat = np.take(p["e"], x_ids.ravel(), axis=0)
-    if own is not None:
-        flat[own[0]] += p["own"][own[1]]
-    flat.reshape(n, WINDOW, WIDTH)[...] += p["p"]
-    q, k, v = np.split((flat @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH), 3, axis=2)
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= _SCALE
-    np.minimum(a, np.float32(60), out=a)
+def _scaled(qkv: np.ndarray) -> np.ndarray:
+    """With the attention's scale in the columns of queries."""
+    out = qkv.copy()
+    out[:, :WIDTH] *= _SCALE
+    return out
+
+
+def _weights(a: np.ndarray, small: bool = False) -> np.ndarray:
+    """Attention's scores, to exp of those that a place may see."""
+    if not small:
+        np.minimum(a, np.float32(60), out=a)
     np.exp(a, out=a)
-    a *= _BEFORE
-    a /= (a.reshape(-1, WINDOW) @ _ONES).reshape(n, WINDOW, 1)
-    h = np.take(flat + np.matmul(a, v).reshape(-1, WIDTH), keep, axis=0)
-    z = h @ p["w1"]
-    z += p["b1"]
-    np.maximum(z, 0, out=z)
-    return flat, q, k, v, a, h, z
+    a *= _BEFORE[WINDOW - a.shape[1] :]
+    return a
 
 
-def class_scores(p: dict[str, np.ndarray], log_class: np.ndarray, z: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """exp of the class scores from the hidden layer and the bucket before; they sum to a class's probability."""
-    y = z @ p["w2"]
-    y += p["b2"]
-    y += np.take(log_class, before, axis=0)
-    return np.exp(y, out=y)
+def _hidden(p: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    # operands of one shape, as numpy is slow with short rows and with a constant
+    z = h @ p["w1"]
+    z += p["b1"][None].take(np.zeros(len(z), np.int64), axis=0)
+    return np.maximum(z, np.zeros_like(z), out=z)
 
 
 def gradients(
@@ -333,52 +390,50 @@ def gradients(
     x_ids and target are the bucket before and the class of each place.  With a vocabulary the loss is that of the ids: last
     is the id before, of and ids are the place's bucket and id.  Without one it is that of the classes alone.
     """
+    n, x = len(x_ids), x_ids.ravel()
     keep = np.flatnonzero(counted)
-    own = None
-    if vocabulary is not None:
-        of, own = of.ravel()[keep], _own(vocabulary, last)
-        order = np.argsort(of.astype(np.int16), kind="stable")
-        keep, of = keep[order], of[order]
-    flat, q, k, v, a, h, z = _attended(p, x_ids, own, keep)
-    x, t = x_ids.ravel(), target.ravel()[keep]
-    y = class_scores(p, log_class, z, x[keep])
-    y /= (y @ np.ones(CLASSES, y.dtype))[:, None]
-    n, places, m = len(x_ids), np.arange(len(keep)), max(len(keep), 1)
-    loss = -float(np.log(y[places, t]).sum()) / m
-    y[places, t] -= 1
-    scale = np.float32(1 / m)
-    y *= scale
-    each = np.ones(len(y), y.dtype)
-    g = {"b2": each @ y, "w2": z.T @ y}
-    dz = y @ p["w2"].T
+    keep = keep[by_class(target.ravel()[keep], x[keep])]
+    flat = np.take(p["e"], x, axis=0)
     if vocabulary is not None:
-        got, d_z, d_bucket, d_id = below_class(vocabulary, p, z, x[keep], of, ids.ravel()[keep], slopes=True)
-        loss -= float(got.sum()) / m
-        d_z *= scale
-        dz -= d_z
-        g["bucket"], g["id"] = -scale * d_bucket, (d_id[0], -scale * d_id[1])
+        own = _own(vocabulary, last)
+        flat[own[0]] += p["own"].take(own[1], axis=0)
+    flat.reshape(n, WINDOW, WIDTH)[...] += p["p"]
+    qkv = _scaled(p["qkv"])
+    q, k, v = np.split((flat @ qkv).reshape(n, WINDOW, 3 * WIDTH), 3, axis=2)
+    a = _weights(np.matmul(q, k.transpose(0, 2, 1)))
+    a *= (1 / (a.reshape(-1, WINDOW) @ _ONES[:WINDOW])).reshape(n, WINDOW, 1)
+    seen = np.matmul(a, v)
+    h = np.take(flat + seen.reshape(-1, WIDTH), keep, axis=0)
+    z = _hidden(p, h)
+    m = max(len(keep), 1)
+    below = None if vocabulary is None else (vocabulary, of.ravel()[keep], ids.ravel()[keep])
+    got, dz, g = levels(p, log_class, z, x[keep], target.ravel()[keep], below, np.float32(1 / m))
+    loss = -float(got.sum()) / m
     dz *= z > 0
-    g["w1"], g["b1"] = h.T @ dz, each @ dz
-    dh = np.zeros_like(flat)
-    dh[keep] = dz @ p["w1"].T
+    g["w1"], g["b1"] = h.T @ dz, np.ones(len(dz), dz.dtype) @ dz
+    # to the places' own order, zeros where none is counted
+    at = np.full(len(flat), len(keep))
+    at[keep] = np.arange(len(keep))
+    dh = np.concatenate([dz @ p["w1"].T, np.zeros((1, WIDTH), flat.dtype)]).take(at, axis=0)
     dc = dh.reshape(n, WINDOW, WIDTH)
     da = np.matmul(dc, v.transpose(0, 2, 1))
     d = np.empty((n, WINDOW, 3 * WIDTH), dc.dtype)
     np.matmul(a.transpose(0, 2, 1), dc, out=d[:, :, 2 * WIDTH :])
-    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
+    # the rows' sums of da * a
+    da -= ((dc * seen).reshape(-1, WIDTH) @ np.ones(WIDTH, dc.dtype)).reshape(n, WINDOW, 1)
     da *= a
-    da *= _SCALE
     np.matmul(da, k, out=d[:, :, :WIDTH])
     np.matmul(da.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
     d = d.reshape(-1, 3 * WIDTH)
-    g["qkv"] = flat.T @ d
-    dx = d @ p["qkv"].T
+    g["qkv"] = _scaled((d.T @ flat).T)
+    dx = d @ qkv.T
     dx += dh
     g["p"] = dx.reshape(n, WINDOW, WIDTH).sum(axis=0)
     g["e"] = np.stack([np.bincount(x, dx[:, i], minlength=BUCKETS) for i in range(WIDTH)], axis=1).astype(np.float32)
-    if own is not None:
+    if vocabulary is not None:
         rows, which = np.unique(own[1], return_inverse=True)
-        g["own"] = rows, np.stack([np.bincount(which, dx[own[0], i], minlength=len(rows)) for i in range(WIDTH)], axis=1).astype(np.float32)
+        d_own = dx.take(own[0], axis=0)
+        g["own"] = rows, np.stack([np.bincount(which, d_own[:, i], minlength=len(rows)) for i in range(WIDTH)], axis=1).astype(np.float32)
     return g, loss
 
 
@@ -392,19 +447,26 @@ class Adam:
         self.n += 1
         rate = np.float32(self.rate * (1 - 0.999**self.n) ** 0.5 / (1 - 0.9**self.n))
         for k, x in g.items():
+            rows = None
             if isinstance(x, tuple):
                 # of single rows, the others stay as they are
                 rows, x = x
-                m = self.m[k][rows] * np.float32(0.9) + np.float32(0.1) * x
-                s = self.s[k][rows] * np.float32(0.999) + np.float32(0.001) * x * x
-                self.m[k][rows], self.s[k][rows] = m, s
-                self.p[k][rows] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
-                continue
-            self.m[k] *= np.float32(0.9)
-            self.m[k] += np.float32(0.1) * x
-            self.s[k] *= np.float32(0.999)
-            self.s[k] += np.float32(0.001) * x * x
-            self.p[k] -= rate * self.m[k] / (np.sqrt(self.s[k]) + np.float32(1e-8))
+            m, v = (y if rows is None else y.take(rows, axis=0) for y in (self.m[k], self.s[k]))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            v *= np.float32(0.999)
+            x = np.square(x)
+            x *= np.float32(0.001)
+            v += x
+            by = np.sqrt(v, out=x)
+            by += np.float32(1e-8)
+            by = np.divide(m, by, out=by)
+            by *= rate
+            if rows is None:
+                self.p[k] -= by
+            else:
+                self.m[k][rows], self.s[k][rows] = m, v
+                self.p[k][rows] -= by
 
 
 def windows(bounds: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -426,28 +488,55 @@ def _places(bounds: np.ndarray, text: np.ndarray, start: np.ndarray, done: np.nd
 
 def _inputs(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each id, bucket of the id before it, and that id."""
-    last = np.empty(len(ids), np.int64)
+    last = _last(ids, bounds, vocabulary, np.int64)
+    return vocabulary.bucket[ids], vocabulary.bucket[last], last
+
+
+def _last(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary, kind: type) -> np.ndarray:
+    last = np.empty(len(ids), kind)
     last[1:] = ids[:-1]
     last[bounds[:-1][np.diff(bounds) > 0]] = len(vocabulary.bucket) - 1
-    return vocabulary.bucket[ids], vocabulary.bucket[last], last
+    return last
 
 
 def log_probabilities(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log probability of each text's ids.  Where p has no weights of single buckets and ids they are untrained."""
     p = {**leaves(vocabulary), **p} if "id" not in p else p
-    of, before, last = _inputs(ids, bounds, vocabulary)
+    last = _last(ids, bounds, vocabulary, np.int32)
+    # of each id and each place: the input, the query, the key, the value and a one, which sums attention's weights
+    x = p["e"].take(vocabulary.bucket, axis=0)
+    shared = np.flatnonzero(vocabulary.slot >= 0)
+    x[shared] += p["own"].take(shared, axis=0)
+    qkv = _scaled(p["qkv"])
+    inputs, places = (np.concatenate([y, y @ qkv, np.full((len(y), 1), one, np.float32)], axis=1) for y, one in ((x, 1), (p["p"], 0)))
+    q, k = ((_longest(inputs[:, i : i + WIDTH]) + _longest(places[:, i : i + WIDTH])) for i in (WIDTH, 2 * WIDTH))
     text, start, done = windows(bounds)
     out = np.zeros(len(bounds) - 1)
-    for i in range(0, len(text), _BATCH):
-        these = slice(i, i + _BATCH)
-        at, scored = _places(bounds, text[these], start[these], done[these])
-        keep = np.flatnonzero(scored)
-        keep = keep[np.argsort(of[at.ravel()[keep]].astype(np.int16), kind="stable")]
-        z = _attended(p, before[at], _own(vocabulary, last[at]), keep)[-1]
-        at = at.ravel()[keep]
-        y = class_scores(p, vocabulary.log_class, z, before[at])
-        got = np.log(y[np.arange(len(y)), vocabulary.of_class[of[at]]] / (y @ np.ones(CLASSES, y.dtype))) + below_class(vocabulary, p, z, before[at], of[at], ids[at])[0]
-        out += np.bincount(text[these][keep // WINDOW], got, minlength=len(out))
+    # windows of one kind have the same places to score, but for the ends of texts
+    for skip in np.unique(done).tolist():
+        kind = np.flatnonzero(done == skip)
+        for i in range(0, len(kind), _POOL):
+            at, z, of_text = [], [], []
+            for j in range(i, min(i + _POOL, len(kind)), _BATCH):
+                these = kind[j : min(j + _BATCH, i + _POOL)]
+                place, scored = _places(bounds, text[these], start[these], done[these])
+                y = inputs.take(last.take(place), axis=0)
+                y += places
+                a = _weights(np.matmul(y[:, skip:, WIDTH : 2 * WIDTH], y[:, :, 2 * WIDTH : 3 * WIDTH].transpose(0, 2, 1)), q * k < 60)
+                seen = np.matmul(a, y[:, :, 3 * WIDTH :])
+                h = seen[:, :, :WIDTH] / seen[:, :, WIDTH:]
+                h += y[:, skip:, :WIDTH]
+                keep = np.flatnonzero(scored[:, skip:])
+                z.append(_hidden(p, h.reshape(-1, WIDTH).take(keep, axis=0)))
+                at.append(place[:, skip:].ravel()[keep])
+                of_text.append(text[these][keep // (WINDOW - skip)])
+            at, of_text = np.concatenate(at), np.concatenate(of_text)
+            these = ids.take(at)
+            of, before = vocabulary.bucket.take(these), vocabulary.bucket.take(last.take(at))
+            of_class = vocabulary.of_class.take(of)
+            order = by_class(of_class, before)
+            got = levels(p, vocabulary.log_class, np.concatenate(z).take(order, axis=0), before[order], of_class[order], (vocabulary, of[order], these[order]))[0]
+            out += np.bincount(of_text[order], got, minlength=len(out))
     return out
 
 
@@ -527,14 +616,15 @@ def _trained(vocabulary, weights, rate: float, kind: type):
                 if n:
                     yield array_parts(np.append(flattened(adam.p) * np.float32(n), np.float32(n)))
                 adam, last, n = Adam(whole(weights, voc), rate), group, 0
-            of, before, last_id = _inputs(ids, bounds, voc)
-            of_class = voc.of_class[of]
+            before = _last(ids, bounds, voc, np.int32)
             text, start, done = windows(bounds, WINDOW)
             order = np.random.default_rng(n).permutation(len(text))
             for i in range(0, len(order), _BATCH):
                 pick = order[i : i + _BATCH]
                 place, counted = _places(bounds, text[pick], start[pick], done[pick])
-                adam.step(gradients(adam.p, voc.log_class, before[place], of_class[place], counted, voc, last_id[place], of[place], ids[place])[0])
+                these, last_ids = ids.take(place), before.take(place)
+                of = voc.bucket.take(these)
+                adam.step(gradients(adam.p, voc.log_class, voc.bucket.take(last_ids), voc.of_class.take(of), counted, voc, last_ids, of, these)[0])
             n += len(ids)
         if n:
             yield array_parts(np.append(flattened(adam.p) * np.float32(n), np.float32(n)))

@@ -198,6 +198,45 @@ def test_sequences_are_cut_by_documents_alone():
     assert all(c == [[0, 5, 12], [0, 30], [0, 1, 5]] for c in cuts)
 
 
+def test_words_of_late_are_not_encoded_again():
+    import pyarrow as pa
+
+    from rankforge.llm.common import Words
+
+    with open(lm.TOKENIZER, "rb") as f:
+        pieces = lm.Pieces(f.read(), 300)
+    model, asked = pieces.model, Counter()
+
+    class Counted:
+        def encode(self, words, **more):
+            asked.update(w if isinstance(w, str) else w.decode() for w in words)
+            return model.encode(words, **more)
+
+    pieces.model = Counted()
+    often = [f"w\u00f6rd{i}" for i in range(50)]
+    for n in range(20):
+        text = " ".join([*often, *(f"rare{n}x{i}" for i in range(60)), often[n]])
+        w = Words(pa.array([text, None, "", often[0]]))
+        _, which, count, start, size = pieces.of(w)
+        ids, bounds = pieces.sequence(w, which, start, size)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [[*(i for x in t.split() for i in model.encode(x)), pieces.size] for t in (text, "", "", often[0])]
+        assert count.sum() == len(which) == 112
+    assert all(asked[x] == 1 for x in often) and len(asked) == 50 + 20 * 60
+
+
+def test_scores_do_not_depend_on_the_batches(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 4 * lm.BUCKETS
+    voc, p = whole_model(rng, n, 0.3)
+    bounds = np.concatenate([[0], np.cumsum(rng.integers(0, 5 * lm.WINDOW, 40))])
+    ids = rng.integers(0, n, bounds[-1])
+    once = lm.log_probabilities(p, voc, ids, bounds)
+    for name, x in (("_BATCH", 5), ("_POOL", 17), ("_ROWS", 3)):
+        monkeypatch.setattr(lm, name, x)
+    assert lm.log_probabilities(p, voc, ids, bounds) == pytest.approx(once, rel=1e-5)
+    assert lm.log_probabilities(p, voc, ids[:0], np.zeros(3, np.int64)).tolist() == [0, 0]
+
+
 def test_lm_scores(spark, docs, corpus, no_docs):
     got = Counter()
     rows = lm.score_texts(docs).collect()
