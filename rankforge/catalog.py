@@ -17,6 +17,7 @@ from .operators.chunking import ChunkRules
 from .operators.retrieval import BM25, TfIdf
 from .operators.units import chunk_units, document_units, query_rows
 from .sources import tables
+from .sources.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,8 +193,7 @@ g AS (SELECT doc_id, substring(w, i, n) AS g FROM (SELECT doc_id, w, n, unnest(r
       FROM (SELECT doc_id, w, unnest(range(3, least(5, greatest(3, length(w))) + 1)) AS n FROM w)))
 SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT g)::BIGINT AS n_distinct FROM g GROUP BY doc_id""")
 def char_gram_counts(spark, d):
-    counts = retrieval.term_counts(docs(spark, d), "doc_id", "text", TfIdf("char_wb", (3, 5)))
-    return counts.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+    return retrieval.gram_counts(docs(spark, d), "doc_id", "text", TfIdf("char_wb", (3, 5)))
 
 
 # --- chunks --------------------------------------------------------------------------------------------------------------
@@ -243,12 +243,12 @@ def chunks_paragraph(spark, d):
 
 @query("bm25_doc_top5", f"WITH {bm25_sql()} {_SHOW} ({top_sql('hits', 5)})")
 def bm25_doc_top5(spark, d):
-    return shown(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d)), 5))
+    return shown(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), k=5), 5))
 
 
 @query("bm25_doc_k1_1p2_b_0p5", f"WITH {bm25_sql(k1=1.2, b=0.5)} {_SHOW} ({top_sql('hits', 5)})")
 def bm25_doc_grid(spark, d):
-    return shown(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), BM25(1.2, 0.5)), 5))
+    return shown(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), BM25(1.2, 0.5), k=5), 5))
 
 
 FIELD_UNITS = DOC_UNITS.replace("coalesce(text, '') AS text", "coalesce(text, '') || chr(10) || chr(10) || 'тип_акта судебный акт статьи  признаки 0 0 0' AS text")
@@ -256,7 +256,7 @@ FIELD_UNITS = DOC_UNITS.replace("coalesce(text, '') AS text", "coalesce(text, ''
 
 @query("bm25_field_doc_top5", f"WITH {bm25_sql(FIELD_UNITS)} {_SHOW} ({top_sql('hits', 5)})")
 def bm25_field_doc(spark, d):
-    return shown(ranking.top_k(retrieval.bm25(document_units(docs(spark, d), field_aware=True), asked(spark, d)), 5))
+    return shown(ranking.top_k(retrieval.bm25(document_units(docs(spark, d), field_aware=True), asked(spark, d), k=5), 5))
 
 
 def phrase_sql(x: str) -> str:
@@ -265,7 +265,7 @@ def phrase_sql(x: str) -> str:
 
 @query("bm25_phrase_doc_top5", f"WITH {bm25_sql(terms=phrase_sql)} {_SHOW} ({top_sql('hits', 5)})")
 def bm25_phrase_doc(spark, d):
-    return shown(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), BM25(rules=T.TokenRules(add_bigrams=True))), 5))
+    return shown(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), BM25(rules=T.TokenRules(add_bigrams=True)), k=5), 5))
 
 
 @query(
@@ -277,7 +277,7 @@ def bm25_phrase_doc(spark, d):
 )
 def bm25_padded(spark, d):
     u, q = units(spark, d), asked(spark, d)
-    return shown(ranking.padded(ranking.top_k(retrieval.bm25(u, q), 50), u, q, 50))
+    return shown(ranking.padded(ranking.top_k(retrieval.bm25(u, q, k=50), 50), u, q, 50))
 
 
 def chunk_bm25_sql(p: str = "c_") -> str:
@@ -286,7 +286,7 @@ def chunk_bm25_sql(p: str = "c_") -> str:
 
 
 def chunk_bm25(spark, d, depth: int = 120):
-    return ranking.top_k(retrieval.bm25(chunk_units(docs(spark, d), ChunkRules()), asked(spark, d)), depth, "chunk")
+    return ranking.top_k(retrieval.bm25(chunk_units(docs(spark, d), ChunkRules()), asked(spark, d), k=depth), depth, "chunk")
 
 
 AGGREGATION_SQL = {
@@ -323,12 +323,12 @@ hits AS (SELECT qid, unit_ord, unit_ord::VARCHAR AS unit_id, unit_ord::VARCHAR A
 
 @query("tfidf_word_top5", f"WITH {tfidf_sql()} {_SHOW} ({top_sql('hits', 5)})")
 def tfidf_word(spark, d):
-    return shown(ranking.top_k(retrieval.tfidf(units(spark, d), asked(spark, d)), 5))
+    return shown(ranking.top_k(retrieval.tfidf(units(spark, d), asked(spark, d), k=5), 5))
 
 
 @query("tfidf_min_df", f"WITH {tfidf_sql(3)} {_SHOW} ({top_sql('hits', 5)})")
 def tfidf_min_df(spark, d):
-    return shown(ranking.top_k(retrieval.tfidf(units(spark, d), asked(spark, d), TfIdf(min_df=3)), 5))
+    return shown(ranking.top_k(retrieval.tfidf(units(spark, d), asked(spark, d), TfIdf(min_df=3), k=5), 5))
 
 
 def grams_sql(rows: str, key: str, text: str) -> str:
@@ -346,7 +346,7 @@ qw AS (SELECT qid, term, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PAR
 hits AS (SELECT qid, unit_ord, unit_ord::VARCHAR AS unit_id, unit_ord::VARCHAR AS doc_id, sum(tf * idf / norm * qw) AS score FROM qw JOIN c USING (term) JOIN norm USING (unit_ord) GROUP BY ALL)
 {_SHOW} ({top_sql('hits', 5)})""")
 def tfidf_char(spark, d):
-    return shown(ranking.top_k(retrieval.tfidf(units(spark, d), asked(spark, d), TfIdf("char_wb", (3, 5))), 5))
+    return shown(ranking.top_k(retrieval.tfidf(units(spark, d), asked(spark, d), TfIdf("char_wb", (3, 5)), k=5), 5))
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------------
@@ -416,13 +416,15 @@ def hybrid_dense_lexical(spark, d):
 # --- fusion --------------------------------------------------------------------------------------------------------------
 
 
-def three(spark, d) -> list[DataFrame]:
+def three(spark, d, n: int = 3) -> list[DataFrame]:
+    """The first n members."""
     u, q = units(spark, d), asked(spark, d)
-    return [
-        ranking.top_k(retrieval.bm25(u, q), 20, "doc").drop("unit_ord"),
-        ranking.aggregate_chunks(chunk_bm25(spark, d).drop("unit_ord"), "max", 20),
-        ranking.top_k(retrieval.tfidf(u, q), 20, "tfidf").drop("unit_ord"),
+    made = [
+        lambda: ranking.top_k(retrieval.bm25(u, q, k=20), 20, "doc").drop("unit_ord"),
+        lambda: ranking.aggregate_chunks(chunk_bm25(spark, d).drop("unit_ord"), "max", 20),
+        lambda: ranking.top_k(retrieval.tfidf(u, q, k=20), 20, "tfidf").drop("unit_ord"),
     ]
+    return [make() for make in made[:n]]
 
 
 THREE_SQL = f"""{bm25_sql(p='d_')}, {chunk_bm25_sql()}, {tfidf_sql()},
@@ -438,7 +440,7 @@ def rrf_sql(members: str, k: int) -> str:
 
 @query("rrf_doc_chunk", f"WITH {THREE_SQL}, m AS (FROM m0 UNION ALL FROM m1) {_SHOW} ({rrf_sql('m', 10)})")
 def rrf_doc_chunk(spark, d):
-    return shown(fusion.rrf(three(spark, d)[:2], 60, 10))
+    return shown(fusion.rrf(three(spark, d, 2), 60, 10))
 
 
 @query("rrf_three_way", f"WITH {THREE_SQL}, m AS (FROM m0 UNION ALL FROM m1 UNION ALL FROM m2) {_SHOW} ({rrf_sql('m', 10)})")
@@ -503,11 +505,17 @@ def eval_folds_cv(spark, d):
     return splits.eval_folds(grouped(spark, d), "cv").select("qid", "eval_part")
 
 
-def _evaluated(spark, d, k=50):
-    t = train(spark, d)
+def _evaluated(spark, d, k=50, n: int = 3):
+    """Gold and the first n rankings."""
+    t = table(train(spark, d), "train")
     q = query_rows(t)
     u = units(spark, d)
-    return t, [ranking.top_k(retrieval.bm25(u, q), k, "bm25"), ranking.top_k(retrieval.tfidf(u, q), k, "tfidf"), ranking.aggregate_chunks(ranking.top_k(retrieval.bm25(chunk_units(docs(spark, d), ChunkRules()), q), 120, "chunk"), "max", k)]
+    made = [
+        lambda: ranking.top_k(retrieval.bm25(u, q, k=k), k, "bm25"),
+        lambda: ranking.top_k(retrieval.tfidf(u, q, k=k), k, "tfidf"),
+        lambda: ranking.aggregate_chunks(ranking.top_k(retrieval.bm25(chunk_units(docs(spark, d), ChunkRules()), q, k=120), 120, "chunk"), "max", k),
+    ]
+    return t, [make() for make in made[:n]]
 
 
 EVAL_SQL = f"""{TRAIN_SQL}, {bm25_sql(p='d_')}, {tfidf_sql()}, {chunk_bm25_sql()},
@@ -570,13 +578,13 @@ def best_experiment(spark, d):
 
 @query("mean_reciprocal_rank", f"WITH {EVAL_SQL} SELECT avg(CASE WHEN best <= 10 THEN 1.0::DOUBLE / best ELSE 0 END) AS mrr FROM x WHERE experiment = 'bm25_doc'")
 def mean_reciprocal_rank(spark, d):
-    t, rs = _evaluated(spark, d)
+    t, rs = _evaluated(spark, d, n=1)
     return evaluate.reciprocal_rank(t.select("qid", "gold_doc_id"), rs[0])
 
 
 @query("prediction_lists", f"WITH {bm25_sql()} SELECT qid, array_to_string(list(doc_id ORDER BY rank), ' ') AS doc_ids FROM ({top_sql('hits', 5)}) GROUP BY qid")
 def prediction_lists(spark, d):
-    return evaluate.prediction_lists(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d)), 5)).select("qid", F.array_join("doc_ids", " ").alias("doc_ids"))
+    return evaluate.prediction_lists(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), k=5), 5)).select("qid", F.array_join("doc_ids", " ").alias("doc_ids"))
 
 
 # --- supervision and submission ----------------------------------------------------------------------------------------------
@@ -600,7 +608,7 @@ def evidence_alignment(spark, d):
 @query("hard_negatives", f"""WITH {TRAIN_SQL}, {bm25_sql()}, top AS ({top_sql('hits', 50)})
 SELECT t.qid, gold_doc_id, doc_id AS negative_doc_id, row_number() OVER (PARTITION BY t.qid ORDER BY rank)::BIGINT AS negative_rank FROM top JOIN train t ON t.qid = top.qid WHERE doc_id <> gold_doc_id QUALIFY negative_rank <= 5""")
 def hard_negatives(spark, d):
-    t, rs = _evaluated(spark, d)
+    t, rs = _evaluated(spark, d, n=1)
     return supervision.hard_negatives(t, rs[0])
 
 
@@ -659,7 +667,7 @@ def doc_length_histogram(spark, d):
 
 def _pairs(spark, d):
     u = chunk_units(docs(spark, d), ChunkRules())
-    return rerank.pairs(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d)), 10), chunk_bm25(spark, d), u, docs(spark, d), 10, 2)
+    return rerank.pairs(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), k=10), 10), chunk_bm25(spark, d), u, docs(spark, d), 10, 2)
 
 
 CLEAN_SQL = r"substring(regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 2500)"

@@ -1,22 +1,29 @@
 """Scorers over units: BM25, TF-IDF (words and character n-grams), dense vectors and lexical weights.
 
-Every scorer gives hits(qid, unit_ord, unit_id, doc_id, score) without text; ranking.py makes rankings of them.  BM25 keeps
-only the terms that some query has before it counts them, so only postings that a query touches are shuffled; lengths are
-per unit, inside the row.  TF-IDF needs all postings for its norms.
+Every scorer gives hits(qid, unit_ord, unit_id, doc_id, score) without text; ranking.py makes rankings of them.  With k, a
+scorer gives the hits of which the best k of each query are part, and keeps them as a table.  Units are scored in Arrow
+batches against all queries (blocks.py); many queries or terms, and units of equal unit_ord, go by joins of postings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PLAIN, TokenRules, char_grams, char_words, let, lexical_tokens
 from ..sources.shared import table
+from . import blocks
 
-#: Query terms up to so many are sent to all tasks inside the plan.
+#: Query terms, and queries, up to so many are sent to all tasks.
 MAX_VOCABULARY = 10_000
+MAX_QUERIES = 4_096
+#: Terms of more than one unit, whose idf all tasks have, up to so many.
+MAX_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -54,25 +61,93 @@ def postings(units: DataFrame, rules: TokenRules = PLAIN, lemma=None) -> DataFra
 
 
 def _query_terms(queries: DataFrame, rules: TokenRules, lemma) -> DataFrame:
-    return queries.select("qid", F.explode(F.array_distinct(lexical_tokens(F.col("question"), rules, lemma))).alias("term"))
+    return queries.select("qid", F.explode(lexical_tokens(F.col("question"), rules, lemma)).alias("term")).distinct()
 
 
-def bm25(units: DataFrame, queries: DataFrame, config: BM25 = BM25(), lemma=None) -> DataFrame:
+def _repeated(rows: DataFrame) -> bool:
+    """Whether two rows have the same unit_ord."""
+    return not rows.groupBy("unit_ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _kept(hits: DataFrame, k: int | None) -> DataFrame:
+    return hits if k is None else table(hits, "hits")
+
+
+def bm25(units: DataFrame, queries: DataFrame, config: BM25 = BM25(), lemma=None, k: int | None = None) -> DataFrame:
     """Hits of BM25 with idf = ln(1 + (N - df + 1/2) / (df + 1/2)); a query's terms count once each."""
     require_columns(units, "unit_ord", "unit_id", "doc_id", "text")
-    terms = units.select("unit_ord", "unit_id", "doc_id", lexical_tokens(F.col("text"), config.rules, lemma).alias("terms"))
     asked = _query_terms(queries, config.rules, lemma)
     vocabulary = [r["term"] for r in asked.select("term").distinct().limit(MAX_VOCABULARY + 1).collect()]
-    small = 0 < len(vocabulary) <= MAX_VOCABULARY
-    # texts are read and cut into terms once; few terms, counted, are picked inside the row, more of them by a join
-    picked = (lambda t: F.filter(t, lambda x: x.isin(*vocabulary))) if small else (lambda t: t)
-    both = let(F.col("terms"), lambda t: F.struct(F.size(t).alias("dl"), picked(t).alias("terms")))
-    sized = table(terms.select("unit_ord", "unit_id", "doc_id", both.alias("b")).select("unit_ord", "unit_id", "doc_id", "b.dl", "b.terms"), "terms")
+    qids = [r["qid"] for r in asked.select("qid").distinct().limit(MAX_QUERIES + 1).collect()]
+    if not 0 < len(vocabulary) <= MAX_VOCABULARY or len(qids) > MAX_QUERIES:
+        terms = units.select("unit_ord", "unit_id", "doc_id", lexical_tokens(F.col("text"), config.rules, lemma).alias("terms"))
+        sized = table(terms.select("unit_ord", "unit_id", "doc_id", F.size("terms").alias("dl"), "terms"), "terms")
+        touched = sized.select("unit_ord", "unit_id", "doc_id", "dl", F.explode("terms").alias("term"), F.lit(1).alias("tf"))
+        return _kept(_bm25_joined(sized, touched.join(asked.select("term").distinct(), "term", "left_semi"), asked, config), k)
+    # texts are read and cut into terms once; numbers of query terms and their counts stay
+    vocabulary.sort()
+    sized = table(_numbered(units, vocabulary, config.rules, lemma), "terms")
+    if _repeated(sized):
+        words = units.sparkSession.createDataFrame(list(enumerate(vocabulary)), "id int, term string")
+        touched = sized.select("unit_ord", "unit_id", "doc_id", "dl", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).join(F.broadcast(words), F.col("p.ids") == F.col("id"))
+        return _kept(_bm25_joined(sized, touched.select("unit_ord", "unit_id", "doc_id", "dl", "term", F.col("p.tfs").alias("tf")), asked, config), k)
+    n, average = sized.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    seen = sized.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")).collect()
+    idf = np.zeros(len(vocabulary))
+    for r in seen:
+        idf[r["id"]] = np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
+    number, place = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
+    has = np.zeros((len(qids), len(vocabulary)))
+    for r in asked.collect():
+        has[place[r["qid"]], number[r["term"]]] = 1
+    return _kept(blocks.searched(sized, qids, _bm25_scores(has, idf, average or 0.0, config), k), k)
+
+
+def _numbered(units: DataFrame, vocabulary: list[str], rules: TokenRules, lemma) -> DataFrame:
+    """unit_ord, unit_id, doc_id, dl, and ids (places in the vocabulary) and tfs of the terms that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, number = blocks.Terms(rules), {t: i for i, t in enumerate(vocabulary)}
+        for batch in batches:
+            for part in blocks.slices(batch):
+                lists = [terms.of(x) for x in blocks.strings(part.column("of"))]
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                ids = np.fromiter((number.get(t, -1) for ts in lists for t in ts), np.int64, int(sizes.sum()))
+                row = np.repeat(np.arange(len(lists)), sizes)[ids >= 0]
+                both, tfs = np.unique(row * len(vocabulary) + ids[ids >= 0], return_counts=True)
+                ends = pa.array(np.searchsorted(both, np.arange(len(lists) + 1) * len(vocabulary)), pa.int32())
+                lists_of = lambda x: pa.ListArray.from_arrays(ends, pa.array(x, pa.int32()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([part.column("unit_ord"), part.column("unit_id"), part.column("doc_id"), pa.array(sizes, pa.int32()), lists_of(both % len(vocabulary)), lists_of(tfs)], names=["unit_ord", "unit_id", "doc_id", "dl", "ids", "tfs"])
+
+    rows = units.select("unit_ord", "unit_id", "doc_id", blocks.source(F.col("text"), rules, lemma).alias("of"))
+    return rows.mapInArrow(run, "unit_ord long, unit_id string, doc_id string, dl int, ids array<int>, tfs array<int>")
+
+
+def _bm25_scores(has: np.ndarray, idf: np.ndarray, average: float, config: BM25):
+    def start():
+        def score(part: pa.RecordBatch) -> np.ndarray:
+            ids, tfs = part.column("ids"), part.column("tfs")
+            sizes = np.asarray(ids.value_lengths())
+            t, tf = np.asarray(ids.flatten()), np.asarray(tfs.flatten()).astype(np.float64)
+            row = np.repeat(np.arange(part.num_rows), sizes)
+            norm = config.k1 * (1 - config.b + config.b * np.asarray(part.column("dl")) / max(average, 1e-9))
+            used, column = np.unique(t, return_inverse=True)
+            weights = np.zeros((len(used), part.num_rows))
+            weights[column, row] = idf[t] * tf * (config.k1 + 1) / (tf + norm[row])
+            there = np.zeros((len(used), part.num_rows), np.float32)
+            there[column, row] = 1
+            asked = has[:, used]
+            return np.where(asked.astype(np.float32) @ there > 0, asked @ weights, -np.inf)
+
+        return score
+
+    return start
+
+
+def _bm25_joined(sized: DataFrame, touched: DataFrame, asked: DataFrame, config: BM25) -> DataFrame:
+    """BM25 by joins; touched: unit, dl, term and tf, to be summed."""
     stats = sized.agg(F.count(F.lit(1)).cast("double").alias("n_units"), F.avg("dl").alias("avgdl"))
-    touched = sized.select("unit_ord", "unit_id", "doc_id", "dl", F.explode("terms").alias("term"))
-    if not small:
-        touched = touched.join(asked.select("term").distinct(), "term", "left_semi")
-    posted = touched.groupBy("term", "unit_ord", "unit_id", "doc_id", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    posted = touched.groupBy("term", "unit_ord", "unit_id", "doc_id", "dl").agg(F.sum("tf").cast("double").alias("tf"))
     seen = posted.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     # stats is one row: the join is a projection
     idf = seen.join(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -121,14 +196,153 @@ def _unit_length(weights: DataFrame, key: str) -> DataFrame:
     return weights.join(norms, key).select(key, "term", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
-def tfidf(units: DataFrame, queries: DataFrame, config: TfIdf = TfIdf(), lemma=None) -> DataFrame:
+def tfidf(units: DataFrame, queries: DataFrame, config: TfIdf = TfIdf(), lemma=None, k: int | None = None) -> DataFrame:
     """Hits of the cosine of TF-IDF vectors; query terms outside the vocabulary have no weight."""
     require_columns(units, "unit_ord", "unit_id", "doc_id", "text")
+    found = None if _repeated(units) else _tfidf_blocks(units, queries, config, lemma, k)
+    return _kept(_tfidf_joined(units, queries, config, lemma) if found is None else found, k)
+
+
+def _tfidf_joined(units: DataFrame, queries: DataFrame, config: TfIdf, lemma) -> DataFrame:
     weights, idf = tfidf_weights(units, config, lemma)
     asked = term_counts(queries, "qid", "question", config, lemma).join(idf, "term").select("qid", "term", (F.col("tf") * F.col("idf")).alias("w"))
     asked = _unit_length(asked, "qid").withColumnRenamed("w", "qw")
     scores = asked.join(weights, "term").groupBy("qid", "unit_ord").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    return scores.join(units.select("unit_ord", "unit_id", "doc_id"), "unit_ord").select("qid", "unit_ord", "unit_id", "doc_id", "score")
+    return scores.join(units.select("unit_ord", "unit_id", "doc_id").distinct(), "unit_ord").select("qid", "unit_ord", "unit_id", "doc_id", "score")
+
+
+def _items(text: Column, config: TfIdf, lemma) -> Column:
+    """What _Counter reads."""
+    if config.analyzer == "char_wb":
+        return F.lower(F.coalesce(text, F.lit("")))
+    return blocks.source(text, config.rules, lemma) if config.ngram_range == (1, 1) else _grams(text, config, lemma)
+
+
+class _Counter:
+    """Counts of the terms of slices in a task; terms have numbers of the task's own."""
+
+    def __init__(self, config: TfIdf):
+        self.chars, self.range = config.analyzer == "char_wb", config.ngram_range
+        self.of = str.split if self.chars else blocks.Terms(config.rules).of
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = blocks.Numbers()
+        self.grams = blocks.Grams(*self.range, self.numbers)
+
+    def counts(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms that occur, and a matrix of counts, a line for each text."""
+        lists = [self.of(x) for x in texts]
+        row, ids, times = self.grams.counted(lists) if self.chars else (*blocks.counted(lists, self.numbers), None)
+        return blocks.table_of(len(lists), row, ids, times, len(self.numbers))
+
+
+def _document_frequencies(rows: DataFrame, config: TfIdf) -> DataFrame:
+    """term, df of all terms of rows(of); tasks add up their own before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, df = _Counter(config), np.zeros(0, np.int64)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            names = counter.numbers.names
+            for i in range(0, len(names), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 10_000], pa.string()), pa.array(df[i : i + 10_000], pa.int64())], names=["term", "df"])
+
+        for batch in batches:
+            for part in blocks.slices(batch, blocks.BYTES // 2):
+                used, counts = counter.counts(blocks.strings(part.column("of")))
+                df = np.concatenate([df, np.zeros(len(counter.numbers) - len(df), np.int64)])
+                df[used] += (counts > 0).sum(axis=0)
+                if len(df) > blocks.REMEMBERED:
+                    yield from told()
+                    counter.clear()
+                    df = np.zeros(0, np.int64)
+        yield from told()
+
+    return rows.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _tfidf_blocks(units: DataFrame, queries: DataFrame, config: TfIdf, lemma, k: int | None) -> DataFrame | None:
+    """TF-IDF in Arrow batches; None where there are too many queries or terms.
+
+    Units are read twice: for document frequencies, and for norms and scores.  A term that only one unit has needs no
+    entry: its idf is that of df 1.
+    """
+    asked = queries.select("qid", _items(F.col("question"), config, lemma).alias("of")).limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        return None
+    counter, of_query = _Counter(config), {}
+    for r in asked:
+        used, counts = counter.counts([r["of"]])
+        mine = of_query.setdefault(r["qid"], {})
+        for i, c in zip(used, counts[0], strict=True):
+            mine[counter.numbers.names[i]] = mine.get(counter.numbers.names[i], 0.0) + c
+    spark = units.sparkSession
+    n = units.count()
+    least, most = (float(x) if isinstance(x, int) else x * n for x in (config.min_df, config.max_df))
+    of_df = lambda df: np.where((df >= least) & (df <= most), np.log((1 + n) / (1 + df)) + 1, 0.0)
+    rows = units.select("unit_ord", "unit_id", "doc_id", _items(F.col("text"), config, lemma).alias("of"))
+    sought = spark.createDataFrame([(t,) for t in counter.numbers.names], "term string").withColumn("asked", F.lit(True))
+    seen = _document_frequencies(rows.select("of"), config).join(F.broadcast(sought), "term", "left").where("df > 1 or asked")
+    seen = table(seen.select("term", "df"), "df")
+    if seen.count() > MAX_TERMS:
+        return None
+    told = seen.toArrow().combine_chunks()
+    terms = told.column("term").to_pylist()
+    idf = of_df(told.column("df").to_numpy().astype(np.float64)) if terms else np.zeros(0)
+    weight = {t: w for t, w in zip(terms, idf, strict=True) if t in counter.numbers and w > 0}
+    qids = [q for q, mine in of_query.items() if any(t in weight for t in mine)]
+    column = {t: i for i, t in enumerate(weight)}
+    has = np.zeros((len(qids), len(column)))
+    for i, q in enumerate(qids):
+        for t, c in of_query[q].items():
+            if t in weight:
+                has[i, column[t]] = c * weight[t]
+    has /= np.sqrt((has * has).sum(axis=1, keepdims=True))
+    names, once = pa.array(terms, pa.string()), float(of_df(np.array(1.0)))
+
+    def start():
+        counter, place = _Counter(config), {t: i for i, t in enumerate(names.to_pylist())}
+        own: list[np.ndarray] = [np.zeros(0), np.zeros(0, np.int64)]
+
+        def score(part: pa.RecordBatch) -> np.ndarray:
+            if len(counter.numbers) > blocks.REMEMBERED:
+                counter.clear()
+                own[:] = [np.zeros(0), np.zeros(0, np.int64)]
+            used, counts = counter.counts(blocks.strings(part.column("of")))
+            new = counter.numbers.names[len(own[0]) :]
+            at = np.fromiter((place.get(t, -1) for t in new), np.int64, len(new))
+            own[0] = np.concatenate([own[0], np.where(at >= 0, idf[at], once) if len(idf) else np.full(len(new), once)])
+            own[1] = np.concatenate([own[1], np.fromiter((column.get(t, -1) for t in new), np.int64, len(new))])
+            weights = counts * own[0][used]
+            norm = np.sqrt((weights * weights).sum(axis=1))
+            to = own[1][used]
+            dots = has[:, to[to >= 0]] @ weights[:, to >= 0].T / np.where(norm == 0, 1.0, norm)
+            return np.where(dots > 0, dots, -np.inf)
+
+        return score
+
+    return blocks.searched(rows, qids, start, k)
+
+
+def gram_counts(rows: DataFrame, key: str, text: str, config: TfIdf) -> DataFrame:
+    """key, n and n_distinct: character n-grams of each row's text, all and different ones; rows without any are left out."""
+    if not rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        counts = term_counts(rows, key, text, config)
+        return counts.groupBy(key).agg(F.sum("tf").cast("long").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter(config)
+        for batch in batches:
+            for part in blocks.slices(batch, blocks.BYTES // 2):
+                if len(counter.numbers) > blocks.REMEMBERED:
+                    counter.clear()
+                _, counts = counter.counts(blocks.strings(part.column("of")))
+                n = counts.sum(axis=1).astype(np.int64)
+                told = [part.column(key), pa.array(n), pa.array((counts > 0).sum(axis=1).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(told, names=[key, "n", "n_distinct"]).filter(pa.array(n > 0))
+
+    return rows.select(key, _items(F.col(text), config, None).alias("of")).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, n_distinct long")
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------------
