@@ -366,12 +366,12 @@ hits AS (SELECT q.vec_id::VARCHAR AS qid, u.vec_id AS unit_ord, u.vec_id::VARCHA
 
 @query("dense_top5", f"WITH {DENSE_SQL} SELECT qid, rank::BIGINT AS rank, unit_id, round(score, 6) AS score FROM ({top_sql('hits', 5)})")
 def dense_top5(spark, d):
-    return ranking.top_k(retrieval.dense(*vectors(spark, d)), 5).select("qid", "rank", "unit_id", F.round("score", 6).alias("score"))
+    return ranking.top_k(retrieval.dense(*vectors(spark, d), k=5), 5).select("qid", "rank", "unit_id", F.round("score", 6).alias("score"))
 
 
 @query("dense_chunk_agg_max", f"WITH {DENSE_SQL}, top AS ({top_sql('hits', 50)}) {_SHOW} ({aggregated_sql('max', 'top', 20)})")
 def dense_chunk_agg(spark, d):
-    return shown(ranking.aggregate_chunks(ranking.top_k(retrieval.dense(*vectors(spark, d)), 50, "dense"), "max", 20))
+    return shown(ranking.aggregate_chunks(ranking.top_k(retrieval.dense(*vectors(spark, d), k=50), 50, "dense"), "max", 20))
 
 
 @query("l2_normalize", "SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)")
@@ -407,10 +407,10 @@ def lexical_weight_dot(spark, d):
 mixed AS (SELECT h.qid, h.unit_ord, h.unit_id, h.doc_id, 0.7 * h.score + 0.3 * coalesce(l.score, 0) AS score FROM hits h LEFT JOIN lex l ON l.qid = h.qid AND l.unit_ord = h.unit_ord)
 SELECT qid, rank::BIGINT AS rank, unit_id, round(score, 6) AS score FROM ({top_sql('mixed', 5)})""")
 def hybrid_dense_lexical(spark, d):
-    have, wanted = vectors(spark, d)
-    label = tables.read_table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.create_map(F.col("label").cast("string"), F.lit(1.0)).alias("weights"))
-    lex = retrieval.lexical_weights(have.withColumn("weights", F.create_map("doc_id", F.lit(1.0))), label)
-    return ranking.top_k(retrieval.hybrid(retrieval.dense(have, wanted), lex), 5).select("qid", "rank", "unit_id", F.round("score", 6).alias("score"))
+    have = vectors(spark, d)[0]
+    label = tables.read_table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("vector"), F.create_map(F.col("label").cast("string"), F.lit(1.0)).alias("weights"))
+    hits = retrieval.hybrid_search(have.withColumn("weights", F.create_map("doc_id", F.lit(1.0))), label, k=5)
+    return ranking.top_k(hits, 5).select("qid", "rank", "unit_id", F.round("score", 6).alias("score"))
 
 
 # --- fusion --------------------------------------------------------------------------------------------------------------

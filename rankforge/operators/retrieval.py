@@ -358,13 +358,78 @@ def l2_normalized(v: Column) -> Column:
     return F.element_at(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))), 1)
 
 
-def dense(units: DataFrame, queries: DataFrame, normalize: bool = True, block: int = 4096) -> DataFrame:
+def dense(units: DataFrame, queries: DataFrame, normalize: bool = True, block: int = 4096, k: int | None = None) -> DataFrame:
     """Hits of the exact dot product of units.vector and queries.vector.
 
     Every query meets every unit: that is the search.  The queries are the small side and come in blocks of at most block
-    rows, each broadcast; units are read in place, never shuffled.
+    rows; units are read in place, never shuffled, and with k, few tasks for each block each keep k hits a query.
     """
     require_columns(units, "unit_ord", "unit_id", "doc_id", "vector")
+    if k is None or not _same_size(units, queries):
+        return _kept(_dense_joined(units, queries, normalize, block), k)
+    return _kept(_dense_blocks(units, queries, normalize, block, k), k)
+
+
+def _same_size(units: DataFrame, queries: DataFrame) -> bool:
+    """Whether all vectors are numbers of one length."""
+    odd = F.col("vector").isNull() | F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    both = units.select("vector").unionByName(queries.select("vector"))
+    low, high, strange = both.agg(F.min(F.size("vector")), F.max(F.size("vector")), F.bool_or(odd)).first()
+    return low == high and bool(low and low > 0) and not strange
+
+
+def _dense_blocks(units: DataFrame, queries: DataFrame, normalize: bool, block: int, k: int, shares: tuple[float, float] | None = None) -> DataFrame:
+    """shares: weights of the dot product and of the dot product of the maps in the column weights (hybrid)."""
+    columns = ["vector"] if shares is None else ["vector", "weights"]
+    asked = queries.select("qid", *columns).toArrow().combine_chunks()
+    rows = units.select("unit_ord", "unit_id", "doc_id", *columns)
+    n = max(1, -(-asked.num_rows // block))
+    # tasks for all cores, but no more: each gives k rows a query
+    rows = rows.coalesce(max(1, -(-units.sparkSession.sparkContext.defaultParallelism // n)))
+    parts = [asked.slice(i * block, block) for i in range(n)]
+    made = [blocks.searched(rows, p.column("qid").to_pylist(), _dense_scores(p, normalize, shares), k) for p in parts]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def _matrix(vectors: pa.Array, normalize: bool) -> np.ndarray:
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    m = np.asarray(vectors.flatten()).astype(np.float64).reshape(len(vectors), -1)
+    if not normalize:
+        return m
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm == 0, 1.0, norm)
+
+
+def _dense_scores(asked: pa.Table, normalize: bool, shares: tuple[float, float] | None):
+    n = asked.num_rows
+    wanted = _matrix(asked.column("vector"), normalize) if n else np.zeros((0, 1))
+    tokens: dict = {}
+    maps = [] if shares is None else [(i, t, w) for i, m in enumerate(asked.column("weights").to_pylist()) for t, w in m or ()]
+    lexical = np.zeros((len({t for _, t, _ in maps}), n))
+    for i, t, w in maps:
+        lexical[tokens.setdefault(t, len(tokens)), i] = w
+
+    def start():
+        def score(part: pa.RecordBatch) -> np.ndarray:
+            dots = wanted @ _matrix(part.column("vector"), normalize).T if n else np.zeros((0, part.num_rows))
+            if shares is None:
+                return dots
+            have = np.zeros((len(lexical), part.num_rows))
+            for j, m in enumerate(part.column("weights").to_pylist()):
+                for t, w in m or ():
+                    if t in tokens:
+                        have[tokens[t], j] = w
+            return shares[0] * dots + shares[1] * (lexical.T @ have)
+
+        return score
+
+    return start
+
+
+def _dense_joined(units: DataFrame, queries: DataFrame, normalize: bool, block: int) -> DataFrame:
     v = (lambda c: l2_normalized(F.col(c))) if normalize else (lambda c: F.transform(c, lambda x: x.cast("double")))
     rows = units.select("unit_ord", "unit_id", "doc_id", v("vector").alias("v"))
     asked = queries.select("qid", v("vector").alias("qv"))
@@ -387,6 +452,15 @@ def lexical_weights(units: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(have, "token").groupBy("qid", "unit_ord", "unit_id", "doc_id").agg(F.sum(F.col("w").cast("double") * F.col("qw").cast("double")).alias("score"))
 
 
+def hybrid_search(units: DataFrame, queries: DataFrame, dense_weight: float = 0.7, lexical_weight: float = 0.3, k: int | None = None, block: int = 4096) -> DataFrame:
+    """Hits of the weighted sum of dense and lexical scores; vectors and token weights of a unit meet a query at once."""
+    few = k is not None and queries.select(F.explode(F.map_keys("weights")).alias("t")).distinct().limit(MAX_VOCABULARY + 1).count() <= MAX_VOCABULARY
+    unit_weights = units.select(F.bool_or(F.exists(F.map_values("weights"), lambda x: x.isNull()))).first()[0] or queries.select(F.bool_or(F.exists(F.map_values("weights"), lambda x: x.isNull()))).first()[0]
+    if few and not unit_weights and _same_size(units, queries) and not _repeated(units) and not _repeated(queries.select(F.col("qid").alias("unit_ord"))):
+        return _kept(_dense_blocks(units, queries, True, block, k, (dense_weight, lexical_weight)), k)
+    return _kept(hybrid(dense(units, queries), lexical_weights(units, queries), dense_weight, lexical_weight), k)
+
+
 def hybrid(dense_hits: DataFrame, lexical_hits: DataFrame, dense_weight: float = 0.7, lexical_weight: float = 0.3) -> DataFrame:
     """Weighted sum of both scores; a unit without a lexical score has 0 there."""
     keys = ["qid", "unit_ord"]

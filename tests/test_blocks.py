@@ -80,3 +80,15 @@ def test_best_keeps_ties_by_unit():
     got = [(r["qid"], r["unit_ord"]) for b in best.all() for r in b.to_pylist()]
     assert not every
     assert got == [(q, j) for n, q in enumerate("abc") for j in sorted(range(900), key=lambda j: (-round(scores[n, j], 9), j))[:5]]
+
+
+def test_dense_and_hybrid_in_batches_as_by_joins(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, str(i), str(i % 7), [float(x) for x in rng.normal(size=4)], {str(i % 3): 1.0, "x": 0.5}) for i in range(60)]
+    u = spark.createDataFrame(rows, "unit_ord long, unit_id string, doc_id string, vector array<float>, weights map<string,float>")
+    q = u.where("unit_ord < 5").selectExpr("unit_id qid", "vector", "weights")
+    ranked = lambda df: sorted((r.qid, r.rank, r.unit_id, round(r.score, 9)) for r in R.top_k(df, 3).collect())
+    got = S.dense(u, q, block=2, k=3)
+    assert got.count() < 60 * 5 and ranked(got) == ranked(S.dense(u, q))
+    got = S.hybrid_search(u, q, block=2, k=3)
+    assert got.count() < 60 * 5 and ranked(got) == ranked(S.hybrid(S.dense(u, q), S.lexical_weights(u, q)))
