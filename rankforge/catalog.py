@@ -666,8 +666,10 @@ def doc_length_histogram(spark, d):
 
 
 def _pairs(spark, d):
-    u = chunk_units(docs(spark, d), ChunkRules())
-    return rerank.pairs(ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), k=10), 10), chunk_bm25(spark, d), u, docs(spark, d), 10, 2)
+    top = ranking.top_k(retrieval.bm25(units(spark, d), asked(spark, d), k=10), 10)
+    # only candidates are cut into chunks again
+    own = docs(spark, d).join(F.broadcast(top.select(F.col("doc_id").alias("of")).distinct()), F.col("doc_id").cast("string") == F.col("of"), "left_semi")
+    return rerank.pairs(top, chunk_bm25(spark, d), chunk_units(own, ChunkRules()), docs(spark, d), 10, 2)
 
 
 CLEAN_SQL = r"substring(regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 2500)"

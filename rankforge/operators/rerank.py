@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens, number_label, pair_text, slug
+from ..sources.shared import table
 from .fusion import z_score
 
 INTRO_CHARS = 2500
@@ -111,15 +112,17 @@ def pairs(candidates: DataFrame, chunk_ranking: DataFrame, chunk_texts: DataFram
     """qid, doc_id, candidate_rank, candidate_score, chunk_rank, chunk_id, text of each pair to score.
 
     candidates: a ranking of documents; chunk_ranking: of chunks, by unit_id; a document without a ranked chunk is
-    represented by its beginning.  Texts are joined last, to the chosen pairs only.  A candidate that is no document
-    is an error.
+    represented by its beginning.  Texts are joined last, to the chosen pairs only; the others are left where they are
+    read.  A candidate that is no document is an error.
     """
     top = candidates.where(F.col("rank") <= depth).groupBy("qid", "doc_id").agg(F.min("rank").alias("candidate_rank"), F.max_by("score", -F.col("rank")).alias("candidate_score"))
     own = chunk_ranking.select("qid", "doc_id", F.col("unit_id").alias("chunk_id"), F.col("rank").alias("at")).join(top.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
     own = own.withColumn("chunk_rank", F.row_number().over(W.partitionBy("qid", "doc_id").orderBy("at")).cast("long")).where(F.col("chunk_rank") <= chunks_per_doc)
     both = top.join(own.drop("at"), ["qid", "doc_id"], "left").withColumn("chunk_rank", F.coalesce("chunk_rank", F.lit(1).cast("long")))
-    texts = chunk_texts.select(F.col("unit_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
-    intro = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, INTRO_CHARS).alias("intro"))
+    both = table(both, "pairs")
+    chosen = lambda rows, key: rows.join(F.broadcast(both.select(key).distinct()), key, "left_semi")
+    texts = chosen(chunk_texts.select(F.col("unit_id").alias("chunk_id"), F.col("text").alias("chunk_text")), "chunk_id")
+    intro = chosen(documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, INTRO_CHARS).alias("intro")), "doc_id")
     told = both.join(texts, "chunk_id", "left").join(intro, "doc_id", "left")
     body = F.when(F.col("intro").isNull(), F.raise_error(F.concat(F.lit("no such document: "), "doc_id")).cast("string")).otherwise(F.coalesce("chunk_text", "intro"))
     return told.select("qid", "doc_id", "candidate_rank", "candidate_score", "chunk_rank", "chunk_id", pair_text(body, char_limit).alias("text"))

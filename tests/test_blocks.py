@@ -92,3 +92,14 @@ def test_dense_and_hybrid_in_batches_as_by_joins(spark):
     assert got.count() < 60 * 5 and ranked(got) == ranked(S.dense(u, q))
     got = S.hybrid_search(u, q, block=2, k=3)
     assert got.count() < 60 * 5 and ranked(got) == ranked(S.hybrid(S.dense(u, q), S.lexical_weights(u, q)))
+
+
+def test_pairs_leave_other_texts_where_they_are(spark):
+    from rankforge.operators import rerank
+
+    u, q = corpus(spark)
+    docs = u.selectExpr("unit_ord doc_id", "text")
+    top = R.top_k(S.bm25(u, q, k=2), 2)
+    got = rerank.pairs(top, top, u, docs, 2, 1)
+    assert "LeftSemi, BuildRight" in got._jdf.queryExecution().toString()
+    assert {(r.qid, r.doc_id, r.text) for r in got.collect()} == {(r.qid, r.doc_id, TEXTS[int(r.doc_id)]) for r in top.collect()}
