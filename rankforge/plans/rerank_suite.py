@@ -96,7 +96,7 @@ class _Pairs:
             self.scorers[model] = scorer_for(model, o.batch_size, o.max_length)
         units = self.plan.units(LINE_10_5)
         if self._selector is None:
-            self._selector = table(top_k(bm25(units, self.queries, BM25(rules=LEGAL), self.plan.lemma), o.chunk_depth, "selector"), "selector")
+            self._selector = table(top_k(bm25(units, self.queries, BM25(rules=LEGAL), self.plan.lemma, k=o.chunk_depth), o.chunk_depth, "selector"), "selector")
         made = pairs(self.ranking(candidate), self._selector, units, self.documents, max(c.depth for c in grid), max(c.chunks_per_doc for c in grid), o.pair_chars)
         return table(scored_pairs(made, self.queries, self.scorers[model]), "pairs")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import BASELINE, KS, best_experiment, diagnostics_rollup, oracle_union, ordered_summary, query_hits, recall, wide_summary
 from ..operators.fusion import quota_union, rrf
 from ..operators.ranking import aggregate_chunks, dedupe_ranked_docs, first_of_docs, padded, top_k
-from ..operators.retrieval import bm25, dense, hybrid, lexical_weights, tfidf
+from ..operators.retrieval import bm25, dense, hybrid_search, tfidf
 from ..operators.splits import eval_folds
 from ..operators.submission import write_submission
 from ..operators.units import chunk_units, document_units, query_rows
@@ -65,25 +65,24 @@ class Planner:
         if e.kind in ("bm25_doc", "bm25_field_doc", "tfidf_doc"):
             units = self.units("field" if e.kind == "bm25_field_doc" else "doc")
             score = tfidf if e.kind == "tfidf_doc" else bm25
-            return dedupe_ranked_docs(self._cut(score(units, self.queries, p["config"], self.lemma), units, depth, e.name), depth).drop("unit_ord")
-        units = self.units(p["chunk"])
+            return dedupe_ranked_docs(self._cut(score(units, self.queries, p["config"], self.lemma, k=depth), units, depth, e.name), depth).drop("unit_ord")
+        units, k = self.units(p["chunk"]), max(depth, e.rank_depth)
         if e.kind == "bm25_chunk":
-            hits = bm25(units, self.queries, p["config"], self.lemma)
+            hits = bm25(units, self.queries, p["config"], self.lemma, k=k)
         else:
-            hits = self._encoded(e, units)
-        chunks = self._cut(hits, units, max(depth, e.rank_depth), e.name)
+            hits = self._encoded(e, units, k)
+        chunks = self._cut(hits, units, k, e.name)
         return aggregate_chunks(chunks.drop("unit_ord"), p.get("aggregation", "max"), depth, e.name)
 
-    def _encoded(self, e: Experiment, units: DataFrame) -> DataFrame:
+    def _encoded(self, e: Experiment, units: DataFrame, k: int) -> DataFrame:
         if self.encoder is None:
             raise ImportError(f"{e.name} needs an encoder: a model that turns texts into vectors")
         config = e.params["config"]
         have = table(self.encoder(units, config, False), "vectors")
         asked = table(self.encoder(self.queries.withColumnRenamed("question", "text"), config, True), "vectors")
-        hits = dense(have, asked)
         if e.kind == "dense_chunk" or not config.get("use_sparse", True):
-            return hits
-        return hybrid(hits, lexical_weights(have, asked), config.get("dense_weight", 0.7), config.get("sparse_weight", 0.3))
+            return dense(have, asked, k=k)
+        return hybrid_search(have, asked, config.get("dense_weight", 0.7), config.get("sparse_weight", 0.3), k=k)
 
 
 def now() -> str:
