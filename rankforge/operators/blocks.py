@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -58,12 +59,16 @@ class Terms:
             return False
         return not (r.stop_words and t in STOP_WORDS) and not (r.legal_stop_words and t in NOISE_WORDS)
 
+    def raw(self, value: str) -> list[str]:
+        """Tokens before rules choose among them."""
+        return self.find(value.replace("ё", "е"))
+
     def of(self, value) -> list[str]:
         if not isinstance(value, str):
             return value or []
         if len(self.known) > REMEMBERED:
             self.known, self.plain = {}, {}
-        tokens = self.find(value.replace("ё", "е"))
+        tokens = self.raw(value)
         for t in set(tokens).difference(self.known):
             self.known[t] = self.kept(t)
             self.plain[t] = t not in STOP_WORDS and t not in NOISE_WORDS and not any(c in "0123456789" for c in t)
@@ -76,17 +81,26 @@ class Terms:
 
 
 class Numbers(dict):
-    """Numbers of strings in the order in which they come; names has the strings."""
+    """Numbers of strings in the order in which they come, -1 for those not kept; names has the strings kept."""
 
-    def __init__(self):
+    def __init__(self, kept: Callable[[str], bool] | None = None):
         self.names: list[str] = []
+        self.kept = kept
 
     def __missing__(self, x):
-        n = self[x] = len(self)
+        if self.kept and not self.kept(x):
+            self[x] = -1
+            return -1
+        n = self[x] = len(self.names)
         self.names.append(x)
         return n
 
 
+def hashes(names: list[str]) -> np.ndarray:
+    """64 bits for each string, the same in every process."""
+    return np.frombuffer(b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in names), "<i8") if names else np.zeros(0, np.int64)
+
+
 def char_grams(word: str, low: int, high: int) -> list[str]:
     """As in functions/text.py."""
     w = f" {word} "
@@ -120,13 +134,15 @@ class Grams:
         return np.repeat(row, n), np.concatenate(grams)[np.repeat(first[word], n) + inner], np.repeat(times, n).astype(np.float64)
 
 
-def table_of(rows: int, row: np.ndarray, ids: np.ndarray, times: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers that occur, and a matrix of their counts, a line for each row."""
-    used = np.flatnonzero(np.bincount(ids, minlength=size))
-    place = np.zeros(size, np.int64)
-    place[used] = np.arange(len(used))
-    cells = np.bincount(row * len(used) + place[ids], weights=times, minlength=rows * len(used))
-    return used, cells.reshape(rows, len(used)).astype(np.float64)
+def summed(row: np.ndarray, ids: np.ndarray, times: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number below size, and count of what occurs, each pair of row and number once."""
+    if times is None:
+        pair, n = np.unique(row * size + ids, return_counts=True)
+    else:
+        pair, at = np.unique(row * size + ids, return_inverse=True)
+        n = np.bincount(at, weights=times, minlength=len(pair))
+    row, ids = np.divmod(pair, max(size, 1))
+    return row, ids, n.astype(np.float64)
 
 
 def slices(batch: pa.RecordBatch, limit: int = BYTES) -> Iterator[pa.RecordBatch]:
@@ -142,10 +158,11 @@ def slices(batch: pa.RecordBatch, limit: int = BYTES) -> Iterator[pa.RecordBatch
 
 
 def counted(lists: list[list[str]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """Row and number of each string of some lists."""
+    """Row and number of each string of some lists that is kept."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-    return np.repeat(np.arange(len(lists)), sizes), ids
+    row = np.repeat(np.arange(len(lists)), sizes)
+    return (row[ids >= 0], ids[ids >= 0]) if numbers.kept else (row, ids)
 
 
 # --- the best of each query ----------------------------------------------------------------------------------------------

@@ -22,8 +22,8 @@ from . import blocks
 #: Query terms, and queries, up to so many are sent to all tasks.
 MAX_VOCABULARY = 10_000
 MAX_QUERIES = 4_096
-#: Terms of more than one unit, whose idf all tasks have, up to so many.
-MAX_TERMS = 1_000_000
+#: Terms of more than one unit, whose document frequencies all tasks have (12 bytes each), up to so many.
+MAX_TERMS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -221,103 +221,119 @@ def _items(text: Column, config: TfIdf, lemma) -> Column:
 class _Counter:
     """Counts of the terms of slices in a task; terms have numbers of the task's own."""
 
-    def __init__(self, config: TfIdf):
+    def __init__(self, config: TfIdf, lemma=None):
         self.chars, self.range = config.analyzer == "char_wb", config.ngram_range
-        self.of = str.split if self.chars else blocks.Terms(config.rules).of
+        terms, r = blocks.Terms(config.rules), config.rules
+        # single tokens of plain rules are looked up once each, in numbers that leave out what rules drop
+        self.kept = terms.kept if not self.chars and self.range == (1, 1) and blocks.is_plain(r, lemma) and not r.add_bigrams else None
+        self.of = str.split if self.chars else terms.raw if self.kept else terms.of
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = blocks.Numbers()
+        self.numbers = blocks.Numbers(self.kept)
         self.grams = blocks.Grams(*self.range, self.numbers)
 
-    def counts(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the terms that occur, and a matrix of counts, a line for each text."""
+    def counts(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number and count of the terms of each text."""
         lists = [self.of(x) for x in texts]
         row, ids, times = self.grams.counted(lists) if self.chars else (*blocks.counted(lists, self.numbers), None)
-        return blocks.table_of(len(lists), row, ids, times, len(self.numbers))
+        return blocks.summed(row, ids, times, len(self.numbers.names))
 
 
-def _document_frequencies(rows: DataFrame, config: TfIdf) -> DataFrame:
-    """term, df of all terms of rows(of); tasks add up their own before the shuffle."""
+def _document_frequencies(rows: DataFrame, config: TfIdf, lemma=None) -> DataFrame:
+    """hash, df of all terms of rows(of); tasks add up their own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, df = _Counter(config), np.zeros(0, np.int64)
+        counter, df = _Counter(config, lemma), np.zeros(0, np.int64)
 
         def told() -> Iterator[pa.RecordBatch]:
             names = counter.numbers.names
             for i in range(0, len(names), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 10_000], pa.string()), pa.array(df[i : i + 10_000], pa.int64())], names=["term", "df"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks.hashes(names[i : i + 10_000])), pa.array(df[i : i + 10_000], pa.int64())], names=["hash", "df"])
 
         for batch in batches:
             for part in blocks.slices(batch, blocks.BYTES // 2):
-                used, counts = counter.counts(blocks.strings(part.column("of")))
-                df = np.concatenate([df, np.zeros(len(counter.numbers) - len(df), np.int64)])
-                df[used] += (counts > 0).sum(axis=0)
-                if len(df) > blocks.REMEMBERED:
+                _, ids, _ = counter.counts(blocks.strings(part.column("of")))
+                df = np.concatenate([df, np.zeros(len(counter.numbers.names) - len(df), np.int64)])
+                df += np.bincount(ids, minlength=len(df))
+                if len(counter.numbers) > blocks.REMEMBERED:
                     yield from told()
                     counter.clear()
                     df = np.zeros(0, np.int64)
         yield from told()
 
-    return rows.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return rows.mapInArrow(run, "hash long, df long").groupBy("hash").agg(F.sum("df").alias("df"))
 
 
 def _tfidf_blocks(units: DataFrame, queries: DataFrame, config: TfIdf, lemma, k: int | None) -> DataFrame | None:
     """TF-IDF in Arrow batches; None where there are too many queries or terms.
 
     Units are read twice: for document frequencies, and for norms and scores.  A term that only one unit has needs no
-    entry: its idf is that of df 1.
+    entry: its idf is that of df 1.  The others are known to tasks by 64 bits of hash, two sorted arrays of numbers.
     """
     asked = queries.select("qid", _items(F.col("question"), config, lemma).alias("of")).limit(MAX_QUERIES + 1).collect()
     if len(asked) > MAX_QUERIES:
         return None
-    counter, of_query = _Counter(config), {}
+    counter, of_query = _Counter(config, lemma), {}
     for r in asked:
-        used, counts = counter.counts([r["of"]])
+        _, ids, counts = counter.counts([r["of"]])
         mine = of_query.setdefault(r["qid"], {})
-        for i, c in zip(used, counts[0], strict=True):
-            mine[counter.numbers.names[i]] = mine.get(counter.numbers.names[i], 0.0) + c
+        for i, c in zip(ids.tolist(), counts.tolist(), strict=True):
+            mine[i] = mine.get(i, 0.0) + c
     spark = units.sparkSession
     n = units.count()
     least, most = (float(x) if isinstance(x, int) else x * n for x in (config.min_df, config.max_df))
     of_df = lambda df: np.where((df >= least) & (df <= most), np.log((1 + n) / (1 + df)) + 1, 0.0)
     rows = units.select("unit_ord", "unit_id", "doc_id", _items(F.col("text"), config, lemma).alias("of"))
-    sought = spark.createDataFrame([(t,) for t in counter.numbers.names], "term string").withColumn("asked", F.lit(True))
-    seen = _document_frequencies(rows.select("of"), config).join(F.broadcast(sought), "term", "left").where("df > 1 or asked")
-    seen = table(seen.select("term", "df"), "df")
+    wanted = blocks.hashes(counter.numbers.names)
+    sought = spark.createDataFrame([(h,) for h in wanted.tolist()], "hash long").distinct().withColumn("asked", F.lit(True))
+    seen = _document_frequencies(rows.select("of"), config, lemma).join(F.broadcast(sought), "hash", "left").where("df > 1 or asked")
+    seen = table(seen.select("hash", F.col("df").cast("int").alias("df")), "df")
     if seen.count() > MAX_TERMS:
         return None
     told = seen.toArrow().combine_chunks()
-    terms = told.column("term").to_pylist()
-    idf = of_df(told.column("df").to_numpy().astype(np.float64)) if terms else np.zeros(0)
-    weight = {t: w for t, w in zip(terms, idf, strict=True) if t in counter.numbers and w > 0}
-    qids = [q for q, mine in of_query.items() if any(t in weight for t in mine)]
-    column = {t: i for i, t in enumerate(weight)}
+    known, dfs = told.column("hash").to_numpy(), told.column("df").to_numpy()
+    by = np.argsort(known)
+    known, dfs = known[by], dfs[by]
+
+    def df_of(names: list[str], missing: int) -> np.ndarray:
+        at, wanted = np.searchsorted(known, h := blocks.hashes(names)), np.full(len(names), missing, np.int64)
+        there = np.append(known, 0)[at] == h
+        there &= at < len(known)
+        wanted[there] = dfs[at[there]]
+        return wanted
+
+    found = df_of(counter.numbers.names, 0)
+    idf = np.where(found > 0, of_df(np.maximum(found, 1)), 0.0)
+    # query terms by number; those that no unit has, or that min_df or max_df leave out, have no weight
+    column = {counter.numbers.names[i]: j for j, i in enumerate(np.flatnonzero(idf > 0).tolist())}
+    qids = [q for q, mine in of_query.items() if any(idf[i] > 0 for i in mine)]
     has = np.zeros((len(qids), len(column)))
     for i, q in enumerate(qids):
         for t, c in of_query[q].items():
-            if t in weight:
-                has[i, column[t]] = c * weight[t]
+            if idf[t] > 0:
+                has[i, column[counter.numbers.names[t]]] = c * idf[t]
     has /= np.sqrt((has * has).sum(axis=1, keepdims=True))
-    names, once = pa.array(terms, pa.string()), float(of_df(np.array(1.0)))
 
     def start():
-        counter, place = _Counter(config), {t: i for i, t in enumerate(names.to_pylist())}
+        counter = _Counter(config, lemma)
         own: list[np.ndarray] = [np.zeros(0), np.zeros(0, np.int64)]
 
         def score(part: pa.RecordBatch) -> np.ndarray:
             if len(counter.numbers) > blocks.REMEMBERED:
                 counter.clear()
                 own[:] = [np.zeros(0), np.zeros(0, np.int64)]
-            used, counts = counter.counts(blocks.strings(part.column("of")))
+            row, ids, counts = counter.counts(blocks.strings(part.column("of")))
             new = counter.numbers.names[len(own[0]) :]
-            at = np.fromiter((place.get(t, -1) for t in new), np.int64, len(new))
-            own[0] = np.concatenate([own[0], np.where(at >= 0, idf[at], once) if len(idf) else np.full(len(new), once)])
+            own[0] = np.concatenate([own[0], of_df(df_of(new, 1))])
             own[1] = np.concatenate([own[1], np.fromiter((column.get(t, -1) for t in new), np.int64, len(new))])
-            weights = counts * own[0][used]
-            norm = np.sqrt((weights * weights).sum(axis=1))
-            to = own[1][used]
-            dots = has[:, to[to >= 0]] @ weights[:, to >= 0].T / np.where(norm == 0, 1.0, norm)
+            weights = counts * own[0][ids]
+            norm = np.sqrt(np.bincount(row, weights=weights * weights, minlength=part.num_rows))
+            to = own[1][ids]
+            used, at = np.unique(to[to >= 0], return_inverse=True)
+            mine = np.zeros((len(used), part.num_rows))
+            mine[at, row[to >= 0]] = weights[to >= 0]
+            dots = has[:, used] @ mine / np.where(norm == 0, 1.0, norm)
             return np.where(dots > 0, dots, -np.inf)
 
         return score
@@ -337,9 +353,9 @@ def gram_counts(rows: DataFrame, key: str, text: str, config: TfIdf) -> DataFram
             for part in blocks.slices(batch, blocks.BYTES // 2):
                 if len(counter.numbers) > blocks.REMEMBERED:
                     counter.clear()
-                _, counts = counter.counts(blocks.strings(part.column("of")))
-                n = counts.sum(axis=1).astype(np.int64)
-                told = [part.column(key), pa.array(n), pa.array((counts > 0).sum(axis=1).astype(np.int64))]
+                row, _, counts = counter.counts(blocks.strings(part.column("of")))
+                n = np.bincount(row, weights=counts, minlength=part.num_rows).astype(np.int64)
+                told = [part.column(key), pa.array(n), pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(told, names=[key, "n", "n_distinct"]).filter(pa.array(n > 0))
 
     return rows.select(key, _items(F.col(text), config, None).alias("of")).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, n_distinct long")

@@ -103,3 +103,14 @@ def test_pairs_leave_other_texts_where_they_are(spark):
     got = rerank.pairs(top, top, u, docs, 2, 1)
     assert "LeftSemi, BuildRight" in got._jdf.queryExecution().toString()
     assert {(r.qid, r.doc_id, r.text) for r in got.collect()} == {(r.qid, r.doc_id, TEXTS[int(r.doc_id)]) for r in top.collect()}
+
+
+def test_tfidf_holds_what_occurs_and_knows_terms_by_numbers(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) + " w0x0" for i in range(40)]
+    row, ids, n = S._Counter(S.TfIdf()).counts(texts)
+    assert len(row) == len(ids) == len(n) == 40 * 50 + 39 and n.sum() == 40 * 51
+    rows = spark.createDataFrame([(t,) for t in texts], "of string")
+    df = S._document_frequencies(rows, S.TfIdf())
+    assert [t for _, t in df.dtypes] == ["bigint", "bigint"]
+    got = {r.hash: r.df for r in df.collect()}
+    assert got[blocks.hashes(["w0x0"])[0]] == 40 and sorted(got.values())[:-1] == [1] * (40 * 50 - 1)
