@@ -286,7 +286,7 @@ def chunk_bm25_sql(p: str = "c_") -> str:
 
 
 def chunk_bm25(spark, d, depth: int = 120):
-    return ranking.top_k(retrieval.bm25(chunk_units(docs(spark, d), ChunkRules()), asked(spark, d), k=depth), depth, "chunk")
+    return ranking.top_k(retrieval.bm25_chunks(docs(spark, d), ChunkRules(), asked(spark, d), k=depth), depth, "chunk")
 
 
 AGGREGATION_SQL = {
@@ -513,7 +513,7 @@ def _evaluated(spark, d, k=50, n: int = 3):
     made = [
         lambda: ranking.top_k(retrieval.bm25(u, q, k=k), k, "bm25"),
         lambda: ranking.top_k(retrieval.tfidf(u, q, k=k), k, "tfidf"),
-        lambda: ranking.aggregate_chunks(ranking.top_k(retrieval.bm25(chunk_units(docs(spark, d), ChunkRules()), q, k=120), 120, "chunk"), "max", k),
+        lambda: ranking.aggregate_chunks(ranking.top_k(retrieval.bm25_chunks(docs(spark, d), ChunkRules(), q, k=120), 120, "chunk"), "max", k),
     ]
     return t, [make() for make in made[:n]]
 

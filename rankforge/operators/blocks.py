@@ -101,6 +101,72 @@ def hashes(names: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in names), "<i8") if names else np.zeros(0, np.int64)
 
 
+class Codes(dict):
+    """Code of a token under plain rules: -1 if they drop it, else twice its number among the parts of the asked terms (0: in
+    none of them), plus 1 if it can be part of a bigram."""
+
+    def __init__(self, rules: TokenRules, vocabulary: list[str]):
+        terms = Terms(rules)
+        self.find, self.kept, self.bigrams = terms.raw, terms.kept, rules.add_bigrams
+        split = [t.split("__") for t in vocabulary]
+        self.parts: dict[str, int] = {}
+        for t in chain.from_iterable(split):
+            self.parts.setdefault(t, len(self.parts) + 1)
+        self.size = len(self.parts) + 1
+        self.single = np.full(self.size, -1, np.int64)
+        pairs = {}
+        for i, ts in enumerate(split):
+            if len(ts) == 1:
+                self.single[self.parts[ts[0]]] = i
+            else:
+                pairs[self.parts[ts[0]] * self.size + self.parts[ts[1]]] = i
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.of_pair = np.array([pairs[x] for x in sorted(pairs)], np.int64)
+
+    def __missing__(self, t: str) -> int:
+        code = -1
+        if self.kept(t):
+            code = 2 * self.parts.get(t, 0) + (t not in STOP_WORDS and t not in NOISE_WORDS and not any(c in "0123456789" for c in t))
+        self[t] = code
+        return code
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the kept tokens of all texts in a row, and where each text begins among them, with the end."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        lists = [self.find(x) for x in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+        upto = np.concatenate([[0], np.cumsum(codes >= 0)])
+        return codes[codes >= 0], upto[np.concatenate([[0], np.cumsum(sizes)])]
+
+    def counts(self, codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of units, spans of the codes which may overlap: their numbers of terms, and unit and number of each asked term in
+        them, with repeats."""
+        part = codes >> 1
+        known = np.flatnonzero(self.single[part] >= 0)
+        n, unit, ids = end - first, *_within(known, self.single[part[known]], first, end)
+        if not self.bigrams:
+            return n, unit, ids
+        # a pair stands where its left token does
+        last = np.maximum(end - 1, first)
+        plain = np.flatnonzero(codes[:-1] & codes[1:] & 1)
+        n = n + np.searchsorted(plain, last) - np.searchsorted(plain, first)
+        key = part[plain] * self.size + part[plain + 1]
+        at = np.searchsorted(self.pairs, key)
+        there = np.append(self.pairs, -1)[at] == key
+        more_unit, more_ids = _within(plain[there], self.of_pair[at[there]], first, last)
+        return n, np.concatenate([unit, more_unit]), np.concatenate([ids, more_ids])
+
+
+def _within(places: np.ndarray, values: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Span and value for each of some ordered places in each span."""
+    low = np.searchsorted(places, first)
+    n = np.searchsorted(places, end) - low
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.arange(len(first)), n), values[np.repeat(low, n) + inner]
+
+
 def char_grams(word: str, low: int, high: int) -> list[str]:
     """As in functions/text.py."""
     w = f" {word} "

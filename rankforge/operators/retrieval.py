@@ -7,17 +7,20 @@ batches against all queries (blocks.py); many queries or terms, and units of equ
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PLAIN, TokenRules, char_grams, char_words, let, lexical_tokens
 from ..sources.shared import table
 from . import blocks
+from .chunking import ChunkRules
+from .units import CHUNKS_OF_ONE, chunk_units, ordinal
 
 #: Query terms, and queries, up to so many are sent to all tasks.
 MAX_VOCABULARY = 10_000
@@ -76,19 +79,32 @@ def _kept(hits: DataFrame, k: int | None) -> DataFrame:
 def bm25(units: DataFrame, queries: DataFrame, config: BM25 = BM25(), lemma=None, k: int | None = None) -> DataFrame:
     """Hits of BM25 with idf = ln(1 + (N - df + 1/2) / (df + 1/2)); a query's terms count once each."""
     require_columns(units, "unit_ord", "unit_id", "doc_id", "text")
+    return _bm25(lambda: units, lambda vocabulary: _numbered(units, vocabulary, config.rules, lemma), queries, config, lemma, k)
+
+
+def bm25_chunks(documents: DataFrame, chunk: ChunkRules, queries: DataFrame, config: BM25 = BM25(), lemma=None, k: int | None = None) -> DataFrame:
+    """bm25 of chunk_units.  A document is cut into terms once, and its line chunks are spans of these: chunk texts are not
+    made.  Other chunks, and terms that need the plan's functions, go by chunk texts."""
+    units = lambda: chunk_units(documents, chunk)
+    if chunk.unit != "line" or not blocks.is_plain(config.rules, lemma):
+        return bm25(units(), queries, config, lemma, k)
+    return _bm25(units, lambda vocabulary: _numbered_lines(documents, chunk, vocabulary, config.rules), queries, config, lemma, k)
+
+
+def _bm25(units: Callable[[], DataFrame], numbered: Callable[[list[str]], DataFrame], queries: DataFrame, config: BM25, lemma, k: int | None) -> DataFrame:
     asked = _query_terms(queries, config.rules, lemma)
     vocabulary = [r["term"] for r in asked.select("term").distinct().limit(MAX_VOCABULARY + 1).collect()]
     qids = [r["qid"] for r in asked.select("qid").distinct().limit(MAX_QUERIES + 1).collect()]
     if not 0 < len(vocabulary) <= MAX_VOCABULARY or len(qids) > MAX_QUERIES:
-        terms = units.select("unit_ord", "unit_id", "doc_id", lexical_tokens(F.col("text"), config.rules, lemma).alias("terms"))
+        terms = units().select("unit_ord", "unit_id", "doc_id", lexical_tokens(F.col("text"), config.rules, lemma).alias("terms"))
         sized = table(terms.select("unit_ord", "unit_id", "doc_id", F.size("terms").alias("dl"), "terms"), "terms")
         touched = sized.select("unit_ord", "unit_id", "doc_id", "dl", F.explode("terms").alias("term"), F.lit(1).alias("tf"))
         return _kept(_bm25_joined(sized, touched.join(asked.select("term").distinct(), "term", "left_semi"), asked, config), k)
     # texts are read and cut into terms once; numbers of query terms and their counts stay
     vocabulary.sort()
-    sized = table(_numbered(units, vocabulary, config.rules, lemma), "terms")
+    sized = table(numbered(vocabulary), "terms")
     if _repeated(sized):
-        words = units.sparkSession.createDataFrame(list(enumerate(vocabulary)), "id int, term string")
+        words = queries.sparkSession.createDataFrame(list(enumerate(vocabulary)), "id int, term string")
         touched = sized.select("unit_ord", "unit_id", "doc_id", "dl", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).join(F.broadcast(words), F.col("p.ids") == F.col("id"))
         return _kept(_bm25_joined(sized, touched.select("unit_ord", "unit_id", "doc_id", "dl", "term", F.col("p.tfs").alias("tf")), asked, config), k)
     n, average = sized.agg(F.count(F.lit(1)), F.avg("dl")).first()
@@ -103,24 +119,63 @@ def bm25(units: DataFrame, queries: DataFrame, config: BM25 = BM25(), lemma=None
     return _kept(blocks.searched(sized, qids, _bm25_scores(has, idf, average or 0.0, config), k), k)
 
 
+NUMBERED = "unit_ord long, unit_id string, doc_id string, dl int, ids array<int>, tfs array<int>"
+
+
+def _numbers_of(units: list[pa.Array], n: np.ndarray, unit: np.ndarray, ids: np.ndarray, size: int) -> pa.RecordBatch:
+    """Rows of _numbered, from each unit's number of terms, and unit and number of each term of the vocabulary."""
+    both, tfs = np.unique(unit * size + ids, return_counts=True)
+    ends = pa.array(np.searchsorted(both, np.arange(len(n) + 1) * size), pa.int32())
+    lists_of = lambda x: pa.ListArray.from_arrays(ends, pa.array(x, pa.int32()))
+    return pa.RecordBatch.from_arrays([*units, pa.array(n, pa.int32()), lists_of(both % size), lists_of(tfs)], names=["unit_ord", "unit_id", "doc_id", "dl", "ids", "tfs"])
+
+
 def _numbered(units: DataFrame, vocabulary: list[str], rules: TokenRules, lemma) -> DataFrame:
     """unit_ord, unit_id, doc_id, dl, and ids (places in the vocabulary) and tfs of the terms that it has."""
+    plain = blocks.is_plain(rules, lemma)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, number = blocks.Terms(rules), {t: i for i, t in enumerate(vocabulary)}
+        codes, number = blocks.Codes(rules, vocabulary) if plain else None, {t: i for i, t in enumerate(vocabulary)}
         for batch in batches:
             for part in blocks.slices(batch):
-                lists = [terms.of(x) for x in blocks.strings(part.column("of"))]
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                ids = np.fromiter((number.get(t, -1) for ts in lists for t in ts), np.int64, int(sizes.sum()))
-                row = np.repeat(np.arange(len(lists)), sizes)[ids >= 0]
-                both, tfs = np.unique(row * len(vocabulary) + ids[ids >= 0], return_counts=True)
-                ends = pa.array(np.searchsorted(both, np.arange(len(lists) + 1) * len(vocabulary)), pa.int32())
-                lists_of = lambda x: pa.ListArray.from_arrays(ends, pa.array(x, pa.int32()))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([part.column("unit_ord"), part.column("unit_id"), part.column("doc_id"), pa.array(sizes, pa.int32()), lists_of(both % len(vocabulary)), lists_of(tfs)], names=["unit_ord", "unit_id", "doc_id", "dl", "ids", "tfs"])
+                values = blocks.strings(part.column("of"))
+                if plain:
+                    read, at = codes.read(values)
+                    found = codes.counts(read, at[:-1], at[1:])
+                else:
+                    sizes = np.fromiter((len(ts or ()) for ts in values), np.int64, len(values))
+                    ids = np.fromiter((number.get(t, -1) for ts in values for t in ts or ()), np.int64, int(sizes.sum()))
+                    found = sizes, np.repeat(np.arange(len(values)), sizes)[ids >= 0], ids[ids >= 0]
+                yield _numbers_of([part.column(c) for c in ("unit_ord", "unit_id", "doc_id")], *found, len(vocabulary))
 
     rows = units.select("unit_ord", "unit_id", "doc_id", blocks.source(F.col("text"), rules, lemma).alias("of"))
-    return rows.mapInArrow(run, "unit_ord long, unit_id string, doc_id string, dl int, ids array<int>, tfs array<int>")
+    return rows.mapInArrow(run, NUMBERED)
+
+
+def _numbered_lines(documents: DataFrame, chunk: ChunkRules, vocabulary: list[str], rules: TokenRules) -> DataFrame:
+    """_numbered of the line chunks of documents(doc_id, text), under plain rules: terms end where lines do."""
+    size, step = chunk.size, chunk.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = blocks.Codes(rules, vocabulary)
+        for batch in batches:
+            for part in blocks.slices(batch):
+                # lines as line_spans() finds them: str.splitlines() ends them where LINE_END does
+                lines = [[x for x in text.splitlines() if x and not x.isspace()] or [""] for text in blocks.strings(part.column("of"))]
+                n_lines = np.fromiter(map(len, lines), np.int64, len(lines))
+                read, at = codes.read([x for ls in lines for x in ls])
+                n = np.where(n_lines <= size, 1, -(-(n_lines - size) // step) + 1)
+                doc = np.repeat(np.arange(len(lines)), n)
+                position = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = (np.cumsum(n_lines) - n_lines)[doc]
+                found = codes.counts(read, at[start + position * step], at[start + np.minimum(position * step + size, n_lines[doc])])
+                docs = part.column("doc_id").take(pa.array(doc))
+                names = [f"{chunk.unit}::{p}" if d is None else f"{d}::{chunk.unit}::{p}" for d, p in zip(blocks.strings(docs), position.tolist(), strict=True)]
+                order = pc.add(pc.multiply(part.column("unit_ord").take(pa.array(doc)), CHUNKS_OF_ONE), pa.array(position))
+                yield _numbers_of([order, pa.array(names, pa.string()), docs], *found, len(vocabulary))
+
+    rows = documents.select(ordinal(documents, "doc_id").alias("unit_ord"), F.col("doc_id").cast("string").alias("doc_id"), blocks.source(F.col("text"), rules).alias("of"))
+    return rows.mapInArrow(run, NUMBERED)
 
 
 def _bm25_scores(has: np.ndarray, idf: np.ndarray, average: float, config: BM25):

@@ -12,22 +12,25 @@ from pyspark.sql import functions as F
 from ..functions.text import field_aware_text
 from .chunking import ChunkRules, chunks
 
+#: unit_ord of a chunk is that of its document times so many, plus its position.
+CHUNKS_OF_ONE = 1_000_000
+
 
 def document_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", field_aware: bool = False) -> DataFrame:
     """One unit per document.  unit_ord, which breaks ties, is the document's id if it is a number, else its hash."""
     body = field_aware_text(F.col(text)) if field_aware else F.coalesce(F.col(text), F.lit(""))
     key = F.col(doc_id).cast("string")
-    return documents.select(_ordinal(documents, doc_id).alias("unit_ord"), key.alias("unit_id"), key.alias("doc_id"), body.alias("text"))
+    return documents.select(ordinal(documents, doc_id).alias("unit_ord"), key.alias("unit_id"), key.alias("doc_id"), body.alias("text"))
 
 
 def chunk_units(documents: DataFrame, rules: ChunkRules, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One unit per chunk; ordered by document, then position (up to a million chunks in one document)."""
     found = chunks(documents, rules, doc_id, text)
-    order = _ordinal(found, "doc_id") * 1_000_000 + F.col("position")
+    order = ordinal(found, "doc_id") * CHUNKS_OF_ONE + F.col("position")
     return found.select(order.alias("unit_ord"), F.col("chunk_id").alias("unit_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
-def _ordinal(df: DataFrame, doc_id: str):
+def ordinal(df: DataFrame, doc_id: str):
     numeric = df.schema[doc_id].dataType.typeName() in ("byte", "short", "integer", "long")
     return F.col(doc_id).cast("long") if numeric else F.shiftrightunsigned(F.xxhash64(doc_id), 22)
 

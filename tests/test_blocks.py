@@ -114,3 +114,23 @@ def test_tfidf_holds_what_occurs_and_knows_terms_by_numbers(spark):
     assert [t for _, t in df.dtypes] == ["bigint", "bigint"]
     got = {r.hash: r.df for r in df.collect()}
     assert got[blocks.hashes(["w0x0"])[0]] == 40 and sorted(got.values())[:-1] == [1] * (40 * 50 - 1)
+
+
+LINES = ["aaa bbb\n\n ccc\r\nddd", None, " \n\t\n", "\n".join(f"aaa w{i} bbb" for i in range(23)), "aaa\x0bbbb\x1cccc\x85ddd eee\ngg", "aaa \nbbb aaa\n" * 9, "ccc aaa bbb", "aaa 12 bbb"]
+
+
+@pytest.mark.parametrize("bigrams", [False, True])
+@pytest.mark.parametrize("rules", [S.ChunkRules(), S.ChunkRules("line", 3, 1), S.ChunkRules("line", 1, 1)])
+def test_bm25_of_line_chunks_makes_no_chunk_texts(spark, monkeypatch, rules, bigrams):
+    docs = spark.createDataFrame(list(enumerate(LINES)), "doc_id long, text string")
+    q = query_rows(spark.createDataFrame([("q", "aaa bbb aaa"), ("r", "ddd eee 12"), ("s", "ccc aaa w7 bbb")], "qid string, question string"))
+    config = S.BM25(rules=S.TokenRules(add_bigrams=bigrams))
+    all_of = lambda df: {(r.qid, r.unit_ord, r.unit_id, r.doc_id): pytest.approx(r.score, abs=1e-12) for r in df.collect()}
+    mine = all_of(S.bm25_chunks(docs, rules, q, config))
+    with monkeypatch.context() as m:
+        m.setattr(S, "chunk_units", None)
+        assert mine == all_of(S.bm25_chunks(docs, rules, q, config))
+    units = S.chunk_units(docs, rules)
+    assert mine == all_of(S.bm25(units, q, config))
+    joins(monkeypatch)
+    assert mine == all_of(S.bm25(units, q, config))
