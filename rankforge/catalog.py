@@ -107,7 +107,7 @@ def units(spark, d):
 def train(spark, d) -> DataFrame:
     """Questions with gold document and evidence: the items, each a stated query against all documents."""
     items = tables.read_table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
-    held = docs(spark, d).join(F.broadcast(items), F.contains("text", "item"))
+    held = supervision.holding(docs(spark, d), items)
     first = held.groupBy("item_id", "item").agg(F.min(F.struct("doc_id", F.instr("text", F.col("item")).alias("at"), "source")).alias("g"))
     return first.select(
         F.col("item_id").cast("string").alias("qid"), F.col("item").alias("question"), F.col("g.doc_id").cast("string").alias("gold_doc_id"), F.col("item").alias("gold_evidence_text"),

@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 
+def holding(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """documents(text, ...) with each of the items(item, ...) that the text contains.
+
+    An item's words between two spaces stand between spaces, or ends, in any text that holds it, so only texts that have
+    the longest of them are searched for the item; those without such a word are sought in every text.
+    """
+    words = F.split("item", " ", -1)
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    sought = items.withColumn("word", F.coalesce(longest, F.lit("")))
+    # the empty word, for items without one, is in every text
+    rows = documents.withColumn("word", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("text", " ", -1)))))
+    return rows.join(F.broadcast(sought), "word").where(F.contains("text", "item")).drop("word")
+
+
 def evidence_windows(train: DataFrame, documents: DataFrame, window_chars: int = 1200) -> DataFrame:
     """qid, question, doc_id, start, end, text: a window around each gold evidence, wide enough to hold all of it."""
     docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("whole"))

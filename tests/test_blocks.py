@@ -134,3 +134,14 @@ def test_bm25_of_line_chunks_makes_no_chunk_texts(spark, monkeypatch, rules, big
     assert mine == all_of(S.bm25(units, q, config))
     joins(monkeypatch)
     assert mine == all_of(S.bm25(units, q, config))
+
+
+def test_items_are_sought_in_texts_with_their_longest_inner_word(spark):
+    from rankforge.operators import supervision
+
+    texts = ["xx one two  three four yy", "one two", None, "", " two ", "zone two  three fourth", "a\none two\tb"]
+    items = ["one two  three four", "one two", "two", "", " ", None, "  ", "wo  thr", "x one two  three f", "a\none two", " two "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = supervision.holding(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, item string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t]
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
