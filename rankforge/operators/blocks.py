@@ -24,6 +24,7 @@ HITS = "qid string, unit_ord long, unit_id string, doc_id string, score double"
 BYTES, ROWS, CELLS = 1 << 19, 256, 1 << 21
 #: Different words that a task remembers before it starts anew.
 REMEMBERED = 500_000
+_STOPS, _NOISE, _CODES, _DIGITS = map(frozenset, (STOP_WORDS, NOISE_WORDS, SHORT_CODES, "0123456789"))
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -46,6 +47,11 @@ def strings(column: pa.Array) -> list[str]:
         return [x if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _plain(t: str) -> bool:
+    """Whether a token can be part of a bigram."""
+    return t not in _STOPS and t not in _NOISE and _DIGITS.isdisjoint(t)
+
+
 class Terms:
     """Terms of a batch column made by source(), one list for each row."""
 
@@ -55,9 +61,9 @@ class Terms:
 
     def kept(self, t: str) -> bool:
         r = self.rules
-        if r.min_len > 1 and len(t) < r.min_len and t not in SHORT_CODES and not any(c in "0123456789" for c in t):
+        if 1 < r.min_len > len(t) and t not in _CODES and _DIGITS.isdisjoint(t):
             return False
-        return not (r.stop_words and t in STOP_WORDS) and not (r.legal_stop_words and t in NOISE_WORDS)
+        return not (r.stop_words and t in _STOPS) and not (r.legal_stop_words and t in _NOISE)
 
     def raw(self, value: str) -> list[str]:
         """Tokens before rules choose among them."""
@@ -71,7 +77,7 @@ class Terms:
         tokens = self.raw(value)
         for t in set(tokens).difference(self.known):
             self.known[t] = self.kept(t)
-            self.plain[t] = t not in STOP_WORDS and t not in NOISE_WORDS and not any(c in "0123456789" for c in t)
+            self.plain[t] = _plain(t)
         known = self.known
         out = [t for t in tokens if known[t]]
         if self.rules.add_bigrams:
@@ -126,7 +132,7 @@ class Codes(dict):
     def __missing__(self, t: str) -> int:
         code = -1
         if self.kept(t):
-            code = 2 * self.parts.get(t, 0) + (t not in STOP_WORDS and t not in NOISE_WORDS and not any(c in "0123456789" for c in t))
+            code = 2 * self.parts.get(t, 0) + _plain(t)
         self[t] = code
         return code
 

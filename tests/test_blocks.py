@@ -1,6 +1,9 @@
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rankforge.operators import blocks
 from rankforge.operators import ranking as R
@@ -145,3 +148,26 @@ def test_items_are_sought_in_texts_with_their_longest_inner_word(spark):
     got = supervision.holding(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, item string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t]
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("reads", [lambda rules, texts: blocks.Codes(rules, ["aaa"]).read(texts), lambda rules, texts: [blocks.Terms(rules).of(t) for t in texts]])
+def test_a_new_token_costs_the_same_whatever_its_length(reads):
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        reads(S.TokenRules(min_len=50, add_bigrams=True), [" ".join(chr(97 + i % 26) * 40 + chr(97 + i // 26) for i in range(500))])
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 500 * 6
+
+
+def test_tokens_are_kept_by_the_rules_of_the_plan(spark):
+    from rankforge.functions.text import NOISE_WORDS, SHORT_CODES, STOP_WORDS, lexical_tokens
+
+    words = [*STOP_WORDS, *NOISE_WORDS, *SHORT_CODES, "a", "1", "a1", "ab", "abc", "фио1"]
+    df = spark.createDataFrame([(" ".join(words),)], "text string")
+    for rules in (S.TokenRules(), S.TokenRules(min_len=1), S.TokenRules(min_len=2, stop_words=False, legal_stop_words=True), S.TokenRules(add_bigrams=True)):
+        want = df.select(lexical_tokens(F.col("text"), rules).alias("t")).first()["t"]
+        assert sorted(blocks.Terms(rules).of(" ".join(words))) == sorted(want)
+        codes, bounds = blocks.Codes(rules, ["abc"]).read([" ".join(words)])
+        assert len(blocks.Codes(rules, ["abc"]).counts(codes, bounds[:-1], bounds[1:])[1]) == want.count("abc")
