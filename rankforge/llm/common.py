@@ -219,10 +219,10 @@ ARRAY_PARTS = "part int, raw binary"
 
 
 def array_parts(x: np.ndarray) -> pa.RecordBatch:
-    """Rows of a flat array for summed_array: pieces of fixed size, those of zeros left out."""
+    """Rows of a flat array for summed_array: pieces of fixed size, those of zeros left out.  The sum is told of float32 and int32."""
     pieces = [x[i : i + _PIECE] for i in range(0, len(x), _PIECE)]
     used = [i for i, p in enumerate(pieces) if p.any()]
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pieces[i].astype(np.float32 if x.dtype == np.float32 else np.int64).tobytes() for i in used], pa.binary())], names=["part", "raw"])
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pieces[i].astype(x.dtype if x.dtype in (np.float32, np.int32) else np.int64).tobytes() for i in used], pa.binary())], names=["part", "raw"])
 
 
 def summed_array(parts: DataFrame, size: int, kind: type = np.int64) -> np.ndarray:

@@ -19,20 +19,21 @@ Scoring moves a window over each document's ids, STRIDE at a time: every id is s
 WINDOW - STRIDE ids before it unless the document begins there, in batches of windows with masked attention.
 
 The unigram score beside it needs each word's count.  Words that make up a millionth of all tokens or more, a million at
-most, are broadcast; all rarer ones are counted and joined by hash.
+most, are broadcast; all rarer ones are counted and joined by hash, in SLICES ranges of hashes, as flat arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARRAY_PARTS, Words, array_parts, chunks, ints, longs, summed_array, written
+from .common import ARRAY_PARTS, Words, array_parts, chunks, ints, longs, mixed, summed_array, written
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 WINDOW, STRIDE = 16, 12
@@ -41,9 +42,12 @@ GROUP_IDS = 5_000_000
 SMOOTHING = 2.0
 RATE = 4e-3
 FREQUENT = 1e-6
+SLICES = 1024
 _BATCH = 512
 _POOL, _ROWS = 4 * _BATCH, 1024
 _TEXT_BYTES = 4 << 20
+_HELD = 1 << 20
+_FLAT = 1 << 18
 
 
 class Pieces:
@@ -259,14 +263,6 @@ def _longest(x: np.ndarray) -> float:
     return float((np.square(x) @ np.ones(x.shape[1], x.dtype)).max(initial=0)) ** 0.5
 
 
-def _level(z: np.ndarray, w: np.ndarray, bias: np.ndarray, row: np.ndarray, t: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A softmax over the rows of w, from the hidden layer and rows of biases: exp of the scores, the place of column t in
-    each row, the score there, and the rows' sums.  small: exp of the scores is known to stay in range."""
-    s = z @ w.T
-    s += bias.take(row, axis=0)
-    return _softmax(s, t, small)
-
-
 def _softmax(s: np.ndarray, t: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not small:
         s -= s.max(axis=1, keepdims=True)
@@ -283,54 +279,107 @@ def by_class(of_class: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.argsort(key.astype(np.uint16) if CLASSES * BUCKETS <= 1 << 16 else key, kind="stable")
 
 
-def levels(
-    p: dict[str, np.ndarray], log_class: np.ndarray, z: np.ndarray, before: np.ndarray, of_class: np.ndarray, below: tuple[Vocabulary, np.ndarray, np.ndarray] | None, scale: float | None = None
-) -> tuple[np.ndarray, np.ndarray | None, dict]:
-    """Natural log probability of each place's id, from the hidden layer z and the bucket before; with scale, also the
-    gradients of minus their sum times scale, by z and by weights, those of p["id"] as (rows, gradients).  Places come in the
-    order of by_class.  below: the vocabulary, buckets and ids; without it the log probability is the class's."""
-    n = len(z)
-    mine, total, dz = np.zeros((2, n)), np.ones((2, n)), None if scale is None else np.empty_like(z)
-    # biases are log probabilities that sum to one, and scores differ from them by no more than this
-    far = _longest(z)
+def _runs(first: list[int], cut: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+    """Classes of several buckets as (class, first place, end), neighbours together up to about _FLAT scores."""
+    run, size = [], 0
+    for c in range(CLASSES):
+        n = first[c + 1] - first[c]
+        for a in range(cut[c], cut[c + 1] if n > 1 else 0, _ROWS):
+            b = min(a + _ROWS, cut[c + 1])
+            if run and (size + (b - a) * n > _FLAT or run[-1][2] != a):
+                yield run
+                run, size = [], 0
+            run.append((c, a, b))
+            size += (b - a) * n
+    if run:
+        yield run
+
+
+def _of_classes(
+    p: dict[str, np.ndarray], log_class: np.ndarray, z: np.ndarray, before: np.ndarray, of_class: np.ndarray, far: float, scale: float | None, mine: np.ndarray, total: np.ndarray, g: dict
+) -> np.ndarray | None:
     small = far * _longest(p["w2"].T) + float(np.abs(p["b2"]).max()) < 60
     w2, log_class = np.ascontiguousarray(p["w2"].T), log_class + p["b2"]
-    g = {} if scale is None else {"w2": np.zeros_like(w2), "b2": np.zeros_like(p["b2"])}
-    for a in range(0, n, _ROWS):
-        b = min(a + _ROWS, n)
-        s, at, mine[0, a:b], sums = _level(z[a:b], w2, log_class, before[a:b], of_class[a:b], small)
-        total[0, a:b] = sums
+    dz = None if scale is None else np.empty_like(z)
+    w, b2 = np.zeros_like(w2), np.zeros_like(p["b2"])
+    for a in range(0, len(z), _ROWS):
+        b = min(a + _ROWS, len(z))
+        s = z[a:b] @ w2.T
+        s += log_class.take(before[a:b], axis=0)
+        s, at, mine[a:b], sums = _softmax(s, of_class[a:b], small)
+        total[a:b] = sums
         if scale is not None:
             s.reshape(-1)[at] -= sums
-            s *= (scale / sums)[:, None]
+            by = scale / sums
+            b2 += by @ s
+            by = by[:, None]
             np.matmul(s, w2, out=dz[a:b])
-            g["w2"] += s.T @ z[a:b]
-            g["b2"] += np.ones(b - a, s.dtype) @ s
+            dz[a:b] *= by
+            w += s.T @ (z[a:b] * by)
     if scale is not None:
-        g["w2"] = g["w2"].T
-    if below is None:
-        return mine[0] - np.log(total[0]), dz, g
-    vocabulary, of, ids = below
+        g["w2"], g["b2"] = w.T, b2
+    return dz
+
+
+def _of_buckets(
+    p: dict[str, np.ndarray], vocabulary: Vocabulary, z: np.ndarray, before: np.ndarray, of: np.ndarray, of_class: np.ndarray, far: float, scale: float | None, mine: np.ndarray, total: np.ndarray, dz: np.ndarray | None, g: dict
+) -> None:
+    """The scores of a run of classes lie behind each other in one array, as each has its own number of buckets."""
     small = far * _longest(p["bucket"]) < 60
     if scale is not None:
         g["bucket"] = np.zeros_like(p["bucket"])
-    cut, first = np.searchsorted(of_class, np.arange(CLASSES + 1)).tolist(), vocabulary.first.tolist()
-    for c in range(CLASSES):
-        lo, hi = first[c : c + 2]
-        if hi - lo == 1:
-            continue
-        w = p["bucket"][lo:hi]
-        for a in range(cut[c], cut[c + 1], _ROWS):
-            b = min(a + _ROWS, cut[c + 1])
-            s, at, mine[1, a:b], sums = _level(z[a:b], w, vocabulary.block(c), before[a:b], of[a:b] - lo, small)
-            total[1, a:b] = sums
-            if scale is not None:
-                s.reshape(-1)[at] -= sums
-                s *= (scale / sums)[:, None]
-                dz[a:b] += s @ w
-                g["bucket"][lo:hi] += s.T @ z[a:b]
-    mine -= np.log(total, out=total)
-    got = mine.sum(axis=0)
+    first = vocabulary.first.tolist()
+    size = np.diff(vocabulary.first).take(of_class)
+    place = of - vocabulary.first.take(of_class)
+    for run in _runs(first, np.searchsorted(of_class, np.arange(CLASSES + 1)).tolist()):
+        x, y = run[0][1], run[-1][2]
+        end = np.cumsum(size[x:y])
+        flat, sums, parts, at = np.empty(end[-1], z.dtype), np.empty(y - x, z.dtype), [], 0
+        for c, a, b in run:
+            lo, hi = first[c : c + 2]
+            w, n = p["bucket"][lo:hi], (b - a) * (hi - lo)
+            s = np.matmul(z[a:b], w.T, out=flat[at : at + n].reshape(b - a, hi - lo))
+            s += vocabulary.block(c).take(before[a:b], axis=0)
+            if not small:
+                s -= s.max(axis=1, keepdims=True)
+            parts.append((s, w, lo, hi, a - x, b - x))
+            at += n
+        end -= size[x:y]
+        end += place[x:y]
+        mine[x:y] = flat.take(end)
+        np.exp(flat, out=flat)
+        for s, _, lo, hi, a, b in parts:
+            np.matmul(s, _ONES[: hi - lo], out=sums[a:b])
+        total[x:y] = sums
+        if scale is not None:
+            flat[end] -= sums
+            by = (scale / sums)[:, None]
+            zs, d = z[x:y] * by, np.empty((y - x, HIDDEN), z.dtype)
+            for s, w, lo, hi, a, b in parts:
+                np.matmul(s, w, out=d[a:b])
+                g["bucket"][lo:hi] += s.T @ zs[a:b]
+            d *= by
+            dz[x:y] += d
+
+
+def levels(
+    p: dict[str, np.ndarray], log_class: np.ndarray, z: np.ndarray, before: np.ndarray, of_class: np.ndarray, below: tuple[Vocabulary, np.ndarray, np.ndarray] | None, scale: float | None = None, wanted: bool = True
+) -> tuple[np.ndarray, np.ndarray | None, dict]:
+    """Natural log probability of each place's id, from the hidden layer z and the bucket before; with scale, also the
+    gradients of minus their sum times scale, by z and by weights, those of p["id"] as (rows, gradients).  Places come in the
+    order of by_class.  below: the vocabulary, buckets and ids; without it the log probability is the class's.  Where it is not wanted it is 0."""
+    n, g = len(z), {}
+    mine, total = np.zeros((2, n), z.dtype), np.ones((2, n), z.dtype)
+    # biases are log probabilities that sum to one, and scores differ from them by no more than this
+    far = _longest(z)
+    dz = _of_classes(p, log_class, z, before, of_class, far, scale, mine[0], total[0], g)
+    if below is None:
+        return mine[0] - np.log(total[0]), dz, g
+    vocabulary, of, ids = below
+    _of_buckets(p, vocabulary, z, before, of, of_class, far, scale, mine[1], total[1], dz, g)
+    if wanted:
+        mine -= np.log(total, out=total)
+    got = mine.sum(axis=0, dtype=np.float64) if wanted else np.zeros(n)
     several = np.flatnonzero(vocabulary.slot.take(ids) >= 0)
     if scale is not None:
         several = several[np.argsort(of[several].astype(np.int16), kind="stable")]
@@ -342,7 +391,8 @@ def levels(
         s = np.matmul(w, zs[:, :, None])[:, :, 0]
         s += vocabulary.member_share.take(row, axis=0)
         s, at, now, sums = _softmax(s, t, False)
-        got[some] += now - np.log(sums)
+        if wanted:
+            got[some] += now - np.log(sums)
         if scale is not None:
             s.reshape(-1)[at] -= sums
             s *= (scale / sums)[:, None]
@@ -383,12 +433,13 @@ def _hidden(p: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
 
 
 def gradients(
-    p: dict[str, np.ndarray], log_class: np.ndarray, x_ids: np.ndarray, target: np.ndarray, counted: np.ndarray, vocabulary: Vocabulary | None = None, last: np.ndarray | None = None, of: np.ndarray | None = None, ids: np.ndarray | None = None
-) -> tuple[dict, float]:
+    p: dict[str, np.ndarray], log_class: np.ndarray, x_ids: np.ndarray, target: np.ndarray, counted: np.ndarray, vocabulary: Vocabulary | None = None, last: np.ndarray | None = None, of: np.ndarray | None = None, ids: np.ndarray | None = None,
+    wanted: bool = True,
+) -> tuple[dict, float]:
     """Gradients of the mean loss over the counted positions, and the loss; those of single ids as (rows, gradients).
 
     x_ids and target are the bucket before and the class of each place.  With a vocabulary the loss is that of the ids: last
-    is the id before, of and ids are the place's bucket and id.  Without one it is that of the classes alone.
+    is the id before, of and ids are the place's bucket and id.  Without one it is that of the classes alone.  wanted: whether the loss is.
     """
     n, x = len(x_ids), x_ids.ravel()
     keep = np.flatnonzero(counted)
@@ -407,7 +458,7 @@ def gradients(
     z = _hidden(p, h)
     m = max(len(keep), 1)
     below = None if vocabulary is None else (vocabulary, of.ravel()[keep], ids.ravel()[keep])
-    got, dz, g = levels(p, log_class, z, x[keep], target.ravel()[keep], below, np.float32(1 / m))
+    got, dz, g = levels(p, log_class, z, x[keep], target.ravel()[keep], below, np.float32(1 / m), wanted)
     loss = -float(got.sum()) / m
     dz *= z > 0
     g["w1"], g["b1"] = h.T @ dz, np.ones(len(dz), dz.dtype) @ dz
@@ -429,7 +480,7 @@ def gradients(
     dx = d @ qkv.T
     dx += dh
     g["p"] = dx.reshape(n, WINDOW, WIDTH).sum(axis=0)
-    g["e"] = np.stack([np.bincount(x, dx[:, i], minlength=BUCKETS) for i in range(WIDTH)], axis=1).astype(np.float32)
+    g["e"] = np.stack([np.bincount(x, y, minlength=BUCKETS) for y in np.ascontiguousarray(dx.T)], axis=1).astype(np.float32)
     if vocabulary is not None:
         rows, which = np.unique(own[1], return_inverse=True)
         d_own = dx.take(own[0], axis=0)
@@ -486,6 +537,13 @@ def _places(bounds: np.ndarray, text: np.ndarray, start: np.ndarray, done: np.nd
     return np.where(inside, place, bounds[:-1][text][:, None]), inside & (np.arange(WINDOW) >= done[:, None])
 
 
+def _rows(x: np.ndarray, start: np.ndarray, place: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """x at the places of windows, read in a row of memory from each start; short: windows that go beyond their text."""
+    out = sliding_window_view(x, WINDOW)[np.minimum(start, len(x) - WINDOW)] if len(x) >= WINDOW else np.empty(place.shape, x.dtype)
+    out[short] = x.take(place[short])
+    return out
+
+
 def _inputs(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each id, bucket of the id before it, and that id."""
     last = _last(ids, bounds, vocabulary, np.int64)
@@ -542,24 +600,57 @@ def log_probabilities(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.
 
 # --- Spark -------------------------------------------------------------------------------------------------------------
 
-_TOKENS = "kind byte, lot long, ids binary, k array<long>, c array<long>"
+_TOKENS = "kind byte, lot long, ids binary, words binary, k array<long>, c array<long>"
+_WORDS = "slice int, n long, different long, raw binary"
+_SLICED = "slice int, kind int, raw binary"
+_FOUND = "row long, n_rare long, rare_score double"
 
 
-def _token_rows(kind: int, lot=None, ids=None, k=None, c=None) -> pa.RecordBatch:
-    n = 1 if lot is None else len(lot)
+def _token_rows(kind: int, n: int, lot=None, ids=None, words=None, k=None, c=None) -> pa.RecordBatch:
     empty = [None] * n
     lists = lambda x: pa.array(empty if x is None else [x], pa.list_(pa.int64()))
+    binary = lambda x: pa.array(empty if x is None else x, pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int8)), pa.array(empty, pa.int64()) if lot is None else lot, pa.array(empty if ids is None else ids, pa.binary()), lists(k), lists(c)],
-        names=["kind", "lot", "ids", "k", "c"],
+        [pa.array(np.full(n, kind, np.int8)), pa.array(empty, pa.int64()) if lot is None else lot, binary(ids), binary(words), lists(k), lists(c)],
+        names=["kind", "lot", "ids", "words", "k", "c"],
     )
 
 
+def _sums(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Each different key, in order, and the sums of its values."""
+    order = np.argsort(key)
+    key = key[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return [key[begin], *(np.add.reduceat(x[order], begin) if len(key) else x for x in values)]
+
+
+def _sliced(h: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Slices of sorted hashes that have any, and the bytes of each: those of its hashes, then of its part of each column."""
+    cut = np.searchsorted(h >> np.uint64(64 - (SLICES - 1).bit_length()), np.arange(SLICES + 1, dtype=np.uint64))
+    used = np.flatnonzero(np.diff(cut))
+    return used, [b"".join([x[a:b].tobytes() for x in (h, *columns)]) for a, b in zip(cut[used].tolist(), cut[used + 1].tolist(), strict=True)]
+
+
+def _columns(raw: bytes, *kinds: type) -> list[np.ndarray]:
+    """The columns of one slice's bytes."""
+    n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
 def _tokenized(model, n_pieces: int):
-    """Rows of kind 0: a training document's ids; 1: words (hash) of a chunk and their counts; 2: a task's ids and counts."""
+    """Rows of kind 0: a training document's ids; 1: words (hash) of some chunks and their counts, a slice of hashes each;
+    2: a task's ids and counts."""
+
+    def counted(h: list[np.ndarray], c: list[np.ndarray]) -> pa.RecordBatch:
+        used, raw = _sliced(*_sums(np.concatenate(h), np.concatenate(c)))
+        return _token_rows(1, len(used), lot=longs(used), words=raw)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, seen = pieces_of(model.value), np.zeros(n_pieces + 1, np.int64)
+        words, counts, held = [], [], 0
         for batch in batches:
             for part in chunks(batch, limit=_TEXT_BYTES):
                 w = Words(part.column("text"), lower=True)
@@ -568,16 +659,101 @@ def _tokenized(model, n_pieces: int):
                 seen += np.bincount(ids, minlength=n_pieces + 1)
                 # an id takes two bytes where all of them fit
                 ids = ids.astype(np.int16 if n_pieces < 1 << 15 else np.int32)
-                yield _token_rows(0, part.column("lot"), [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
-                if len(h):
-                    yield _token_rows(1, k=h.view(np.int64), c=count)
+                yield _token_rows(0, w.n, part.column("lot"), [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
+                words.append(h)
+                counts.append(count)
+                held += len(h)
+                if held > _HELD:
+                    yield counted(words, counts)
+                    words, counts, held = [], [], 0
+        if held:
+            yield counted(words, counts)
         used = np.flatnonzero(seen)
         if len(used):
-            yield _token_rows(2, k=used, c=seen[used])
+            yield _token_rows(2, 1, k=used, c=seen[used])
+
+    return rows
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("slice", "kind", "raw")), strict=True)
+
+
+def _summed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of slices: the words of each slice, by hash, and their counts."""
+    for number, of_slice in groupby(_by_slice(batches), lambda x: x[0]):
+        h, c = zip(*(_columns(raw, np.uint64, np.int64) for _, _, raw in of_slice), strict=True)
+        h, c = _sums(np.concatenate(h), np.concatenate(c))
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), longs(c.sum(keepdims=True)), pa.array([len(h)]), pa.array([h.tobytes() + c.tobytes()], pa.binary())], names=["slice", "n", "different", "raw"])
+
+
+def _often(least: float):
+    """Words that occur so many times, and their counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("raw").to_pylist():
+                h, c = _columns(raw, np.uint64, np.int64)
+                at = np.flatnonzero(c >= least)
+                yield pa.RecordBatch.from_arrays([longs(h[at]), longs(c[at])], names=["k", "c"])
 
     return rows
 
 
+def _rare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rare words of texts, a slice of hashes each: hash, row and count."""
+
+    def dealt(held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        h, n = np.frombuffer(b"".join([x[1] for x in held]), np.uint64), np.frombuffer(b"".join([x[2] for x in held]), np.int32)
+        row = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) // 8 for x in held])
+        order = np.argsort(h)
+        used, raw = _sliced(h[order], row[order], n[order])
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.ones(len(used), np.int32)), pa.array(raw, pa.binary())], names=["slice", "kind", "raw"])
+
+    held, n = [], 0
+    for batch in batches:
+        for x in zip(*(batch.column(c).to_pylist() for c in ("row", "rare", "rare_n")), strict=True):
+            held.append(x)
+            n += len(x[1]) // 8
+            if n > _HELD:
+                yield dealt(held)
+                held, n = [], 0
+    if n:
+        yield dealt(held)
+
+
+def _rare_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of slices, each slice's words (kind 0) before its pairs (1): of some of a text's rare words,
+    how many are known and the sum of their log10(count + 0.5), in slices of a hash of the row."""
+
+    def summed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        row, n, score = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        h = mixed(row.view(np.uint64))
+        order = np.argsort(h)
+        used, raw = _sliced(h[order], row[order], n[order], score[order])
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.zeros(len(used), np.int32)), pa.array(raw, pa.binary())], names=["slice", "kind", "raw"])
+
+    held, size = [], 0
+    for _, of_slice in groupby(_by_slice(batches), lambda x: x[0]):
+        known, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for _, kind, raw in of_slice:
+            if kind == 0:
+                known, c = _columns(raw, np.uint64, np.int64)
+            elif len(known):
+                h, row, n = _columns(raw, np.uint64, np.int64, np.int32)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                met = np.flatnonzero(known[at] == h)
+                n = n[met].astype(np.int64)
+                held.append([row[met], n, n * np.log10(c[at[met]] + 0.5)])
+                size += len(met)
+                if size > _HELD:
+                    yield summed(held)
+                    held, size = [], 0
+    if size:
+        yield summed(held)
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], most: int, kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Group, ids and bounds of some of a group's documents in a row, about most ids; cut by the documents alone."""
     held: list[np.ndarray] = []
@@ -597,11 +773,16 @@ def _sequences(batches: Iterator[pa.RecordBatch], most: int, kind: type) -> Iter
 def _pairs(vocabulary, kind: type):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, seen = vocabulary.value, np.zeros(BUCKETS * BUCKETS, np.int64)
+        rows_of = voc.bucket * BUCKETS
         for _, ids, bounds in _sequences(batches, 1 << 20, kind):
-            of, before, _ = _inputs(ids, bounds, voc)
-            seen += np.bincount(before * BUCKETS + of, minlength=len(seen))
-        if seen.any():
-            yield array_parts(seen)
+            key = rows_of.take(_last(ids, bounds, voc, np.int32))
+            key += voc.bucket.take(ids)
+            np.add.at(seen, key, 1)
+        # four bytes a number, in several arrays where one is too large for that
+        most = np.iinfo(np.int32).max
+        while seen.any():
+            yield array_parts(np.minimum(seen, most).astype(np.int32))
+            seen = np.maximum(seen - most, 0)
 
     return rows
 
@@ -622,9 +803,10 @@ def _trained(vocabulary, weights, rate: float, kind: type):
             for i in range(0, len(order), _BATCH):
                 pick = order[i : i + _BATCH]
                 place, counted = _places(bounds, text[pick], start[pick], done[pick])
-                these, last_ids = ids.take(place), before.take(place)
+                short = np.flatnonzero(start[pick] + WINDOW > bounds[1:][text[pick]])
+                these, last_ids = _rows(ids, start[pick], place, short), _rows(before, start[pick], place, short)
                 of = voc.bucket.take(these)
-                adam.step(gradients(adam.p, voc.log_class, voc.bucket.take(last_ids), voc.of_class.take(of), counted, voc, last_ids, of, these)[0])
+                adam.step(gradients(adam.p, voc.log_class, voc.bucket.take(last_ids), voc.of_class.take(of), counted, voc, last_ids, of, these, wanted=False)[0])
             n += len(ids)
         if n:
             yield array_parts(np.append(flattened(adam.p) * np.float32(n), np.float32(n)))
@@ -632,6 +814,19 @@ def _trained(vocabulary, weights, rate: float, kind: type):
     return rows
 
 
+def _summed_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of slices: the sums of each text."""
+    for _, of_slice in groupby(_by_slice(batches), lambda x: x[0]):
+        _, *columns = zip(*(_columns(raw, np.uint64, np.int64, np.int64, np.float64) for _, _, raw in of_slice), strict=True)
+        row, n, score = _sums(*map(np.concatenate, columns))
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n), pa.array(score)], names=["row", "n_rare", "rare_score"])
+
+
+def _binaries(x: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The bytes of x[cut[i]:cut[i + 1]] for each i."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut * x.itemsize).astype(np.int64)), pa.py_buffer(x.tobytes())]).cast(pa.binary())
+
+
 def _scored(model, vocabulary, weights, frequent):
     names = ["doc_id", "held_out", "n_tokens", "log_p", "n_frequent", "frequent_score", "rare", "rare_n"]
 
@@ -652,9 +847,8 @@ def _scored(model, vocabulary, weights, frequent):
                 rest = np.flatnonzero(~of_word)
                 pair, count = np.unique(w.doc[rest] * np.int64(len(h) + 1) + which[rest], return_counts=True)
                 doc = pair // (len(h) + 1)
-                offsets = pa.array(np.searchsorted(doc, np.arange(w.n + 1)).astype(np.int32))
-                rare = pa.ListArray.from_arrays(offsets, longs(h[pair % (len(h) + 1)]))
-                rare_n = pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))
+                cut = np.searchsorted(doc, np.arange(w.n + 1))
+                rare, rare_n = (_binaries(x, cut) for x in (h[pair % (len(h) + 1)], count.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), longs(w.count), pa.array(log_p), longs(np.bincount(w.doc, of_word, minlength=w.n)), pa.array(np.bincount(w.doc, value[which], minlength=w.n)), rare, rare_n],
                     names=names,
@@ -686,13 +880,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     for r in counted.collect():  # at most as many as the tokenizer has pieces
         of_pieces[r["k"]] = r["c"]
     n_ends, n_ids = int(of_pieces[n_pieces]), int(of_pieces.sum())
-    words = written(tokens.where("kind = 1").select(F.explode(F.arrays_zip("k", "c")).alias("x")).groupBy("x.k").agg(F.sum("x.c").alias("c")), "words")
-    n_words, different = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+    of_words = tokens.where("kind = 1").select(F.col("lot").cast("int").alias("slice"), F.lit(0).alias("kind"), F.col("words").alias("raw"))
+    words = written(of_words.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed_words, _WORDS), "words")
+    n_words, different = (x or 0 for x in words.agg(F.sum("n"), F.sum("different")).first())
     n_tokens, different = n_words + n_ends, different + (n_ends > 0)
     vocabulary = Vocabulary(of_pieces, tokenizer.starts())
     groups, id_type = max(1, -(-n_ids // group_ids)), np.int16 if n_pieces < 1 << 15 else np.int32
     ids = tokens.where("kind = 0").select(F.pmod("lot", F.lit(groups)).cast("int").alias("group"), "lot", "ids")
-    vocabulary.learn(summed_array(ids.select(F.lit(0).alias("group"), "ids").mapInArrow(_pairs(send(vocabulary), id_type), ARRAY_PARTS), BUCKETS * BUCKETS).reshape(BUCKETS, BUCKETS))
+    vocabulary.learn(summed_array(ids.select(F.lit(0).alias("group"), "ids").mapInArrow(_pairs(send(vocabulary), id_type), ARRAY_PARTS), BUCKETS * BUCKETS, np.int32).reshape(BUCKETS, BUCKETS))
     known = send(vocabulary)
     weights = initial()
     # the same documents in the same order, however the rows are partitioned
@@ -701,14 +896,16 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     total = summed_array(dealt.mapInArrow(_trained(known, weights, rate, id_type), ARRAY_PARTS), n_weights + 1, np.float32)
     if total[-1]:
         weights = (total[:-1] / total[-1]).astype(np.float32)
-    often = words.where(F.col("c") >= max(frequent * n_tokens, 1)).toArrow()  # one millionth of the tokens each: a million at most
+    often = words.select("raw").mapInArrow(_often(max(frequent * n_tokens, 1)), "k long, c long").toArrow()  # one millionth of the tokens each: a million at most
     k, c = ints(often.column("k").combine_chunks()).view(np.uint64), ints(often.column("c").combine_chunks())
     order = np.argsort(k)
     often = send((k[order], np.log10(c[order] + 0.5)))
-    kind = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, n_tokens long, log_p double, n_frequent long, frequent_score double, rare array<long>, rare_n array<int>"
+    kind = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, n_tokens long, log_p double, n_frequent long, frequent_score double, rare binary, rare_n binary"
     done = written(rows.select("doc_id", "held_out", "text").mapInArrow(_scored(pieces, known, send(weights), often), kind).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = done.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("k"), F.col("x.rare_n").alias("n"))
-    found = rare.join(words.where(F.col("c") < max(frequent * n_tokens, 1)), "k").groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_score"))
+    rare = done.select("row", "rare", "rare_n").mapInArrow(_rare_pairs, _SLICED)
+    sides = words.select("slice", F.lit(0).alias("kind"), "raw").union(rare)
+    scores = sides.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(_rare_scores, _SLICED)
+    found = scores.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed_scores, _FOUND)
     n_known = F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))
     end = float(np.log10(n_ends + 0.5))
     base = F.col("frequent_score") + F.coalesce("rare_score", F.lit(0.0)) + (F.col("n_tokens") - n_known) * float(np.log10(0.5)) + end - (F.col("n_tokens") + 1) * float(np.log10(n_tokens + 0.5 * (different + 1)))

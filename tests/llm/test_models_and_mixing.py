@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,59 @@ def test_scores_do_not_depend_on_the_batches(monkeypatch):
     assert lm.log_probabilities(p, voc, ids[:0], np.zeros(3, np.int64)).tolist() == [0, 0]
 
 
+@pytest.mark.parametrize("held", [10, 1 << 20])
+def test_rare_words_are_looked_up_by_slices(monkeypatch, held):
+    monkeypatch.setattr(lm, "_HELD", held)
+    rng = np.random.default_rng(3)
+    names = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
+
+    def in_order(batches):
+        table = pa.Table.from_batches(list(batches))
+        return table.sort_by([("slice", "ascending"), ("kind", "ascending")]).to_batches(max_chunksize=7)
+
+    def pieces(x, n):
+        used, raw = lm._sliced(x, n)
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.zeros(len(used), np.int32)), pa.array(raw, pa.binary())], names=["slice", "kind", "raw"])
+
+    # words of three chunks; the last hundred of them in none
+    count, parts = {}, []
+    for _ in range(3):
+        x, n = np.unique(rng.choice(names[:200], 150), return_counts=True)
+        parts.append(pieces(x, n))
+        for k, c in zip(x.tolist(), n.tolist(), strict=True):
+            count[k] = count.get(k, 0) + c
+    words = list(lm._summed_words(iter(in_order(parts))))
+    assert sum(w.column("n")[0].as_py() for w in words) == 450 and sum(w.column("different")[0].as_py() for w in words) == len(count)
+    often = pa.Table.from_batches(lm._often(4)(iter(words)))
+    assert {k % (1 << 64): c for k, c in zip(*often.to_pydict().values(), strict=True)} == {k: c for k, c in count.items() if c >= 4}
+    texts = [np.unique(rng.choice(names, size), return_counts=True) for size in (40, 0, 1, 90)]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(5, 9)), pa.array([x.tobytes() for x, _ in texts], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in texts], pa.binary())], names=["row", "rare", "rare_n"]
+    )
+    known = [pa.RecordBatch.from_arrays([w.column("slice"), pa.array([0], pa.int32()), w.column("raw")], names=["slice", "kind", "raw"]) for w in words]
+    found = lm._summed_scores(iter(in_order(lm._rare_scores(iter(in_order([*known, *lm._rare_pairs(iter([rows]))]))))))
+    got = {r: (n, score) for b in found for r, n, score in zip(*b.to_pydict().values(), strict=True)}
+    for row, (x, n) in enumerate(texts, 5):
+        hits = [(m, count[k]) for k, m in zip(x.tolist(), n.tolist(), strict=True) if k in count]
+        slow = sum(m for m, _ in hits), sum(m * math.log10(c + 0.5) for m, c in hits)
+        assert got.get(row, (0, 0)) == (slow[0], pytest.approx(slow[1]))
+
+
+def test_counts_of_pairs_may_be_larger_than_four_bytes(spark, monkeypatch):
+    from rankforge.llm.common import ARRAY_PARTS, array_parts, summed_array
+
+    monkeypatch.setattr(lm, "BUCKETS", 4)
+    voc = type("V", (), {"bucket": np.array([1, 2, 3, 0])})()
+    ids = np.array([0, 1, 0, 1, 2], np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([ids.tobytes()], pa.binary())], names=["group", "ids"])
+    (one,) = lm._pairs(type("B", (), {"value": voc})(), np.int32)(iter([batch]))
+    counts = np.frombuffer(one.column("raw")[0].as_py(), np.int32).reshape(4, 4)
+    assert counts[0, 1] == 1 and counts[1, 2] == 2 and counts[2, 1] == 1 and counts[2, 3] == 1 and counts.sum() == 5
+    most = array_parts(np.full(3, np.iinfo(np.int32).max, np.int32)).to_pylist()
+    parts = spark.createDataFrame([(r["part"], bytearray(r["raw"])) for r in most * 3], ARRAY_PARTS)
+    assert summed_array(parts, 3, np.int32).tolist() == [3 * np.iinfo(np.int32).max] * 3
+
+
 def test_lm_scores(spark, docs, corpus, no_docs):
     got = Counter()
     rows = lm.score_texts(docs).collect()
